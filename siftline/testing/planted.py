@@ -109,7 +109,8 @@ def planted_path() -> Column:
 
 def planted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    content = F.concat_ws("\n", "text", _pick(F.col("doc_id")), _pick(F.col("doc_id") * 7 + 3))
+    # the lone semicolon ends whatever statement the prose would be as a script
+    content = F.concat_ws("\n", "text", F.lit(";"), _pick(F.col("doc_id")), _pick(F.col("doc_id") * 7 + 3))
     return docs.select(planted_path().alias("path"), content.alias("content"))
 
 
@@ -128,6 +129,6 @@ SELECT CASE WHEN doc_id % 25 = 0 THEN 'src/' || source || '/p' || doc_id || '/pa
        ELSE CASE WHEN doc_id % 17 = 0 THEN 'node_modules' WHEN doc_id % 19 = 0 THEN 'test' ELSE 'src' END
             || '/' || source || '/f' || doc_id
             || ['.js', '.ts', '.py', '.json', '.tsx', '.md'][doc_id % 6 + 1] END AS path,
-       text || chr(10) || ({sql_lines()})[doc_id % {N_PLANTED} + 1]
+       text || chr(10) || ';' || chr(10) || ({sql_lines()})[doc_id % {N_PLANTED} + 1]
             || chr(10) || ({sql_lines()})[(doc_id * 7 + 3) % {N_PLANTED} + 1] AS content
 FROM documents"""
