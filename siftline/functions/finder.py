@@ -39,4 +39,6 @@ def find_lines(content: Column, patterns: list[str], every: int = 0) -> Column:
         )
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), rows)
 
-    return find(content)
+    # not deterministic to the optimizer, which would otherwise search twice:
+    # once for a filter on the lines found and once for the lines
+    return find.asNondeterministic()(content)

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.functions.text import trim_ws
 
@@ -47,20 +48,22 @@ def _object_text(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+# Both are marked as not deterministic so that the optimizer, when it pushes a
+# filter on the result down, does not run them twice.
+@F.pandas_udf(T.StringType())
 def _first_object(texts: pd.Series) -> pd.Series:
     found = (None if t is None else _object_text(t) for t in texts)
     return pd.Series([t if t is not None and _is_json(t) else None for t in found], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strict_json(texts: pd.Series) -> pd.Series:
     return pd.Series([t if t is not None and _is_json(t) else None for t in texts], dtype=object)
 
 
 def first_json_object(raw: Column) -> Column:
     """Text of the first JSON object in a reply, null when there is no valid one."""
-    return _first_object(trim_ws(raw))
+    return _first_object.asNondeterministic()(trim_ws(raw))
 
 
 def strict_json(text: Column) -> Column:
@@ -68,7 +71,7 @@ def strict_json(text: Column) -> Column:
 
     ``from_json`` alone also takes single quotes and text after the value.
     """
-    return _strict_json(text)
+    return _strict_json.asNondeterministic()(text)
 
 
 def strip_fence(raw: Column) -> Column:

@@ -88,9 +88,10 @@ def finding_id(path: Column, title: Column, category: Column, start: Column, end
 
 
 def prompt_hash(provider: Column, model: Column, system_prompt: Column, user_prompt: Column) -> Column:
-    return F.sha2(
-        F.concat_ws("|", provider, F.coalesce(model, F.lit("")), system_prompt, user_prompt), 256
-    )
+    text = F.concat_ws("|", provider, F.coalesce(model, F.lit("")), system_prompt, user_prompt)
+    # never null, and said so: a join on the hash would otherwise build every
+    # prompt a second time to filter out null hashes
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
 def title_with_scenario(title: Column, scenario: Column) -> Column:

@@ -41,10 +41,9 @@ def first_per_path(findings: DataFrame, k: int = C.FINDINGS_PER_REQUEST) -> Data
     Spark cuts every partition to ``k`` rows per file before the shuffle, so a
     file with very many findings is no hot spot.
     """
-    placed = findings.withColumn(
-        "ordinal", F.row_number().over(Window.partitionBy("path").orderBy(*FINDING_ORDER)) - 1
-    )
-    return placed.filter(F.col("ordinal") < k)
+    order = Window.partitionBy("path").orderBy(*[c for c in FINDING_ORDER if c != "path"])
+    first = findings.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return first.withColumn("ordinal", F.col("place") - 1).drop("place")
 
 
 def group_by_path(findings: DataFrame, k: int = C.FINDINGS_PER_REQUEST) -> DataFrame:

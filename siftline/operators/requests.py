@@ -15,6 +15,7 @@ from siftline.operators import prompts as P
 from siftline.operators.evidence import file_blocks
 from siftline.operators.findings import first_per_path
 from siftline.operators.lines import chunks
+from siftline.schemas import FINDING_ORDER
 from siftline.sources.corpus import limit_files
 
 
@@ -62,14 +63,16 @@ def discovery_requests(
 def with_context(findings: DataFrame, corpus: DataFrame, radius: int = C.CONTEXT_RADIUS) -> DataFrame:
     """Findings with ``context``: their snippet, else the lines around them, else an empty text.
 
-    Only findings without a snippet are joined with the texts.
+    Only texts of files with a finding that lacks a snippet are looked up.  That
+    is an inner join, so Spark may send the few findings to the many texts.
     """
-    needs_text = F.col("snippet").isNull() & (F.coalesce(F.col("line"), F.lit(0)) > 0)
-    has = findings.filter(~needs_text).withColumn("context", F.coalesce("snippet", F.lit("")))
-    texts = corpus.select("path", "content")
+    place = ["path", *[c for c in FINDING_ORDER if c != "path"]]
+    bare = findings.filter(F.col("snippet").isNull() & (F.coalesce(F.col("line"), F.lit(0)) > 0))
+    lookup = corpus.select("path", "content").join(bare.select(*place, "line"), "path")
     around = context(split_lines(F.col("content"), crlf=True), F.col("line"), radius)
-    cut = findings.filter(needs_text).join(texts, "path", "left").withColumn("context", around)
-    return has.unionByName(cut.select(*findings.columns, F.coalesce("context", F.lit("")).alias("context")))
+    found = lookup.select(*place, around.alias("around"))
+    rows = findings.join(found, place, "left")
+    return rows.select(*findings.columns, F.coalesce("snippet", "around", F.lit("")).alias("context"))
 
 
 def review_requests(
