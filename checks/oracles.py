@@ -67,17 +67,23 @@ def regex_part(rules: list[dict], source: str = "lines", name: str = "regex_find
     )
 
 
-def call_part(source: str = "lines", name: str = "call_findings", marker: bool = True) -> str:
-    """Calls on single lines: strings and comments are cut, then names before a parenthesis are listed."""
+def listed_calls(source: str = "lines") -> str:
+    """Calls of script files on single lines, in order: strings and comments are cut, then names before a parenthesis."""
     code = "regexp_replace(regexp_replace(line, '\"[^\"]*\"|''[^'']*''', '\"\"', 'g'), '//.*', '')"
     calls = "regexp_extract_all(" + code + r", '(?:new\s+)?[A-Za-z0-9_$.?]*[A-Za-z0-9_$]\s*\(')"
     callee = r"regexp_replace(c, '\s*\($', '')"
+    return (
+        f"SELECT path, line_no, line, {callee} AS callee, line_no * 1000 + place AS place FROM"
+        f" (SELECT path, line_no, line, unnest({calls}) AS c, generate_subscripts({calls}, 1) AS place FROM {source}"
+        r" WHERE regexp_matches(path, '[^/]\.(ts|tsx|js|jsx)$', 'i')) WHERE NOT starts_with(c, 'new ')"
+    )
+
+
+def call_part(source: str = "lines", name: str = "call_findings", marker: bool = True) -> str:
     where = f"AND NOT ({suppressed('h.line', 'r.id')})" if marker else ""
     return (
         f"{name} AS MATERIALIZED (SELECT {FINDING}, 1 AS engine, CAST(h.place AS INTEGER) AS k1, CAST(r.rule_no AS INTEGER) AS k2"
-        f" FROM (SELECT path, line_no, line, {callee} AS callee, line_no * 1000 + place AS place FROM"
-        f" (SELECT path, line_no, line, unnest({calls}) AS c, generate_subscripts({calls}, 1) AS place FROM {source}"
-        r" WHERE regexp_matches(path, '[^/]\.(ts|tsx|js|jsx)$', 'i'))) h"
+        f" FROM ({listed_calls(source)}) h"
         f" JOIN rules r ON r.target IS NOT NULL AND (h.callee = r.target OR ends_with(h.callee, '.' || r.target)) {where})"
     )
 
@@ -458,6 +464,9 @@ ORACLES: dict[str, str] = {
     "http_urls_in_pages": simple_lines(PAGES),
     "suppressed_lines": with_(*static(marker=False))
     + f"SELECT rule_id, path, line, snippet, engine FROM findings WHERE {suppressed('snippet', 'rule_id')}",
+    "call_sites": with_(corpus(), lines("corpus", "lines"))
+    + "SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY place) - 1 AS INTEGER) AS call_no, line_no, callee,"
+    f" line AS text FROM ({listed_calls()})",
     "call_findings": with_(*static()) + f"SELECT {PUBLIC} FROM call_findings",
     "static_findings": with_(*static()) + f"SELECT {PUBLIC}, phase, engine, k2 FROM findings",
     "first_findings_per_file": with_(*static())
@@ -551,7 +560,7 @@ ORACLES: dict[str, str] = {
     + """SELECT rule_id, description, '{"id":' || to_json(rule_id) || ',"name":' || to_json(rule_id) || ',"shortDescription":{"text":' ||
       to_json(description) || '}}' AS json FROM (SELECT rule_id, arg_min(description, row(phase, path, engine, k1, k2)) AS description FROM
       (SELECT * FROM findings UNION ALL SELECT * FROM discovered) GROUP BY rule_id)""",
-    "json_findings": with_(*static()) + f"SELECT path, {JSON_FINDING} AS json FROM findings",
+    "json_findings": with_(*static()) + f"SELECT path, CAST({JSON_FINDING} AS VARCHAR) AS json FROM findings",
     "json_reviews": with_(*all_review_parts())
     + f"SELECT stage AS phase, path, 0 AS engine, ord AS k1, 0 AS k2, {JSON_REVIEW} AS json FROM {reviews_union()}",
     "markdown_rows": with_(*static()) + f"SELECT path, {MD_FINDING} AS markdown FROM findings",

@@ -8,6 +8,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def found_in(text: Column, patterns: list[str]) -> Column:
+    """True where one of the RE2 patterns is found, ignoring case."""
+    regex = "|".join(f"(?:{p})" for p in patterns)
+
+    @F.arrow_udf("boolean")
+    def find(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, regex, ignore_case=True)
+
+    return find.asNondeterministic()(text)  # see find_lines
+
+
 LINE = "struct<line_no:int,line:string>"
 
 

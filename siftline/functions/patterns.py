@@ -71,7 +71,9 @@ def _rewrite(pattern: str, dialect: dict, beyond_ascii) -> str:
         if ch == "\\" and i + 1 < len(pattern):
             nxt, step = pattern[i + 1], 2
             table = dialect["inside" if in_class else "outside"]
-            if nxt in table:
+            if nxt == "b" and not in_class:
+                ch = _boundary(pattern, i, dialect)
+            elif nxt in table:
                 ch = table[nxt]
             elif nxt in "0v":
                 ch = r"\x00" if nxt == "0" else r"\x0B"
@@ -101,6 +103,16 @@ def _rewrite(pattern: str, dialect: dict, beyond_ascii) -> str:
     return "".join(out)
 
 
+def _boundary(pattern: str, i: int, dialect: dict) -> str:
+    """The boundary at ``pattern[i:i+2]``; one look is enough next to a plain word character."""
+    if dialect is _JAVA:
+        if re.match(r"[A-Za-z0-9_](?![?*{])", pattern[i + 2 :]):
+            return f"(?<![{_WORD}])"
+        if re.search(r"(?<!\\)[A-Za-z0-9_]\Z", pattern[:i]):
+            return f"(?![{_WORD}])"
+    return dialect["outside"]["b"]
+
+
 def rule_regex(pattern: str) -> str:
     """Java form of a rule pattern, matched without regard to case."""
     return "(?i)" + to_java(pattern)

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
-from siftline.functions.patterns import to_java
+from siftline.functions.finder import found_in
+from siftline.functions.patterns import to_java, to_re2
 
 
 def _steps(text: Column) -> list[Column]:
@@ -17,9 +18,14 @@ def _steps(text: Column) -> list[Column]:
     return steps
 
 
+def _touched(text: Column) -> Column:
+    """Quick look for texts that a rewrite may change; the others are left alone."""
+    return found_in(text, [to_re2(pattern) for pattern, _, _ in C.REDACTIONS])
+
+
 def redact(text: Column) -> Column:
     """Text with key blocks, bearer headers, assigned secrets and web tokens masked."""
-    return _steps(text)[-1]
+    return F.when(_touched(text), _steps(text)[-1]).otherwise(text)
 
 
 def redaction_changed(text: Column) -> Column:
@@ -28,4 +34,4 @@ def redaction_changed(text: Column) -> Column:
     changed = F.lit(False)
     for before, after in zip(steps, steps[1:]):
         changed = changed | (before != after)
-    return changed
+    return F.when(_touched(text), changed).otherwise(F.lit(False))

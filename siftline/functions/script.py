@@ -13,11 +13,11 @@ from bisect import bisect_right
 from typing import NamedTuple
 
 _TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))
-    |(?P<string>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?)
+    r"""(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z))*
+    (?:(?P<string>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?)
     |(?P<name>[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*)
     |(?P<number>\d[\w.]*)
-    |(?P<punct>\?\.(?!\d)|=>|\+\+|--|.)""",
+    |(?P<punct>\?\.(?!\d)|=>|\+\+|--|.)|\Z)""",
     re.VERBOSE | re.DOTALL,
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
@@ -68,9 +68,10 @@ def calls_in(text: str) -> list[Call]:
     i = 0
     while i < len(text):
         token = _TOKEN.match(text, i)
-        kind, word, start, i = token.lastgroup, token[0], i, token.end()
-        if kind == "skip":
-            continue
+        kind, i = token.lastgroup, token.end()
+        if kind is None:  # only space and comments are left
+            break
+        word, start = token[kind], token.start(kind)
         if word == "/" and left is None and (literal := _REGEX.match(text, start)):
             kind, i = "string", literal.end()
         if kind == "name" and chain is not None:

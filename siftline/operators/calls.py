@@ -6,14 +6,13 @@ import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
-from siftline.functions.lines import not_suppressed
 from siftline.functions.script import calls_in, line_of, line_starts
 from siftline.functions.text import is_script
-from siftline.operators.match import CALL_ENGINE, rule_fields, to_finding
+from siftline.operators.match import CALL_ENGINE, findings_of, sql_text, which
 
 _CALLS = "array<struct<call_no:int,line_no:int,callee:string,text:string>>"
 
@@ -55,8 +54,9 @@ def call_sites(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
     return corpus.select("path", F.inline(_site_finder(names)(content)))
 
 
-def call_matches(callee: Column, target: str) -> Column:
-    return (callee == target) | callee.endswith("." + target)
+def call_matches(target: str) -> str:
+    """SQL test: the callee is the target or ends in it after a dot."""
+    return f"(callee = {sql_text(target)} OR endswith(callee, {sql_text('.' + target)}))"
 
 
 def call_rules(rules: list[dict]) -> list[tuple[int, dict, str]]:
@@ -68,15 +68,13 @@ def call_rules(rules: list[dict]) -> list[tuple[int, dict, str]]:
 def match_calls(sites: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:
     """Findings of call rules on call sites; the marker is looked for on the start line."""
     selectors = call_rules(rules)
-    tried = F.array(*[F.when(call_matches(F.col("callee"), t), rule_fields(k, r)) for k, r, t in selectors])
-    found = sites.select("path", "call_no", "line_no", "text", F.explode(tried).alias("rule"))
-    found = found.filter(F.col("rule").isNotNull() & not_suppressed(F.col("text"), F.col("rule.rule_id"), marker))
-    return to_finding(found, CALL_ENGINE, F.col("call_no"), F.col("rule.rule_no"))
+    found = sites.select("path", "call_no", "line_no", "text", which([call_matches(t) for _, _, t in selectors]))
+    return findings_of(found, [(k, r) for k, r, _ in selectors], marker, CALL_ENGINE, "call_no", "rule_no")
 
 
 def scan_calls(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:
     """Findings of all call rules: one per call and rule."""
     targets = sorted({t for _, _, t in call_rules(rules)})
     if not targets:
-        return match_calls(call_sites(corpus.limit(0)), [{"type": "ast", "selector": "call:x"}], marker)
+        return match_calls(call_sites(corpus.limit(0)), [{"id": "", "type": "ast", "selector": "call:x"}], marker)
     return match_calls(call_sites(corpus, targets), rules, marker)
