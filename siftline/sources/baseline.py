@@ -44,7 +44,7 @@ def read_baseline(spark: SparkSession, location: str) -> DataFrame:
         return spark.createDataFrame([], BASELINE)
     if any(name.endswith(".parquet") for name in [place.path, *place.names]):
         return spark.read.parquet(location).select("signature")
-    text = spark.read.option("wholetext", not place.is_dir).text(location)
+    text = spark.read.text(location, wholetext=not place.is_dir)
     plain = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
     wrapped = F.from_json("value", "items array<string>")["items"]
     return text.select(F.explode(F.coalesce(plain, wrapped)).alias("signature"))

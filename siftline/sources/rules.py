@@ -35,11 +35,9 @@ def read_rules(spark: SparkSession, location: str) -> DataFrame:
     place = locate(spark, location)
     if place is None:
         return rules_from(spark, [])
-    reader = spark.read.option("wholetext", True)
-    if place.is_dir:
-        reader = reader.option("pathGlobFilter", "*.json")
+    reader = spark.read.option("pathGlobFilter", "*.json") if place.is_dir else spark.read
     rule_list = F.from_json("value", "array<" + RULE.simpleString() + ">")
-    files = reader.text(location).select(
+    files = reader.text(location, wholetext=True).select(
         F.input_file_name().alias("file"),
         F.when(F.ltrim("value").startswith("["), rule_list).alias("rules"),
     )
