@@ -6,9 +6,13 @@ the lines below appended.  All values are invented.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.sources.corpus import spread
+
 PLANTED_LINES: list[str] = [
     # one line per rule
     'const a = eval("x");',
@@ -92,7 +96,7 @@ assert N_PLANTED == 67
 
 
 def _pick(number: Column) -> Column:
-    lines = F.array(*[F.lit(line) for line in PLANTED_LINES])
+    lines = F.from_json(F.lit(json.dumps(PLANTED_LINES)), "array<string>")  # folded to a constant
     return F.element_at(lines, (number % N_PLANTED + 1).cast("int"))
 
 
@@ -108,7 +112,7 @@ def planted_path() -> Column:
 
 
 def planted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     # the lone semicolon ends whatever statement the prose would be as a script
     content = F.concat_ws("\n", "text", F.lit(";"), _pick(F.col("doc_id")), _pick(F.col("doc_id") * 7 + 3))
     return docs.select(planted_path().alias("path"), content.alias("content"))

@@ -66,7 +66,7 @@ from siftline.operators.requests import (
 from siftline.operators.reviews import all_reviews, attach_reviews, keep_live_reviews, last_review
 from siftline.plans.scan import scan
 from siftline.sources.baseline import signatures
-from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter
+from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter, spread
 from siftline.sources.rules import (
     apply_preset,
     builtin_rules,
@@ -101,7 +101,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".py"))
-    return corpus_from_table(table(spark, sf_dir, "documents"), name, "text")
+    return spread(corpus_from_table(table(spark, sf_dir, "documents"), name, "text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,12 @@ _CALLS = "array<struct<call_no:int,line_no:int,callee:string,text:string>>"
 
 
 def _site_finder(names: list[str] | None):
+    wanted = r"\("
+    if names:  # a name as a word of its own, then what may stand between it and its arguments
+        wanted = r"(?:^|[^A-Za-z0-9_$#])(?:" + "|".join(re.escape(n) for n in names) + r")\s*[(?<!/]"
+
     @F.arrow_udf(_CALLS)
     def find(texts: pa.Array) -> pa.Array:
-        wanted = "|".join(re.escape(n) for n in names) if names else r"\("
         worth = pc.match_substring_regex(texts, wanted).to_pylist()
         sites = [_sites(t.as_py()) if w else [] for t, w in zip(texts, worth)]
         return pa.array(sites, pa.list_(_SITE))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import catalogue as C
 from siftline.functions.globs import glob_regex, name_glob
-from siftline.sources.files import locate
+from siftline.sources.files import Place, locate
 
 _SCHEME_AND_HOST = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
@@ -43,13 +43,28 @@ def read_corpus(
     )
     if place.is_dir and include and (names := name_glob(include)):
         reader = reader.option("pathGlobFilter", names)  # lists fewer files
+    files = files_as_corpus(reader.load(root), place)
+    return path_filter(files, include, exclude) if place.is_dir and include is not None else files
+
+
+def files_as_corpus(files: DataFrame, place: Place) -> DataFrame:
+    """Rows of the ``binaryFile`` source as (path, content), paths relative to a directory."""
     full = F.regexp_replace("path", _SCHEME_AND_HOST, "")
     below = F.substring(full, len(place.path) + 2, 2**31 - 1)
-    files = reader.load(root).select(
+    return files.select(
         (below if place.is_dir else full).alias("path"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
-    return path_filter(files, include, exclude) if place.is_dir and include is not None else files
+
+
+def spread(corpus: DataFrame) -> DataFrame:
+    """Use every core for a corpus that arrives in fewer splits than there are cores.
+
+    Such a corpus is small, or one file with few row groups.  Any larger one is
+    left as it is, so its texts are never shuffled for this.
+    """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores) if corpus.rdd.getNumPartitions() < cores else corpus
 
 
 def keep_path(path: Column, include: list[str], exclude: list[str] | None = None) -> Column:
