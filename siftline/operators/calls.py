@@ -6,7 +6,7 @@ import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
@@ -17,14 +17,15 @@ from siftline.operators.match import CALL_ENGINE, findings_of, sql_text, which
 _CALLS = "array<struct<call_no:int,line_no:int,callee:string,text:string>>"
 
 
-def _site_finder(names: list[str] | None):
+def find_sites(content: Column, script: Column, names: list[str] | None) -> Column:
+    """Calls in the texts that are scripts, as ``array<struct<call_no, line_no, callee, text>>``."""
     wanted = r"\("
     if names:  # a name as a word of its own, then what may stand between it and its arguments
         wanted = r"(?:^|[^A-Za-z0-9_$#])(?:" + "|".join(re.escape(n) for n in names) + r")\s*[(?<!/]"
 
     @F.arrow_udf(_CALLS)
-    def find(texts: pa.Array) -> pa.Array:
-        worth = pc.match_substring_regex(texts, wanted).to_pylist()
+    def find(texts: pa.Array, scripts: pa.Array) -> pa.Array:
+        worth = pc.and_(scripts, pc.match_substring_regex(texts, wanted)).to_pylist()
         sites = [_sites(t.as_py()) if w else [] for t, w in zip(texts, worth)]
         return pa.array(sites, pa.list_(_SITE))
 
@@ -39,7 +40,7 @@ def _site_finder(names: list[str] | None):
                 rows.append({"call_no": number, "line_no": line, "callee": call.callee, "text": whole})
         return rows
 
-    return find.asNondeterministic()  # see find_lines
+    return find.asNondeterministic()(content, script)  # see find_lines
 
 
 _SITE = pa.struct([("call_no", pa.int32()), ("line_no", pa.int32()), ("callee", pa.string()), ("text", pa.string())])
@@ -53,8 +54,8 @@ def call_sites(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
     calls whose callee ends in one of them are listed, and texts without any are
     passed over unread.
     """
-    content = F.when(is_script(F.col("path")), F.col("content"))
-    return corpus.select("path", F.inline(_site_finder(names)(content)))
+    scripts = corpus.filter(is_script(F.col("path")))
+    return scripts.select("path", F.inline(find_sites(F.col("content"), F.lit(True), names)))
 
 
 def call_matches(target: str) -> str:
@@ -72,7 +73,8 @@ def match_calls(sites: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARK
     """Findings of call rules on call sites; the marker is looked for on the start line."""
     selectors = call_rules(rules)
     found = sites.select("path", "call_no", "line_no", "text", which([call_matches(t) for _, _, t in selectors]))
-    return findings_of(found, [(k, r) for k, r, _ in selectors], marker, CALL_ENGINE, "call_no", "rule_no")
+    numbered = [(k, r) for k, r, _ in selectors]
+    return findings_of(found, numbered, marker, F.lit(CALL_ENGINE), F.col("call_no"), F.col("rule_no"))
 
 
 def scan_calls(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:

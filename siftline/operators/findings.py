@@ -4,19 +4,74 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
-from siftline.functions.text import at_least, signature
-from siftline.operators.calls import scan_calls
-from siftline.operators.match import scan_regex
+from siftline.functions.finder import find_lines
+from siftline.functions.text import at_least, is_script, signature
+from siftline.operators.calls import call_matches, call_rules, find_sites, scan_calls
+from siftline.operators.match import (
+    CALL_ENGINE,
+    REGEX_ENGINE,
+    RULES_PER_PASS,
+    findings_of,
+    regex_rules,
+    rule_matches,
+    scan_numbered,
+    scan_regex,
+    which,
+)
 from siftline.schemas import FINDING_COLUMNS, FINDING_ORDER
 
 
 def static_findings(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:
-    """Regex and call findings together; the same line may be found by both."""
-    return scan_regex(corpus, rules, marker).unionByName(scan_calls(corpus, rules, marker))
+    """Regex and call findings together; the same line may be found by both.
+
+    Both engines look at a text while it is at hand, so the corpus is read once.
+    Rules that do not fit into this pass are scanned for on their own.
+    """
+    regex, calls = regex_rules(rules), call_rules(rules)
+    joint = [(k, r) for k, r, search in regex if search][:RULES_PER_PASS]
+    if not joint or not calls:
+        return scan_regex(corpus, rules, marker).unionByName(scan_calls(corpus, rules, marker))
+    taken = {k for k, _ in joint}
+    found = _joint_pass(corpus, joint, [s for k, _, s in regex if k in taken], calls, marker)
+    rest = [entry for entry in regex if entry[0] not in taken]
+    return found.unionByName(scan_numbered(corpus, rest, marker)) if rest else found
+
+
+def _joint_pass(
+    corpus: DataFrame,
+    regex: list[tuple[int, dict]],
+    searches: list[str],
+    calls: list[tuple[int, dict, str]],
+    marker: str,
+) -> DataFrame:
+    targets = sorted({target for _, _, target in calls})
+    looked_at = corpus.select(
+        "path",
+        find_lines(F.col("content"), searches).alias("lines"),
+        find_sites(F.col("content"), is_script(F.col("path")), targets).alias("sites"),
+    )
+
+    def place(engine: int, at: Column, text: str, **call: Column) -> Column:
+        return F.struct(
+            F.lit(engine).alias("engine"), at["line_no"].alias("line_no"), at[text].alias("text"),
+            call.get("call_no", F.lit(0)).alias("call_no"), call.get("callee", F.lit("")).alias("callee"),
+        )
+
+    lines = F.transform("lines", lambda x: place(REGEX_ENGINE, x, "line"))
+    sites = F.transform("sites", lambda x: place(CALL_ENGINE, x, "text", call_no=x["call_no"], callee=x["callee"]))
+    tests = [f"engine = {REGEX_ENGINE} AND {rule_matches(r)}" for _, r in regex]
+    tests += [f"engine = {CALL_ENGINE} AND {call_matches(target)}" for _, _, target in calls]
+    found = looked_at.select("path", F.inline(F.concat(lines, sites))).select("*", which(tests))
+    by_rule = F.col("engine") == REGEX_ENGINE
+    return findings_of(
+        found, regex + [(k, r) for k, r, _ in calls], marker, F.col("engine"),
+        F.when(by_rule, F.col("rule_no")).otherwise(F.col("call_no")),
+        F.when(by_rule, F.col("line_no")).otherwise(F.col("rule_no")),
+    )
 
 
 def all_findings(*parts: DataFrame) -> DataFrame:

@@ -22,20 +22,28 @@ REGEX_ENGINE, CALL_ENGINE, DISCOVERY_ENGINE = 0, 1, 2
 RULES_PER_PASS = 200
 
 
+def regex_rules(rules: list[dict]) -> list[tuple[int, dict, str | None]]:
+    """(rule number, rule, what RE2 searches for) of the rules that have a pattern."""
+    chosen = [(k, r) for k, r in enumerate(rules) if r["type"] == "regex" and r.get("pattern")]
+    return [(k, r, search_pattern(r["pattern"])) for k, r in chosen]
+
+
 def scan_regex(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:
     """Findings of all regex rules: at most one per rule and line.
 
     There is no shuffle.  Lines on which some rule may match are searched for in
     whole batches of texts; only those lines go on to the rules one by one.
     """
-    numbered = [(k, r) for k, r in enumerate(rules) if r["type"] == "regex" and r.get("pattern")]
+    return scan_numbered(corpus, regex_rules(rules), marker)
+
+
+def scan_numbered(corpus: DataFrame, rules: list[tuple[int, dict, str | None]], marker: str) -> DataFrame:
     found = []
-    for i in range(0, len(numbered), RULES_PER_PASS):
-        searched = [(k, r, search_pattern(r["pattern"])) for k, r in numbered[i : i + RULES_PER_PASS]]
-        quick = [(k, r) for k, r, p in searched if p]
-        if quick:
-            found.append(match_rules(candidate_lines(corpus, [p for _, _, p in searched if p]), quick, marker))
-        if slow := [(k, r) for k, r, p in searched if not p]:
+    for i in range(0, len(rules), RULES_PER_PASS):
+        part = rules[i : i + RULES_PER_PASS]
+        if quick := [(k, r) for k, r, search in part if search]:
+            found.append(match_rules(candidate_lines(corpus, [s for _, _, s in part if s]), quick, marker))
+        if slow := [(k, r) for k, r, search in part if not search]:
             found.append(match_rules(explode_lines(corpus), slow, marker))
     return reduce(DataFrame.unionByName, found) if found else _no_findings(corpus)
 
@@ -51,9 +59,14 @@ def match_rules(lines: DataFrame, rules: list[tuple[int, dict]], marker: str = C
     The rules are constants of the query, so each pattern is compiled once per
     task and nothing is joined.
     """
-    tests = [f"line RLIKE {sql_text(rule_regex(r['pattern']))}" for _, r in rules]
-    found = lines.select("path", "line_no", F.col("line").alias("text"), which(tests))
-    return findings_of(found, rules, marker, REGEX_ENGINE, "rule_no", "line_no")
+    found = lines.select("path", "line_no", F.col("line").alias("text"))
+    found = found.select("*", which([rule_matches(r) for _, r in rules]))
+    return findings_of(found, rules, marker, F.lit(REGEX_ENGINE), F.col("rule_no"), F.col("line_no"))
+
+
+def rule_matches(rule: dict) -> str:
+    """SQL test: the pattern is found in the text of the line."""
+    return f"text RLIKE {sql_text(rule_regex(rule['pattern']))}"
 
 
 def which(tests: list[str]) -> Column:
@@ -70,11 +83,13 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def findings_of(found: DataFrame, rules: list[tuple[int, dict]], marker: str, engine: int, k1: str, k2: str) -> DataFrame:
+def findings_of(
+    found: DataFrame, rules: list[tuple[int, dict]], marker: str, engine: Column, k1: Column, k2: Column
+) -> DataFrame:
     """Findings from (.., text, test) rows, where ``test`` is a place in ``rules``."""
     found = found.filter("test IS NOT NULL").withColumn("rule", F.get(_rule_table(rules), F.col("test")))
     found = found.filter(not_suppressed(F.col("text"), F.col("rule.rule_id"), marker))
-    return to_finding(found.withColumn("rule_no", F.col("rule.rule_no")), engine, F.col(k1), F.col(k2))
+    return to_finding(found.withColumn("rule_no", F.col("rule.rule_no")), engine, k1, k2)
 
 
 def _rule_table(rules: list[tuple[int, dict]]) -> Column:
@@ -90,7 +105,7 @@ def _rule_table(rules: list[tuple[int, dict]]) -> Column:
 _RULE_TABLE = "array<struct<rule_no:int,rule_id:string,description:string,severity:string,suggestion:string>>"
 
 
-def to_finding(found: DataFrame, engine: int, k1: Column, k2: Column) -> DataFrame:
+def to_finding(found: DataFrame, engine: Column, k1: Column, k2: Column) -> DataFrame:
     """Finding rows from (path, line_no, text, rule)."""
     return found.select(
         F.col("rule.rule_id").alias("rule_id"),
@@ -103,7 +118,7 @@ def to_finding(found: DataFrame, engine: int, k1: Column, k2: Column) -> DataFra
         F.col("rule.suggestion").alias("suggestion"),
         F.lit(None).cast("double").alias("confidence"),
         F.lit(0).alias("phase"),
-        F.lit(engine).alias("engine"),
+        engine.alias("engine"),
         k1.cast("int").alias("k1"),
         k2.cast("int").alias("k2"),
     )
