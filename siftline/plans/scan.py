@@ -27,6 +27,7 @@ from siftline.operators.requests import (
 from siftline.operators.reviews import all_reviews, keep_live_reviews
 from siftline.plans.materialize import keep
 from siftline.schemas import RESPONSE
+from siftline.sources.local import table_of
 from siftline.sources.responses import append_responses, latest_responses
 
 
@@ -95,7 +96,7 @@ def _answer(
 ) -> DataFrame:
     """Requests with stored and new replies."""
     if responses is None:
-        responses = requests.sparkSession.createDataFrame([], RESPONSE)
+        responses = table_of(requests.sparkSession, [], RESPONSE)
     stored = latest_responses(responses)
     if ask is None:
         return keep(match_responses(requests, stored).withColumn("asked", F.col("cache_hit")))

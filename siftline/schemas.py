@@ -25,7 +25,7 @@ ORDERED_RULE = T.StructType(
     [*RULE.fields, T.StructField("pack_ord", T.IntegerType()), T.StructField("rule_ord", T.IntegerType())]
 )
 
-PRESET = "name string, fail_on string, enabled_groups array<string>, disabled_rule_ids array<string>"
+PRESET = "name:string,fail_on:string,enabled_groups:array<string>,disabled_rule_ids:array<string>"
 
 # phase, engine, k1 and k2 give the order findings are reported in: static
 # findings per file (regex by rule and line, then calls), discovered ones last.
@@ -41,8 +41,8 @@ REVIEW_COLUMNS = [
     "stage", "ord",
 ]
 
-BASELINE = "signature string"
-RESPONSE = "prompt_hash string, raw_text string, provider string, model string"
+BASELINE = "signature:string"
+RESPONSE = "prompt_hash:string,raw_text:string,provider:string,model:string"
 
 # Member names of the reply documents.
 DISCOVERY_REPLY = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions.text import signature
 from siftline.schemas import BASELINE
 from siftline.sources.files import locate
+from siftline.sources.local import table_of
 
 
 def signatures(findings: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def read_baseline(spark: SparkSession, location: str) -> DataFrame:
     """
     place = locate(spark, location, names=True)
     if place is None:
-        return spark.createDataFrame([], BASELINE)
+        return table_of(spark, [], BASELINE)
     if any(name.endswith(".parquet") for name in [place.path, *place.names]):
         return spark.read.parquet(location).select("signature")
     text = spark.read.text(location, wholetext=not place.is_dir)

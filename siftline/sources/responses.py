@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.schemas import RESPONSE
 from siftline.sources.files import locate
+from siftline.sources.local import table_of
 
 _COLUMNS = ["prompt_hash", "raw_text", "provider", "model"]
 
@@ -14,7 +15,7 @@ _COLUMNS = ["prompt_hash", "raw_text", "provider", "model"]
 def read_responses(spark: SparkSession, location: str) -> DataFrame:
     """The reply to each prompt; where a prompt was stored twice, the later reply."""
     if locate(spark, location) is None:
-        return spark.createDataFrame([], RESPONSE)
+        return table_of(spark, [], RESPONSE)
     return latest_responses(spark.read.parquet(location))
 
 

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from siftline import catalogue as C
 from siftline.schemas import ORDERED_RULE, PRESET, RULE
 from siftline.sources.files import locate
+from siftline.sources.local import table_of
 
 MAX_RULES = 20_000
 
 
 def rules_from(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules given as dicts, in list order."""
-    rows = [tuple(r.get(f.name) for f in RULE.fields) + (0, i) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, ORDERED_RULE)
+    rows = [{**r, "pack_ord": 0, "rule_ord": i} for i, r in enumerate(rules)]
+    return table_of(spark, rows, ORDERED_RULE)
 
 
 def builtin_rules(spark: SparkSession) -> DataFrame:
@@ -93,8 +94,7 @@ def filter_rules(
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    rows = [(p["name"], p["fail_on"], p["enabled_groups"], p["disabled_rule_ids"]) for p in C.PRESETS]
-    return spark.createDataFrame(rows, PRESET)
+    return table_of(spark, C.PRESETS, PRESET)
 
 
 def apply_preset(rules: DataFrame, presets: DataFrame, name: str) -> DataFrame:
