@@ -19,19 +19,18 @@ def found_in(text: Column, patterns: list[str]) -> Column:
     return find.asNondeterministic()(text)  # see find_lines
 
 
-LINE = "struct<line_no:int,line:string>"
-
-
 def find_lines(content: Column, patterns: list[str], every: int = 0) -> Column:
     """Lines of a text on which one of the RE2 patterns is found, ignoring case.
 
-    Gives ``array<struct<line_no, line>>`` in line order; with ``every`` also each
-    ``every``-th line, starting with the first.  Whole Arrow batches are searched
-    by native code, one pass for all patterns.
+    Gives ``array<struct<line_no, line, found>>`` in line order, where ``found``
+    lists the places of the patterns in the list.  With ``every`` each
+    ``every``-th line comes too, starting with the first.  Whole Arrow batches are
+    searched by native code: one pass for all patterns together, then each
+    pattern on the lines that are left.
     """
     regex = "|".join(f"(?:{p})" for p in patterns)
 
-    @F.arrow_udf(f"array<{LINE}>")
+    @F.arrow_udf("array<struct<line_no:int,line:string,found:array<int>>>")
     def find(texts: pa.Array) -> pa.Array:
         if not every:  # a text without a match anywhere need not be split
             texts = pc.if_else(pc.match_substring_regex(texts, regex, ignore_case=True), texts, None)
@@ -44,11 +43,20 @@ def find_lines(content: Column, patterns: list[str], every: int = 0) -> Column:
         if every:
             hits = hits | ((line_no - 1) % every == 0)
         at = np.flatnonzero(hits)
-        ends = np.cumsum(np.bincount(text_of[at], minlength=len(texts)))
+        kept = flat.take(pa.array(at))
         rows = pa.StructArray.from_arrays(
-            [pa.array(line_no[at], pa.int32()), flat.take(pa.array(at))], names=["line_no", "line"]
+            [pa.array(line_no[at], pa.int32()), kept, _found(kept)], names=["line_no", "line", "found"]
         )
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), rows)
+        return _lists(np.bincount(text_of[at], minlength=len(texts)), rows)
+
+    def _found(kept: pa.Array) -> pa.Array:
+        """For each line the numbers of the patterns found on it."""
+        per_pattern = [pc.match_substring_regex(kept, p, ignore_case=True).to_numpy(zero_copy_only=False) for p in patterns]
+        line, number = np.nonzero(np.column_stack(per_pattern))
+        return _lists(np.bincount(line, minlength=len(kept)), pa.array(number, pa.int32()))
+
+    def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
     # not deterministic to the optimizer, which would otherwise search twice:
     # once for a filter on the lines found and once for the lines

@@ -13,7 +13,7 @@ from bisect import bisect_right
 from typing import NamedTuple
 
 _TOKEN = re.compile(
-    r"""(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z))*
+    r"""(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z))*+
     (?:(?P<string>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?)
     |(?P<name>[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*)
     |(?P<number>\d[\w.]*)
@@ -23,7 +23,7 @@ _TOKEN = re.compile(
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{|\Z)", re.DOTALL)
 _TYPE_ARGUMENTS = re.compile(r"""<[\w\s.,<>\[\]|&"'$]*>(?=\s*\()""")
-_BODY = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*(?:\{|=>)", re.DOTALL)
+_BODY = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*+(?:\{|=>)", re.DOTALL)
 
 _CONTROL = frozenset("if for while switch catch with".split())
 _KEYWORDS = _CONTROL | frozenset(
@@ -34,9 +34,18 @@ _MODIFIERS = frozenset("async static get set public private protected readonly o
 
 
 class Call(NamedTuple):
+    text: str
     start: int
+    callee_end: int
     end: int
-    callee: str
+
+    @property
+    def callee(self) -> str:
+        """Cut out only when asked for: the callees of a long chain hold one another."""
+        return self.text[self.start : self.callee_end]
+
+    def ends_in(self, name: str) -> bool:
+        return self.text.endswith(name, self.start, self.callee_end)
 
 
 class _Operand(NamedTuple):
@@ -163,7 +172,7 @@ def _close(text: str, word: str, end: int, stack: list[_Open], found: list[Call]
 
 
 def _call(text: str, opened: _Open, end: int) -> Call:
-    return Call(opened.start, end, text[opened.start : opened.operand.end])
+    return Call(text, opened.start, opened.operand.end, end)
 
 
 def line_starts(text: str) -> list[int]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftline import catalogue as C
 from siftline.functions.script import calls_in, line_of, line_starts
 from siftline.functions.text import is_script
-from siftline.operators.match import CALL_ENGINE, findings_of, sql_text, which
+from siftline.operators.match import CALL_ENGINE, findings_of
 
 _CALLS = "array<struct<call_no:int,line_no:int,callee:string,text:string>>"
 
@@ -31,13 +31,15 @@ def find_sites(content: Column, script: Column, names: list[str] | None) -> Colu
 
     def _sites(text: str) -> list[dict]:
         starts = line_starts(text)
+        lines: dict[int, str] = {}
         rows = []
         for number, call in enumerate(calls_in(text)):
-            if names is None or any(call.callee.endswith(n) for n in names):
+            if names is None or any(call.ends_in(n) for n in names):
                 line = line_of(starts, call.start)
-                end = text.find("\n", call.start)
-                whole = text[starts[line - 1] : end if end >= 0 else len(text)]
-                rows.append({"call_no": number, "line_no": line, "callee": call.callee, "text": whole})
+                if line not in lines:  # calls on one line share its text
+                    end = text.find("\n", call.start)
+                    lines[line] = text[starts[line - 1] : end if end >= 0 else len(text)]
+                rows.append({"call_no": number, "line_no": line, "callee": call.callee, "text": lines[line]})
         return rows
 
     return find.asNondeterministic()(content, script)  # see find_lines
@@ -58,9 +60,9 @@ def call_sites(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
     return scripts.select("path", F.inline(find_sites(F.col("content"), F.lit(True), names)))
 
 
-def call_matches(target: str) -> str:
-    """SQL test: the callee is the target or ends in it after a dot."""
-    return f"(callee = {sql_text(target)} OR endswith(callee, {sql_text('.' + target)}))"
+def calls_target(callee: Column, target: str) -> Column:
+    """The callee is the target or ends in it after a dot."""
+    return (callee == target) | callee.endswith("." + target)
 
 
 def call_rules(rules: list[dict]) -> list[tuple[int, dict, str]]:
@@ -72,7 +74,8 @@ def call_rules(rules: list[dict]) -> list[tuple[int, dict, str]]:
 def match_calls(sites: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:
     """Findings of call rules on call sites; the marker is looked for on the start line."""
     selectors = call_rules(rules)
-    found = sites.select("path", "call_no", "line_no", "text", which([call_matches(t) for _, _, t in selectors]))
+    tests = F.array(*[F.when(calls_target(F.col("callee"), t), F.lit(i)) for i, (_, _, t) in enumerate(selectors)])
+    found = sites.select("path", "call_no", "line_no", "text", F.explode(tests).alias("test"))
     numbered = [(k, r) for k, r, _ in selectors]
     return findings_of(found, numbered, marker, F.lit(CALL_ENGINE), F.col("call_no"), F.col("rule_no"))
 

@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 from siftline import catalogue as C
 from siftline.functions.finder import find_lines
 from siftline.functions.text import at_least, is_script, signature
-from siftline.operators.calls import call_matches, call_rules, find_sites, scan_calls
+from siftline.operators.calls import call_rules, calls_target, find_sites, scan_calls
 from siftline.operators.match import (
     CALL_ENGINE,
     REGEX_ENGINE,
     RULES_PER_PASS,
+    confirmed,
     findings_of,
     regex_rules,
-    rule_matches,
     scan_numbered,
     scan_regex,
-    which,
 )
 from siftline.schemas import FINDING_COLUMNS, FINDING_ORDER
 
@@ -55,17 +54,22 @@ def _joint_pass(
         find_sites(F.col("content"), is_script(F.col("path")), targets).alias("sites"),
     )
 
-    def place(engine: int, at: Column, text: str, **call: Column) -> Column:
+    def place(engine: int, at: Column, text: str, call_no: Column, tests: Column) -> Column:
         return F.struct(
             F.lit(engine).alias("engine"), at["line_no"].alias("line_no"), at[text].alias("text"),
-            call.get("call_no", F.lit(0)).alias("call_no"), call.get("callee", F.lit("")).alias("callee"),
+            call_no.alias("call_no"), tests.alias("tests"),
         )
 
-    lines = F.transform("lines", lambda x: place(REGEX_ENGINE, x, "line"))
-    sites = F.transform("sites", lambda x: place(CALL_ENGINE, x, "text", call_no=x["call_no"], callee=x["callee"]))
-    tests = [f"engine = {REGEX_ENGINE} AND {rule_matches(r)}" for _, r in regex]
-    tests += [f"engine = {CALL_ENGINE} AND {call_matches(target)}" for _, _, target in calls]
-    found = looked_at.select("path", F.inline(F.concat(lines, sites))).select("*", which(tests))
+    def named(callee: Column) -> Column:
+        """Numbers of the call rules, after those of the regex rules."""
+        tests = [F.when(calls_target(callee, t), F.lit(len(regex) + i)) for i, (_, _, t) in enumerate(calls)]
+        return F.filter(F.array(*tests), F.isnotnull)
+
+    lines = F.transform("lines", lambda x: place(REGEX_ENGINE, x, "line", F.lit(0), x["found"]))
+    sites = F.transform("sites", lambda x: place(CALL_ENGINE, x, "text", x["call_no"], named(x["callee"])))
+    found = looked_at.select("path", F.inline(F.concat(lines, sites)))
+    found = found.select("path", "engine", "line_no", "text", "call_no", F.explode("tests").alias("test"))
+    found = found.filter(confirmed([r for _, r in regex]))
     by_rule = F.col("engine") == REGEX_ENGINE
     return findings_of(
         found, regex + [(k, r) for k, r, _ in calls], marker, F.col("engine"),

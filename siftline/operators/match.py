@@ -41,27 +41,29 @@ def scan_numbered(corpus: DataFrame, rules: list[tuple[int, dict, str | None]],
     found = []
     for i in range(0, len(rules), RULES_PER_PASS):
         part = rules[i : i + RULES_PER_PASS]
-        if quick := [(k, r) for k, r, search in part if search]:
-            found.append(match_rules(candidate_lines(corpus, [s for _, _, s in part if s]), quick, marker))
-        if slow := [(k, r) for k, r, search in part if not search]:
-            found.append(match_rules(explode_lines(corpus), slow, marker))
+        if quick := [(k, r, search) for k, r, search in part if search]:
+            lines = corpus.select("path", F.inline(find_lines(F.col("content"), [search for _, _, search in quick])))
+            tried = lines.select("path", "line_no", F.col("line").alias("text"), F.explode("found").alias("test"))
+            found.append(_regex_findings(tried.filter(confirmed([r for _, r, _ in quick])), quick, marker))
+        if slow := [(k, r, search) for k, r, search in part if not search]:
+            lines = explode_lines(corpus).withColumnRenamed("line", "text")
+            tried = lines.select("*", which([rule_matches(r) for _, r, _ in slow]))
+            found.append(_regex_findings(tried, slow, marker))
     return reduce(DataFrame.unionByName, found) if found else _no_findings(corpus)
 
 
-def candidate_lines(corpus: DataFrame, patterns: list[str]) -> DataFrame:
-    """(path, line_no, line) of the lines on which an RE2 pattern is found."""
-    return corpus.select("path", F.inline(find_lines(F.col("content"), patterns)))
+def _regex_findings(tried: DataFrame, rules: list[tuple[int, dict, str | None]], marker: str) -> DataFrame:
+    numbered = [(k, r) for k, r, _ in rules]
+    return findings_of(tried, numbered, marker, F.lit(REGEX_ENGINE), F.col("rule_no"), F.col("line_no"))
 
 
-def match_rules(lines: DataFrame, rules: list[tuple[int, dict]], marker: str = C.IGNORE_MARKER) -> DataFrame:
-    """Findings of numbered rules on (path, line_no, line).
+def confirmed(rules: list[dict]) -> Column:
+    """Does the rule RE2 picked, the one in ``test``, match as ECMAScript has it?
 
-    The rules are constants of the query, so each pattern is compiled once per
-    task and nothing is joined.
+    The rules are constants of the query: each pattern is compiled once per task.
     """
-    found = lines.select("path", "line_no", F.col("line").alias("text"))
-    found = found.select("*", which([rule_matches(r) for _, r in rules]))
-    return findings_of(found, rules, marker, F.lit(REGEX_ENGINE), F.col("rule_no"), F.col("line_no"))
+    cases = " ".join(f"WHEN {i} THEN {rule_matches(r)}" for i, r in enumerate(rules))
+    return F.expr(f"CASE test {cases} ELSE true END")
 
 
 def rule_matches(rule: dict) -> str:
@@ -70,7 +72,7 @@ def rule_matches(rule: dict) -> str:
 
 
 def which(tests: list[str]) -> Column:
-    """One row per test that holds, with its number in ``test``.
+    """One row per test, with its number in ``test``, or null where it does not hold.
 
     The tests are SQL: hundreds of them parse at once much faster than they are
     put together column by column.
@@ -125,4 +127,5 @@ def to_finding(found: DataFrame, engine: Column, k1: Column, k2: Column) -> Data
 
 
 def _no_findings(corpus: DataFrame) -> DataFrame:
-    return match_rules(explode_lines(corpus.limit(0)), [(0, {"id": "", "pattern": "x"})])
+    nothing = explode_lines(corpus.limit(0)).select("path", "line_no", F.col("line").alias("text"), F.lit(0).alias("test"))
+    return _regex_findings(nothing, [(0, {"id": ""}, None)], C.IGNORE_MARKER)

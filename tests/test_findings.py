@@ -173,3 +173,22 @@ def test_rules_without_a_group_vanish_once_groups_are_chosen():
     rules = [{"id": "A", "group": None}, {"id": "B", "group": "g"}]
     assert [r["id"] for r in ScanConfig(enabled_groups=["g"]).choose(rules)] == ["B"]
     assert len(ScanConfig(enabled_groups=[]).choose(rules)) == 2
+
+
+def test_a_long_line_is_only_tried_with_the_rules_found_on_it(corpus):
+    line = "write " * 60_000 + "eval(1)"
+    rows = scan_regex(corpus(a_js=line), RULES).collect()
+    assert [(r.rule_id, len(r.snippet)) for r in rows] == [("SEC-001", len(line))]
+
+
+def test_one_file_may_hold_nearly_all_findings(corpus):
+    text = "\n".join(["http://a.b"] * 20_000)
+    findings = scan_regex(corpus(hot_js=text, a_js="http://a.b"), RULES)
+    assert findings.count() == 20_001
+    assert first_per_path(findings).groupBy("path").count().orderBy("path").collect() == [("a.js", 1), ("hot.js", 8)]
+
+
+def test_the_corpus_is_read_once_for_both_engines(corpus):
+    plan = static_findings(corpus(a_js="x"), RULES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert "Exchange" not in plan

@@ -61,3 +61,31 @@ def test_null_content_has_no_calls(spark):
     from siftline.operators.calls import call_sites
 
     assert call_sites(spark.createDataFrame([("a.ts", None)], "path string, content string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "exec(x)" + " " * 5000 + "y",
+        "exec(x)\n" + "/" * 400 + "\ny",
+        "exec(x) " + "/* c */ " * 400 + "y",
+        "exec(x) " + "// " * 400,
+        "exec" + "(" * 2000,
+        "exec" + "<" * 2000 + "x",
+        "/" * 3 + "exec(x)\n" + "a=/[" * 500,
+    ],
+    ids=["spaces", "slashes", "comments", "line comment", "open", "angles", "regex"],
+)
+def test_odd_texts_take_no_longer_than_plain_ones(text):
+    import time
+
+    start = time.perf_counter()
+    calls_in(text)
+    assert time.perf_counter() - start < 2
+
+
+def test_long_chains_do_not_copy_their_callees():
+    calls = calls_in("a" + ".b()" * 20_000 + ".exec(x)")
+    assert len(calls) == 20_001
+    assert calls[0].ends_in(".exec")
+    assert calls[-1].callee == "a.b"
