@@ -51,7 +51,7 @@ FINDING = (
     + trim("h.line")
     + " AS snippet, r.fix AS suggestion, CAST(NULL AS DOUBLE) AS confidence, 0 AS phase"
 )
-PUBLIC = 'rule_id, description, severity, path, line, "column", snippet, suggestion, confidence'
+PUBLIC = "rule_id, description, severity, path, line, snippet, suggestion"
 
 
 def regex_part(rules: list[dict], source: str = "lines", name: str = "regex_findings", marker: bool = True, table="rules") -> str:
@@ -248,7 +248,7 @@ def discovery_items() -> list[str]:
 
 
 REVIEW = (
-    'id, title, category, severity, confidence, needs_review, path, line, "column", evidence, attack_scenario, fix, '
+    "id, title, category, severity, confidence, needs_review, path, line, evidence, attack_scenario, fix, "
     "safe_alternative, provider, model, prompt_hash, stage, ord"
 )
 
@@ -435,7 +435,7 @@ def all_review_parts() -> list[str]:
 
 
 def reviews_union() -> str:
-    columns = REVIEW + ", related_rule_ids"
+    columns = REVIEW + ', "column", related_rule_ids'
     return f"(SELECT {columns} FROM discovery_reviews UNION ALL SELECT {columns} FROM review_records)"
 
 
@@ -452,7 +452,7 @@ ORACLES: dict[str, str] = {
     "limited_files": with_(corpus()) + f"SELECT path FROM corpus ORDER BY path LIMIT {LIMIT}",
     "rules_by_preset": with_(*static()) + presets_sql(),
     "rules_by_engine": with_(*static())
-    + "SELECT r.id, r.engine AS type, coalesce(r.pattern, r.target) AS looks_for, nullif(count(f.rule_id), 0) AS n"
+    + "SELECT r.id, r.engine AS type, coalesce(r.pattern, r.target) AS looks_for, count(f.rule_id) AS n"
     " FROM rules r LEFT JOIN findings f ON f.rule_id = r.id GROUP BY ALL",
     "rules_filtered": with_(*static(FILTERED)) + f"SELECT {PUBLIC} FROM findings",
     "rule_pack_union": with_(corpus(), lines("corpus", "lines"), rule_rows(ALL_RULES), regex_part(ALL_RULES))
@@ -577,6 +577,12 @@ ORACLES: dict[str, str] = {
     + f"""SELECT path, page_id, {EXT} AS extension, regexp_matches(path, '[^/]\\.(ts|tsx|js|jsx)$', 'i') AS script,
       sha1(path || '|c|T|' || coalesce(CAST(page_id AS VARCHAR), '') || '|') AS id FROM
       (SELECT url AS path, page_id FROM pages UNION ALL SELECT path, NULL FROM corpus)""",
+    "reviewed_scan": with_(*discovery_items(), *static()[1:])
+    + """SELECT 'finding' AS kind, rule_id, severity, count(*) AS n FROM (SELECT rule_id, severity FROM findings
+      UNION ALL SELECT rule_id, severity FROM discovered) GROUP BY ALL
+      UNION ALL SELECT 'record', 'LLM-DISC-' || """
+    + SLUG
+    + """ AS rule_id, severity, count(*) FROM discovery_reviews GROUP BY ALL""",
     "full_scan": with_(
         f"corpus AS MATERIALIZED (SELECT * FROM ({P.corpus_sql()}) WHERE {KEPT_PATHS})", *static(C.BUILTIN_RULES)[1:],
     )

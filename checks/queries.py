@@ -88,9 +88,10 @@ INLINE_RULES = [
 ]
 LIMIT = 100
 
-FINDING = ["rule_id", "description", "severity", "path", "line", "column", "snippet", "suggestion", "confidence"]
+# What static findings and records fill in; regex_findings shows all columns.
+FINDING = ["rule_id", "description", "severity", "path", "line", "snippet", "suggestion"]
 REVIEW = [
-    "id", "title", "category", "severity", "confidence", "needs_review", "path", "line", "column", "evidence",
+    "id", "title", "category", "severity", "confidence", "needs_review", "path", "line", "evidence",
     "attack_scenario", "fix", "safe_alternative", "provider", "model", "prompt_hash", "stage", "ord",
 ]
 
@@ -181,7 +182,8 @@ def q_rules_by_engine(s: SparkSession, d: str) -> DataFrame:
     pack = builtin_rules(s)
     regex = rules_of(pack, "regex").select("id", "type", F.col("pattern").alias("looks_for"))
     calls = call_selectors(pack).select("id", "type", F.col("target").alias("looks_for"))
-    return regex.unionByName(calls).join(found, F.col("id") == F.col("rule_id"), "left").select("id", "type", "looks_for", "n")
+    counted = regex.unionByName(calls).join(found, F.col("id") == F.col("rule_id"), "left")
+    return counted.select("id", "type", "looks_for", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def q_suppressed_lines(s: SparkSession, d: str) -> DataFrame:
@@ -364,6 +366,16 @@ def q_full_scan(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_reviewed_scan(s: SparkSession, d: str) -> DataFrame:
+    """A scan with stored replies to the discovery requests: findings and records by rule."""
+    corpus = planted_corpus(s, d)
+    replies = planted_responses(discovery_requests(corpus), "discovery")
+    result = scan(corpus, RULES, responses=replies)
+    found = result.findings.select("rule_id", "severity", F.lit("finding").alias("kind"))
+    records = result.reviews.select(category_slug(F.col("category")).alias("rule_id"), "severity", F.lit("record").alias("kind"))
+    return found.unionByName(records).groupBy("kind", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_scan_by_group(s: SparkSession, d: str) -> DataFrame:
     found = planted_findings(s, d).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
     groups = builtin_rules(s).select(F.col("id").alias("rule_id"), "group")
@@ -447,6 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "path_functions": q_path_functions,
     # end to end
     "full_scan": q_full_scan,
+    "reviewed_scan": q_reviewed_scan,
 }
 
 
