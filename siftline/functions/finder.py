@@ -8,9 +8,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions.patterns import either
+
 def found_in(text: Column, patterns: list[str]) -> Column:
     """True where one of the RE2 patterns is found, ignoring case."""
-    regex = "|".join(f"(?:{p})" for p in patterns)
+    regex = either(patterns)
 
     @F.arrow_udf("boolean")
     def find(texts: pa.Array) -> pa.Array:
@@ -28,12 +30,12 @@ def find_lines(content: Column, patterns: list[str], every: int = 0) -> Column:
     searched by native code: one pass for all patterns together, then each
     pattern on the lines that are left.
     """
-    regex = "|".join(f"(?:{p})" for p in patterns)
+    regex = either(patterns)
 
     @F.arrow_udf("array<struct<line_no:int,line:string,found:array<int>>>")
     def find(texts: pa.Array) -> pa.Array:
-        if not every:  # a text without a match anywhere need not be split
-            texts = pc.if_else(pc.match_substring_regex(texts, regex, ignore_case=True), texts, None)
+        if not every:  # a text without a match on any line need not be split
+            texts = pc.if_else(pc.match_substring_regex(texts, f"(?m)(?:{regex})", ignore_case=True), texts, None)
         lines = pc.split_pattern(texts, "\n")
         bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy())])
         flat = lines.flatten()

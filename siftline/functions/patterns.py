@@ -46,7 +46,7 @@ _RE2 = {
     "outside": {"b": r"\b", "B": r"\B", "s": f"[{_RE2_SPACE}]", "S": r"\S"},
     "inside": {"b": r"\x08", "s": _RE2_SPACE, "S": r"\S"},
     ".": ".",
-    "$": r"\z",
+    "$": "$",
     "nothing": r"[^\x{0}-\x{10FFFF}]",
 }
 
@@ -121,13 +121,17 @@ def rule_regex(pattern: str) -> str:
 def search_pattern(pattern: str) -> str | None:
     """RE2 pattern, ignoring case, found on every line the rule matches; None if there is none."""
     whole = to_re2(pattern)
-    if _re2_accepts(whole):
+    if re2_accepts(whole):
         return whole
     words = required_words(pattern)
     return "|".join(re.escape(w) for w in words) if words else None
 
 
-def _re2_accepts(pattern: str) -> bool:
+def either(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def re2_accepts(pattern: str) -> bool:
     try:
         pc.match_substring_regex(pa.array([""]), pattern, ignore_case=True)
     except pa.ArrowInvalid:
@@ -186,4 +190,4 @@ def any_of(patterns: list[str]) -> str:
     free = [to_java(p) for p in patterns if p[2:] not in bound]
     if bound:
         free.append(f"(?<![{_WORD}])(?:" + "|".join(to_java(p) for p in bound) + ")")
-    return "(?i)" + "|".join(f"(?:{p})" for p in free)
+    return "(?i)" + either(free)

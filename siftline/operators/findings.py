@@ -14,9 +14,9 @@ from siftline.operators.calls import call_rules, calls_target, find_sites, scan_
 from siftline.operators.match import (
     CALL_ENGINE,
     REGEX_ENGINE,
-    RULES_PER_PASS,
     confirmed,
     findings_of,
+    one_pass,
     regex_rules,
     scan_numbered,
     scan_regex,
@@ -31,12 +31,12 @@ def static_findings(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE
     Rules that do not fit into this pass are scanned for on their own.
     """
     regex, calls = regex_rules(rules), call_rules(rules)
-    joint = [(k, r) for k, r, search in regex if search][:RULES_PER_PASS]
+    joint = one_pass([rule for rule in regex if rule[2]])
     if not joint or not calls:
         return scan_regex(corpus, rules, marker).unionByName(scan_calls(corpus, rules, marker))
-    taken = {k for k, _ in joint}
-    found = _joint_pass(corpus, joint, [s for k, _, s in regex if k in taken], calls, marker)
-    rest = [entry for entry in regex if entry[0] not in taken]
+    found = _joint_pass(corpus, [(k, r) for k, r, _ in joint], [search for _, _, search in joint], calls, marker)
+    taken = {k for k, _, _ in joint}
+    rest = [rule for rule in regex if rule[0] not in taken]
     return found.unionByName(scan_numbered(corpus, rest, marker)) if rest else found
 
 

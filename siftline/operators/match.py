@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftline import catalogue as C
 from siftline.functions.finder import find_lines
 from siftline.functions.lines import not_suppressed
-from siftline.functions.patterns import rule_regex, search_pattern
+from siftline.functions.patterns import either, re2_accepts, rule_regex, search_pattern
 from siftline.functions.text import trim_ws
 from siftline.operators.lines import explode_lines
 
@@ -39,19 +39,30 @@ def scan_regex(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARK
 
 def scan_numbered(corpus: DataFrame, rules: list[tuple[int, dict, str | None]], marker: str) -> DataFrame:
     found = []
-    for i in range(0, len(rules), RULES_PER_PASS):
-        part = rules[i : i + RULES_PER_PASS]
-        if quick := [(k, r, search) for k, r, search in part if search]:
-            lines = corpus.select("path", F.inline(find_lines(F.col("content"), [search for _, _, search in quick])))
-            tried = lines.select("path", "line_no", F.col("line").alias("text"), F.explode("found").alias("test"))
-            found.append(_regex_findings(tried.filter(confirmed([r for _, r, _ in quick])), quick, marker))
-        if slow := [(k, r, search) for k, r, search in part if not search]:
-            lines = explode_lines(corpus).withColumnRenamed("line", "text")
-            tried = lines.select("*", which([rule_matches(r) for _, r, _ in slow]))
-            found.append(_regex_findings(tried, slow, marker))
+    quick = [rule for rule in rules if rule[2]]
+    while quick:
+        part = one_pass(quick)
+        quick = quick[len(part) :]
+        lines = corpus.select("path", F.inline(find_lines(F.col("content"), [search for _, _, search in part])))
+        tried = lines.select("path", "line_no", F.col("line").alias("text"), F.explode("found").alias("test"))
+        found.append(_regex_findings(tried.filter(confirmed([r for _, r, _ in part])), part, marker))
+    slow = [rule for rule in rules if not rule[2]]
+    for i in range(0, len(slow), RULES_PER_PASS):
+        part = slow[i : i + RULES_PER_PASS]
+        lines = explode_lines(corpus).withColumnRenamed("line", "text")
+        tried = lines.select("*", which([rule_matches(r) for _, r, _ in part]))
+        found.append(_regex_findings(tried, part, marker))
     return reduce(DataFrame.unionByName, found) if found else _no_findings(corpus)
 
 
+def one_pass(rules: list[tuple[int, dict, str]]) -> list[tuple[int, dict, str]]:
+    """As many of the rules, from the first on, as RE2 takes in one pattern."""
+    size = min(len(rules), RULES_PER_PASS)
+    while size > 1 and not re2_accepts(either([search for _, _, search in rules[:size]])):
+        size //= 2
+    return rules[:size]
+
+
 def _regex_findings(tried: DataFrame, rules: list[tuple[int, dict, str | None]], marker: str) -> DataFrame:
     numbered = [(k, r) for k, r, _ in rules]
     return findings_of(tried, numbered, marker, F.lit(REGEX_ENGINE), F.col("rule_no"), F.col("line_no"))

@@ -152,7 +152,8 @@ def _document(parts: list[DataFrame]) -> DataFrame:
 
 
 def _now() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def json_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | None = None, review_stats: DataFrame | None = None) -> DataFrame:
@@ -198,19 +199,15 @@ def markdown_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | N
     some = F.col("issues_found") > 0
     found = F.when(some, F.format_string("## %d problems found\n", "issues_found")).otherwise(F.lit("## No problems found\n"))
     head = F.concat(
-        F.lit("# Content scan report\n\nDate: "), _now(),
-        F.lit("\n\nFiles scanned: "), F.col("files_scanned").cast("string"), F.lit("\n\n"), found,
-    )
-    parts = [
-        _fixed(stats, 0, head),
-        _listed(markdown_rows(findings), 2, "markdown"),
-    ]
+        F.lit("# Content scan report\n\nDate: "), _now(), F.lit("\n\nFiles scanned: "), F.col("files_scanned").cast("string"), F.lit("\n")
+    )
+    parts = [_fixed(stats, 0, head), _fixed(stats, 2, found), _listed(markdown_rows(findings), 3, "markdown")]
     if reviews is not None:
         count = reviews.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
         parts += [
             _fixed(count, 1, F.format_string("Review records: %d\n", "n")),
-            _fixed(count, 3, F.lit("## Review records\n")),
-            _listed(markdown_reviews(reviews), 4, "markdown"),
+            _fixed(count, 4, F.lit("## Review records\n")),
+            _listed(markdown_reviews(reviews), 5, "markdown"),
         ]
     return _document(parts)
 

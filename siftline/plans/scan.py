@@ -50,15 +50,19 @@ def scan(
     responses: DataFrame | None = None,
     ask: Callable[[str, str], str] | None = None,
     store: str | None = None,
+    scanners: list[Callable[[DataFrame], DataFrame]] | None = None,
 ) -> ScanResult:
     """Scan a corpus.
 
+    Further ``scanners`` take the corpus and return findings of their own.
+
     With stored ``responses``, or with ``ask`` to get new ones, a model reviewer
     takes part: first it names further findings, then it comments on the findings
     the baseline leaves.  New replies are appended to ``store`` when it is given.
     """
     config = config or ScanConfig()
     found = static_findings(corpus, config.choose(rules), config.marker)
+    found = all_findings(found, *[scanner(corpus) for scanner in scanners or []])
     reviewed = responses is not None or ask is not None
     records, counts = [], []
 

@@ -75,6 +75,17 @@ def test_rules_that_need_look_around_are_tried_on_every_line(corpus):
     assert found(scan_regex(corpus(a_js="abc\nab12\ntokens\nTOKEN"), rules)) == [("a.js", 2, "L"), ("a.js", 4, "W")]
 
 
+def test_anchors_stand_for_the_ends_of_a_line(corpus):
+    rules = [
+        {"id": "S", "type": "regex", "severity": "low", "pattern": "^start"},
+        {"id": "E", "type": "regex", "severity": "low", "pattern": "end$"},
+        {"id": "A", "type": "regex", "severity": "low", "pattern": "^$"},
+        {"id": "N", "type": "regex", "severity": "low", "pattern": r"\Bx\B|^\s*y"},
+    ]
+    text = "a start\nstart the end\n\nend.\n  y"
+    assert found(scan_regex(corpus(a_js=text), rules)) == [("a.js", 2, "E"), ("a.js", 2, "S"), ("a.js", 3, "A"), ("a.js", 5, "N")]
+
+
 def test_many_rules_take_several_passes(corpus, monkeypatch):
     from siftline.operators import match
 
@@ -84,6 +95,17 @@ def test_many_rules_take_several_passes(corpus, monkeypatch):
     assert sorted((r.rule_id, r.line, r.k1) for r in rows) == [("R0", 1, 0), ("R3", 2, 3), ("R4", 1, 4)]
 
 
+def test_a_pack_too_large_for_one_pattern_is_split(corpus, monkeypatch):
+    from siftline.operators import match
+
+    accepts = match.re2_accepts
+    monkeypatch.setattr(match, "re2_accepts", lambda p: p.count("(?:") <= 2 and accepts(p))
+    rules = [{"id": f"R{i}", "type": "regex", "severity": "low", "pattern": f"x{i}"} for i in range(7)]
+    rules.append({"id": "C", "type": "ast", "severity": "low", "selector": "call:x9"})
+    text = "x0 x4\nx3 x6; x9(1)"
+    assert found(static_findings(corpus(a_js=text), rules)) == [("a.js", 1, "R0"), ("a.js", 1, "R4"), ("a.js", 2, "C"), ("a.js", 2, "R3"), ("a.js", 2, "R6")]
+
+
 def test_quotes_and_backslashes_in_rules(corpus):
     rules = [{"id": "it's", "type": "regex", "severity": "low", "pattern": r"""'\\["%_]""", "description": "a\\'b", "fix": None}]
     row = scan_regex(corpus(a_js="x '\\% y"), rules).collect()[0]

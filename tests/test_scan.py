@@ -7,6 +7,8 @@ import pytest
 
 from siftline import catalogue as C
 from siftline.config import ScanConfig
+from siftline.operators.findings import order_findings
+from siftline.operators.match import scan_regex
 from siftline.operators.report import json_lines, markdown_lines, sarif_lines, write_report
 from siftline.plans.scan import scan
 from siftline.sources.baseline import signatures
@@ -133,6 +135,15 @@ def test_reports(files, tmp_path):
     assert text.count("**Evidence**") == 4
 
 
+def test_own_scanners_and_report_order(files):
+    def long_names(corpus):
+        own = [{"id": "OWN", "type": "regex", "severity": "low", "pattern": "^clean$", "description": "d", "fix": "f"}]
+        return scan_regex(corpus, own)
+
+    rows = order_findings(scan(files, RULES, scanners=[long_names]).findings).collect()
+    assert [(r.path, r.rule_id) for r in rows] == [("a.js", "SEC-001"), ("a.js", "SEC-101"), ("b.py", "SEC-003"), ("c.py", "OWN")]
+
+
 def test_empty_reports(files, tmp_path):
     none = scan(files.filter("path = 'c.py'"), RULES)
     write_report(json_lines(none.findings, none.stats), str(tmp_path / "json"))
@@ -141,3 +152,18 @@ def test_empty_reports(files, tmp_path):
     assert json.loads(text_of(tmp_path / "json"))["vulnerabilities"] == []
     assert json.loads(text_of(tmp_path / "sarif"))["runs"][0]["results"] == []
     assert "No problems found" in text_of(tmp_path / "md")
+
+
+def test_each_request_is_asked_once(corpus, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def ask(system_prompt, user_prompt):
+        with open(log, "a") as out:
+            out.write("x")
+        return '{"findings":[],"analyses":[]}'
+
+    files = corpus(**{f"f{i}_py": "curl x" for i in range(6)})
+    result = scan(files, RULES, ask=ask)
+    assert result.findings.count() == 0
+    assert result.review_stats.collect()[0].calls == 6
+    assert Path(log).stat().st_size == 6
