@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, on storage that outlives executors.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``.  Where none is
-    named, as in local tests, a folder of this machine is set.
+    Uses the folder the session names in ``spark.checkpoint.dir``; where none is
+    named, a folder of the warehouse, which driver and executors share as well.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint()
