@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.minhash import near_duplicates
 from siftline.llm.pivot_topk import top_by_inner_product
 from siftline.llm.tile_search import nearest_by_tiles
 
@@ -30,7 +31,12 @@ def op5_tile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_tiles(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES |= {"op1_pivot_topk": op1_pivot_topk, "op5_tile_search": op5_tile_search}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), percent=85, shingle_words=3)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES |= {"op1_pivot_topk": op1_pivot_topk, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
@@ -60,3 +66,29 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
 WHERE rank <= 10
 """
+
+# A-Z only; DuckDB's lower() would change other letters as well
+_ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op8_minhash"] = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN words IS NULL OR len(words) = 0 THEN []
+        WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))
+        END AS shingles FROM w
+), flat AS (
+    SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS node, doc_id AS other FROM sets
+    UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a
+), low AS (
+    SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN low ON low.node = sets.doc_id
+"""
