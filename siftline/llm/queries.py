@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftline.llm.minhash import near_duplicates
 from siftline.llm.pivot_topk import top_by_inner_product
 from siftline.llm.tile_search import nearest_by_tiles
+from siftline.llm.toxicity import held_out, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,12 +32,18 @@ def op5_tile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_tiles(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity_scores(docs, labels, may_learn=~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85, shingle_words=3)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES |= {"op1_pivot_topk": op1_pivot_topk, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
+QUERIES |= {"op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
