@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.credentials import find_secrets, secret_columns
 from siftline.llm.minhash import near_duplicates
 from siftline.llm.pivot_topk import top_by_inner_product
 from siftline.llm.tile_search import nearest_by_tiles
@@ -43,7 +44,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES |= {"op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_columns(find_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES |= {"op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
@@ -99,3 +104,52 @@ WITH RECURSIVE w AS (
 SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN low ON low.node = sets.doc_id
 """
+
+
+def _found(name: str, kind: str, pattern: str, condition: str = "true", order: int = 0) -> str:
+    """A relation (doc_id, start, stop, value, kind, place) of a pattern's matches that meet a condition."""
+    quoted = pattern.replace("'", "''")
+    return f"""{name} AS (
+    SELECT doc_id, start, start + length(value) AS stop, value, '{kind}' AS kind, {order} AS place FROM (
+        SELECT doc_id, value, length(array_to_string(gaps[:i], '')) + length(array_to_string(vals[:i - 1], '')) AS start
+        FROM (SELECT doc_id, gaps, vals, unnest(vals) AS value, unnest(range(1, len(vals) + 1)) AS i FROM (
+            SELECT doc_id, regexp_split_to_array(text, '{quoted}') AS gaps, regexp_extract_all(text, '{quoted}') AS vals
+            FROM documents WHERE regexp_matches(text, '{quoted}')))
+    ) WHERE {condition}
+)"""
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+_ASSIGN_2 = r"""^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PROVIDER = "(?:ghp|gho|ghu|ghs|ghr|glpat|xoxb|xoxp|sk_live|rk_live)[_-][A-Za-z0-9_-]{16,}"
+
+ORACLES["op9_secrets"] = f"""
+WITH {_found("assign", "assign", _ASSIGN, f"length(regexp_extract(value, '{_ASSIGN_2}', 1)) >= 6", 1)},
+{_found("access", "access", "AKIA[A-Z0-9]+", "length(value) >= 20", 2)},
+{_found("hexes", "hex", "[0-9a-f]+", "length(value) >= 24", 3)},
+{_found("provider", "provider", _PROVIDER, "true", 4)},
+spans AS (
+    SELECT *, kind || ':' || start || ':' || stop AS label,
+        CASE WHEN kind = 'assign' THEN regexp_extract(value, '{_ASSIGN_2}', 1) ELSE value END AS secret
+    FROM (FROM assign UNION ALL FROM access UNION ALL FROM hexes UNION ALL FROM provider)
+), owners AS (
+    SELECT secret, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners
+    FROM spans JOIN documents USING (doc_id) GROUP BY secret
+), judged AS (
+    SELECT spans.*, owners <= 1 AND repos <= 3 AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]')
+        AND len(list_distinct(string_split(secret, ''))) >= 8
+        AND NOT regexp_matches(secret, '(?i)example|changeme|placeholder|dummy|sample|your[_-]|x{{6,}}|0{{8,}}|1234567') AS live
+    FROM spans JOIN owners USING (secret)
+), rows AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        coalesce(string_agg(label, ',' ORDER BY start, place) FILTER (place <= 3), '') AS base,
+        coalesce(string_agg(label, ',' ORDER BY start, place) FILTER (place <= 3 OR live), '') AS spans,
+        count(*) FILTER (live) AS n_live, count(*) FILTER (place <= 3 AND NOT live) AS n_copied
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+    coalesce(n_copied, 0) AS n_copied
+FROM documents d LEFT JOIN rows USING (doc_id)
+"""
