@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.credentials import find_secrets, secret_columns
 from siftline.llm.minhash import near_duplicates
+from siftline.llm.pii import find_pii, pii_columns
 from siftline.llm.pivot_topk import top_by_inner_product
 from siftline.llm.tile_search import nearest_by_tiles
 from siftline.llm.toxicity import held_out, toxicity_scores
@@ -48,7 +49,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_columns(find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES |= {"op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_columns(find_pii(table(spark, sf_dir, "documents")))
+
+
+QUERIES |= {"op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
