@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from siftline.llm.credentials import find_secrets, secret_columns
 from siftline.llm.minhash import near_duplicates
+from siftline.llm.mixing import mix_sources
 from siftline.llm.pii import find_pii, pii_columns
 from siftline.llm.pivot_topk import top_by_inner_product
+from siftline.llm.sharding import stratified_shards
 from siftline.llm.tile_search import nearest_by_tiles
 from siftline.llm.toxicity import held_out, toxicity_scores
 
@@ -53,7 +55,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_columns(find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES |= {"op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources evenly, as many documents as there are."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = stratified_shards(table(spark, sf_dir, "documents"))
+    return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+QUERIES |= {"op2_sharding": op2_sharding, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
@@ -158,3 +170,52 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
     coalesce(n_copied, 0) AS n_copied
 FROM documents d LEFT JOIN rows USING (doc_id)
 """
+
+ORACLES["op4_mixing"] = """
+WITH RECURSIVE rates AS (
+    SELECT source, sum(count(*)) OVER () / CAST(count(*) OVER () AS DOUBLE) / count(*) AS rate FROM documents GROUP BY source
+), steps AS (
+    SELECT source, rate, 0 AS k, exp(-rate) AS mass, exp(-rate) AS below FROM rates
+    UNION ALL
+    SELECT source, rate, k + 1, mass * rate / (k + 1), below + mass * rate / (k + 1) FROM steps WHERE k < rate + 12 * sqrt(rate) + 29
+), draws AS (
+    SELECT *, CAST(('0x' || substr(md5('17|' || doc_id || '|draw|1'), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM documents
+), counts AS (
+    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS copies
+    FROM draws d JOIN steps s ON s.source = d.source AND s.below <= d.u GROUP BY ALL
+), copied AS (
+    SELECT * EXCLUDE (copies), unnest(range(copies)) AS n FROM counts
+)
+SELECT doc_id, text, lang, source, n_chars, CAST(n AS INTEGER) AS copy, md5('17|' || doc_id || '|place|' || n) AS mix_key FROM copied
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes: the table of 256 entries is linear, so eight of them give all."""
+    powers = []
+    for i in range(8):
+        value = 1 << i
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        powers.append(value)
+    entry = "0"
+    for i, power in enumerate(powers):
+        entry = f"xor({entry}, ((xor(acc, b) >> {i}) & 1) * {power})"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda acc, b: xor(acc >> 8, {entry})), 4294967295)"
+
+
+ORACLES["op2_sharding"] = f"""
+WITH d AS (
+    SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc32("coalesce(text, '')")} AS crc,
+        md5('23|' || doc_id) AS h FROM documents
+), ranked AS (
+    SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, crc, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM d
+), placed AS (
+    SELECT *, row_number() OVER (ORDER BY f, source, h, crc, size) - 1 AS place, count(*) OVER () AS n FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law,
+    CAST(place * 16 // n AS INTEGER) AS shard, CAST(place - (place * 16 // n * n + 15) // 16 AS BIGINT) AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
