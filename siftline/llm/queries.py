@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftline.llm.credentials import find_secrets, secret_columns
 from siftline.llm.minhash import near_duplicates
 from siftline.llm.mixing import mix_sources
+from siftline.llm.pieces import decode, encode, load
 from siftline.llm.pii import find_pii, pii_columns
 from siftline.llm.pivot_topk import top_by_inner_product
 from siftline.llm.sharding import stratified_shards
@@ -54,6 +55,17 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_columns(find_pii(table(spark, sf_dir, "documents")))
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
+    """Ids of every text, and whether they decode to it again."""
+    model = load(spark, model_path)
+    encoded = table(spark, sf_dir, "documents").select("doc_id", "text", encode(F.col("text"), model).alias("token_ids"))
+    decoded = encoded.withColumn("decoded", decode(F.col("token_ids"), model))
+    same = F.col("decoded").eqNullSafe(F.col("text"))
+    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources evenly, as many documents as there are."""
@@ -65,7 +77,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES |= {"op2_sharding": op2_sharding, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
+QUERIES |= {"op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
