@@ -18,6 +18,7 @@ from siftline.llm.pieces import decode, encode, load
 from siftline.llm.pii import find_pii, pii_columns
 from siftline.llm.pivot_topk import top_by_inner_product
 from siftline.llm.sharding import stratified_shards
+from siftline.llm.suffixes import repeated_passages
 from siftline.llm.tile_search import nearest_by_tiles
 from siftline.llm.toxicity import held_out, toxicity_scores
 
@@ -43,6 +44,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the spans, in words, of 50 words or more that other documents hold too."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", "copies", covered.alias("n_repeated"), F.array_join(spans, ",").alias("spans"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85, shingle_words=3)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -77,7 +86,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES |= {"op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
+QUERIES |= {"op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op7_suffixes": op7_suffixes, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
@@ -152,6 +161,30 @@ _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 _ASSIGN_2 = r"""^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _PROVIDER = "(?:ghp|gho|ghu|ghs|ghr|glpat|xoxb|xoxp|sk_live|rk_live)[_-][A-Za-z0-9_-]{16,}"
 
+ORACLES["op7_suffixes"] = f"""
+WITH w AS (
+    SELECT doc_id, text, regexp_extract_all(coalesce({_ASCII_LOWER}, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), flat AS (
+    SELECT doc_id, i - 1 AS start, words[i : i + 49] AS passage
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)
+), marked AS (
+    SELECT doc_id, start, md5(array_to_string(passage, ' ')) AS mark FROM flat
+), repeated AS (
+    SELECT doc_id, start FROM marked
+    WHERE mark IN (SELECT mark FROM marked GROUP BY mark HAVING min(doc_id) <> max(doc_id))
+), islands AS (
+    SELECT doc_id, start, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS island
+    FROM (SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 50 THEN 0 ELSE 1 END AS fresh FROM repeated)
+), spans AS (
+    SELECT doc_id, island, min(start) AS a, max(start) + 50 AS b FROM islands GROUP BY ALL
+), found AS (
+    SELECT doc_id, sum(b - a) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, count(*) OVER (PARTITION BY text) AS copies,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeated, coalesce(spans, '') AS spans
+FROM w LEFT JOIN found USING (doc_id)
+"""
+
 ORACLES["op9_secrets"] = f"""
 WITH {_found("assign", "assign", _ASSIGN, f"length(regexp_extract(value, '{_ASSIGN_2}', 1)) >= 6", 1)},
 {_found("access", "access", "AKIA[A-Z0-9]+", "length(value) >= 20", 2)},
