@@ -15,7 +15,8 @@ their own.  A weight of 0 leaves a source out.
 
 Cases: rows that repeat are drawn alike (same id) and counted as rows; null ids
 draw by their text; an empty table gives an empty result; columns ``copy`` and
-``mix_key`` are added, others pass through, those of the same name are replaced.
+``mix_key`` are added; columns of these names or of ``INSIDE`` are replaced, others
+pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from siftline.plans.materialize import keep
 
 PART = 256.0
+INSIDE = ("_parts", "_steps", "_copies", "_source", "_salt")
 SMALL = 10_000  # sources up to which their table is broadcast; checked
 
 
@@ -86,7 +88,7 @@ def mix_sources(
     text_col: str = "text",
 ) -> DataFrame:
     """Copies of the documents with ``copy`` (from 0) and ``mix_key``, in the order of that key."""
-    docs = docs.drop("copy", "mix_key", "_rate", "_parts", "_steps")
+    docs = docs.drop("copy", "mix_key", *INSIDE)
     rates = source_rates(docs, weights or {}, rest, size, source_col)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     rates = rates.withColumn("_parts", parts).withColumn("_steps", poisson_steps(F.col("rate") / F.col("_parts")))
@@ -100,4 +102,4 @@ def mix_sources(
     drawn = drawn.withColumn("_copies", copies).where("_copies > 0")
     exploded = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     keyed = exploded.withColumn("mix_key", F.md5(F.concat_ws("|", key, name, F.lit("place"), F.col("copy").cast("string"))))
-    return keyed.drop("_parts", "_steps", "_copies").orderBy("mix_key")
+    return keyed.drop(*INSIDE).orderBy("mix_key")

@@ -16,8 +16,8 @@ rows are spread like all others, since a shard's number of rows is fixed.
 
 Cases: null texts have size 1 and the checksum of the empty text; a null source
 is a source of its own; rows without an id are ordered by their text; rows that
-repeat are rows of their own, interchangeable.  Columns of the names added are
-replaced, others pass through.  An empty table gives an empty result.
+repeat are rows of their own, interchangeable.  Columns of the names added,
+or of ``INSIDE``, are replaced, others pass through.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from siftline.plans.materialize import keep
 
 
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+INSIDE = ("_source", "_hash", "_bucket", "_offset", "_of", "_rank", "_fraction", "_start", "_place")
+
+
 def stratified_shards(
     docs: DataFrame,
     shards: int = 16,
@@ -43,7 +47,7 @@ def stratified_shards(
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(text))
     rows = docs.select(
-        *(c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")),
+        *(c for c in docs.columns if c not in ADDED and c not in INSIDE),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.concat(F.lit("s"), F.col(source_col).cast("string")).alias("_source"),
@@ -73,4 +77,4 @@ def stratified_shards(
     first = F.expr(f"(shard * {n_rows} + {shards - 1}) div {shards}")
     placed = placed.withColumn("law", F.lit("rows")).withColumn("shard", shard.cast("int"))
     placed = placed.withColumn("slot", (F.col("_place") - first).cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
-    return placed.drop("_source", "_hash", "_bucket", "_of", "_rank", "_fraction", "_start", "_place")
+    return placed.drop(*INSIDE)

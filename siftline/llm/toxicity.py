@@ -136,5 +136,5 @@ def toxicity_scores(
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """Rows that are never learned from: crc32 of the id as text is a multiple of 5."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Rows that are never learned from: crc32 of the id as text is a multiple of 5 (null ids: false)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
