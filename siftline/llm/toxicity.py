@@ -37,9 +37,11 @@ class Ftrl:
         self.z, self.n = np.zeros(2**bits + 1), np.zeros(2**bits + 1)  # the last one is the intercept
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
+        """``at`` ends in the intercept, which the L1 term spares."""
         z, n = self.z[at], self.n[at]
         rate = (self.beta + np.sqrt(n)) / self.alpha + self.l2
-        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / rate)
+        least = np.append(np.full(len(z) - 1, self.l1), 0.0)
+        return np.where(np.abs(z) <= least, 0.0, (np.sign(z) * least - z) / rate)
 
     def learn(self, features: np.ndarray, label: int) -> None:
         at = np.append(features, len(self.z) - 1)
@@ -93,7 +95,7 @@ def fit(rows: DataFrame, bits: int, epochs: int, alpha: float, beta: float, l1:
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(weights[at], pa.float64())], names=["feature", "weight"])
 
     found = rows.repartition(1).mapInArrow(train, "feature long, weight double")
-    return [(r.feature, r.weight) for r in found.collect()]
+    return [(r.feature, r.weight) for r in found.collect()] or [(INTERCEPT, -35.0)]
 
 
 def toxicity_scores(
