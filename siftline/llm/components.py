@@ -8,42 +8,31 @@ from pyspark.sql import functions as F
 from siftline.plans.materialize import keep
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links neighbours of a node to the smallest of them (or the node itself).
-
-    The large star moves neighbours above the node, the small star the node and
-    those below it.  Minima are aggregated and joined back, so a node with very
-    many neighbours is never gathered in one place.
-    """
-    pairs = _both_ways(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    lowest = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = pairs.join(lowest, "a")
-    if large:
-        out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            lowest.select("a", F.col("m").alias("b"))
-        )
-    return out.where(F.col("a") != F.col("b")).distinct()
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
-    Alternates large and small stars until nothing changes, which takes a number
-    of rounds that grows with the logarithm of the longest path.
+    Each round sends every node to its smallest neighbour, follows that once more,
+    and goes on with the edges between what is left, so stars are done in one
+    round and the number of edges falls fast otherwise.  Minima are summed up
+    before they are shuffled and joined back, so a node with very many neighbours
+    is never gathered in one place.
     """
-    now = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b")).distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        now = keep(_star(_star(now, large=True), large=False))
-    rooted = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
+    now = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct())
+    steps: list[DataFrame] = []
+    while not now.isEmpty():
+        ends = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        lowest = ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("low"))
+        lowest = lowest.select("node", F.least("node", "low").alias("root"))
+        after = lowest.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        steps.append(keep(lowest.join(after.hint("merge"), "root").select("node", F.col("next").alias("root"))))
+        for end in ("a", "b"):
+            moved = steps[-1].select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+            now = now.join(moved.hint("merge"), end)
+        now = keep(now.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
+    if not steps:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    rooted = steps.pop()
+    while steps:
+        later = rooted.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        rooted = steps.pop().join(later.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    return rooted

@@ -4,20 +4,24 @@
    one-permutation signature with optimal densification, cut into bands.  Texts
    with the same set are one class; only classes go on.
 2. Classes that share a band key are in a bucket.  Candidate edges run from the
-   smallest class of the bucket to the others (a star), never between all.  A
-   member that is not clearly close to that hub stays in the bucket for another
-   round with another hub, until none is left.
+   smallest class of the bucket to the others (a star), never between all.
+   Members that are not clearly close to that hub go on to another round, in
+   buckets of a key longer by one band, until none is left; so a bucket that a
+   passage common to very many texts has filled falls apart at once.
 3. Edges of similar signatures join classes to clusters.  A cluster is compared
    exactly, on the full sets, in pairs of bounded blocks; a block pair gives at
    most one link per member (a spanning forest).
 4. Links give the connected components.
 
-Why stars lose no link: of two classes that share a bucket and are linked, take
-the one that leaves the pool first, by a hub it agrees with on ``LEAVE`` of the
-signature.  The other differs from it on at most 1 - threshold of the signature
-plus sampling error (five deviations at 128 bins: 0.31 together at 0.85), so it
-agrees with that hub on ``JOIN`` at least and is in the same cluster.  A linked
-pair shares no bucket at all with probability (1 - 0.85^4)^32, about 5e-11.
+Why stars lose no link: of two linked classes in a bucket, say one is close to the
+hub: it agrees with it on ``LEAVE`` of the signature.  The other differs from it on
+at most 1 - threshold of the signature plus sampling error (five deviations at 128
+bins: 0.31 together at 0.85), so it agrees with the hub on ``JOIN`` at least, and
+both are in the same cluster.  If both are far from the hub they meet again under
+the longer key with probability 0.85^4.  A linked pair shares no bucket at all with
+probability (1 - 0.85^4)^32, about 5e-11; if a third of its buckets had a hub far
+from both it would be lost with probability (1 - 0.85^4 * 2/3 - 0.85^8 / 3)^32,
+about 1e-8.
 
 Cases: null, empty and blank texts have the empty set and are linked to nothing.
 Rows that repeat are rows of the same class.  A null id counts for no minimum; a
@@ -28,6 +32,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,26 +89,26 @@ def agreement(left: Column, right: Column) -> Column:
 
 def star_edges(classes: DataFrame) -> DataFrame:
     """(a, b): classes whose signatures agree well enough to be compared in full."""
-    signatures = classes.select("set_id", "signature")
+    marks = classes.select("set_id", "signature", "bands").hint("merge")
+    hub_marks = classes.select(F.col("set_id").alias("hub"), F.col("signature").alias("hub_signature")).hint("merge")
     pool = classes.select("set_id", "doc_id", F.posexplode("bands").alias("band", "key"))
-    pool = pool.select("set_id", "doc_id", F.xxhash64("band", "key").alias("key"))
-    edges = None
+    pool = pool.withColumn("key", F.xxhash64("band", "key"))
+    edges: list[DataFrame] = []
     while True:
         hubs = pool.groupBy("key").agg(F.min(F.struct("doc_id", "set_id")).alias("hub"), F.count(F.lit(1)).alias("n"))
         hubs = hubs.where("n > 1").select("key", F.col("hub.set_id").alias("hub"))
-        bucketed = keep(pool.join(hubs, "key").where(F.col("set_id") != F.col("hub")))
-        pairs = bucketed.select("set_id", "hub").distinct()
-        if pairs.isEmpty():
-            break
-        near = pairs.join(signatures, "set_id").join(
-            signatures.select(F.col("set_id").alias("hub"), F.col("signature").alias("hub_signature")), "hub"
-        )
-        near = keep(near.select("set_id", "hub", agreement(F.col("signature"), F.col("hub_signature")).alias("agree")))
-        found = near.where(F.col("agree") >= JOIN).select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        far = near.where(F.col("agree") < LEAVE).select("set_id", "hub")
-        pool = bucketed.join(far, ["set_id", "hub"]).select("set_id", "doc_id", "key")
-    return edges if edges is not None else pairs.select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
+        bucketed = keep(pool.join(hubs.hint("merge"), "key").where(F.col("set_id") != F.col("hub")))
+        near = bucketed.select("set_id", "hub").distinct().join(marks, "set_id").join(hub_marks, "hub")
+        agree = agreement(F.col("signature"), F.col("hub_signature")).alias("agree")
+        near = keep(near.select("set_id", "hub", "bands", agree))
+        edges.append(near.where(F.col("agree") >= JOIN).select(F.col("set_id").alias("a"), F.col("hub").alias("b")))
+        far = near.where(F.col("agree") < LEAVE).select("set_id", "hub", "bands")
+        if far.isEmpty():
+            return reduce(DataFrame.unionByName, edges)
+        turn = len(edges)
+        other = F.element_at("bands", (F.col("band") + turn) % F.size("bands") + 1)
+        pool = bucketed.join(far.hint("merge"), ["set_id", "hub"])
+        pool = pool.select("set_id", "doc_id", "band", F.xxhash64("key", other).alias("key"))
 
 
 def block_pairs(members: DataFrame, least: float) -> DataFrame:
