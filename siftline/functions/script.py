@@ -22,14 +22,16 @@ _TOKEN = re.compile(
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{|\Z)", re.DOTALL)
-_TYPE_ARGUMENTS = re.compile(r"""<[\w\s.,<>\[\]|&"'$]*>(?=\s*\()""")
-_BODY = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*+(?:\{|=>)", re.DOTALL)
+_TYPE_RUN = re.compile(r"""[\w\s.,<>\[\]|&"'$]*""")
+_AFTER = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*+(\{|=>|:|)", re.DOTALL)
 
 _CONTROL = frozenset("if for while switch catch with".split())
 _KEYWORDS = _CONTROL | frozenset(
     "function return typeof instanceof in of do else case throw delete void await yield var let const class extends "
     "default break continue try finally debugger export enum interface".split()
 )
+# after these an opening brace starts statements, after anything else an object or a type
+_BLOCK_AFTER = frozenset(["", ")", ";", "{", "}", "=>", "else", "try", "do", "finally", ":"])
 _MODIFIERS = frozenset("async static get set public private protected readonly override abstract declare".split())
 
 
@@ -64,6 +66,28 @@ class _Open(NamedTuple):
     operand: _Operand | None = None
     start: int = 0
     definition: bool = False
+    member: bool = False
+    """The name stands where a member or a statement starts."""
+
+
+class _TypeArguments:
+    """Where type arguments that start at a place end, if a parenthesis follows them.
+
+    A run of characters that types may hold is looked at once; each later place in
+    it has the same end.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.run_end, self.close = text, -1, -1
+
+    def end(self, start: int) -> int | None:
+        if start >= self.run_end:
+            self.run_end = _TYPE_RUN.match(self.text, start).end()
+            self.close = -1
+            if self.text.startswith("(", self.run_end):
+                last = len(self.text[start : self.run_end].rstrip()) + start
+                self.close = last if self.text[last - 1] == ">" else -1
+        return self.close if self.close > start + 1 else None
 
 
 def calls_in(text: str) -> list[Call]:
@@ -74,6 +98,7 @@ def calls_in(text: str) -> list[Call]:
     chain: _Operand | None = None  # operand before a dot
     news: tuple[int, ...] = ()
     before, last, class_head = "", "", False
+    types = _TypeArguments(text)
     i = 0
     while i < len(text):
         token = _TOKEN.match(text, i)
@@ -103,8 +128,8 @@ def calls_in(text: str) -> list[Call]:
             left = None
         elif word == "!" and left is not None and text[i : i + 1] in (".", "(", "["):
             left = left._replace(end=i, plain=False)
-        elif word == "<" and left is not None and left.end == start and (types := _TYPE_ARGUMENTS.match(text, start)):
-            i = types.end()
+        elif word == "<" and left is not None and left.end == start and (end := types.end(start)):
+            i = end
             continue
         elif word == "`" or (word == "}" and stack and stack[-1].kind == "${"):
             operand = stack.pop().operand if word == "}" else (left or _Operand(start, i))
@@ -122,7 +147,7 @@ def calls_in(text: str) -> list[Call]:
             stack.append(_Open("[", left, start))
             left = None
         elif word == "{":
-            stack.append(_Open("class" if class_head else "{"))
+            stack.append(_Open("class" if class_head else "{" if last in _BLOCK_AFTER else "object"))
             left, class_head, news = None, False, ()
         elif word in ")]}":
             left = _close(text, word, i, stack, found)
@@ -144,23 +169,22 @@ def _open_paren(left: _Operand | None, last: str, before: str, start: int, stack
         return _Open("group", left, start)
     if left.news:
         return _Open("new", left, left.news[-1])
-    in_class = bool(stack) and stack[-1].kind == "class"
-    member = in_class and (before in ("{", "}", ";", "*", ")") or before in _MODIFIERS)
-    definition = left.plain and (before == "function" or (before == "*" and not stack) or member)
+    around = stack[-1].kind if stack else ""
+    starts = before in ("{", "}", ";", "*", ")", ",", "") or before in _MODIFIERS
+    definition = left.plain and (before == "function" or (before == "*" and not stack) or (around == "class" and starts and before != ","))
     extended = before == "extends"
-    return _Open("call", left._replace(plain=left.plain and not extended), left.start, definition)
+    return _Open("call", left._replace(plain=left.plain and not extended), left.start, definition, starts)
 
 
 def _close(text: str, word: str, end: int, stack: list[_Open], found: list[Call]) -> _Operand | None:
-    wanted = {")": ("call", "new", "group", "control"), "]": ("[",), "}": ("{", "class")}[word]
+    wanted = {")": ("call", "new", "group", "control"), "]": ("[",), "}": ("{", "class", "object")}[word]
     if not stack or stack[-1].kind not in wanted:
         return None
     opened = stack.pop()
     if word == "}" or opened.kind == "control":
         return None
     if opened.kind == "call":
-        # a plain name, its parameters and a body: a method or function
-        if opened.definition or (opened.operand.plain and _BODY.match(text, end)):
+        if opened.definition or (opened.operand.plain and _is_definition(_AFTER.match(text, end)[1], opened, stack)):
             return None
         found.append(_call(text, opened, end))
         return _Operand(opened.start, end)
@@ -171,6 +195,18 @@ def _close(text: str, word: str, end: int, stack: list[_Open], found: list[Call]
     return _Operand(opened.start, end)
 
 
+def _is_definition(after: str, opened: _Open, stack: list[_Open]) -> bool:
+    """Do the parentheses just closed hold parameters?  ``after`` is what follows them.
+
+    An arrow always says so, a type annotation does where a member may start, and
+    a brace does inside an object or class; elsewhere it starts a block of its own.
+    """
+    if after == "=>":
+        return True
+    inside = stack[-1].kind if stack else ""
+    return opened.member and (after == ":" or (after == "{" and inside in ("object", "class")))
+
+
 def _call(text: str, opened: _Open, end: int) -> Call:
     return Call(text, opened.start, opened.operand.end, end)
 

@@ -1,5 +1,7 @@
 """Call sites of script text."""
 
+import time
+
 import pytest
 
 from siftline.functions.script import calls_in
@@ -89,3 +91,29 @@ def test_long_chains_do_not_copy_their_callees():
     assert len(calls) == 20_001
     assert calls[0].ends_in(".exec")
     assert calls[-1].callee == "a.b"
+
+
+@pytest.mark.parametrize(
+    ("text", "callees"),
+    [
+        ("type A = { exec(cmd: string): Promise<void> }", []),
+        ("const o = { exec(cmd: string): void { run(cmd) } }", ["run"]),
+        ("if (x) exec(y)\n{ f() }", ["exec", "f"]),
+        ("const f = exec(x)\n{ g() }", ["exec", "g"]),
+        ("class A { exec(a) { b() } run(a): void {} }", ["b"]),
+        ("a ? exec(x) : y", ["exec"]),
+        ("async (x) => { exec(x) }", ["exec"]),
+        ("foo<Bar>(x); a < b; exec(y)", ["foo", "exec"]),
+    ],
+)
+def test_calls_and_signatures_by_place(text, callees):
+    assert [c.callee for c in calls_in(text)] == callees
+
+
+def test_time_grows_with_the_text():
+    took = []
+    for n in (25_000, 250_000):
+        start = time.process_time()
+        assert [c.callee for c in calls_in("a<b " * n + "eval(x)")][-1:] == ["eval"]
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * max(took[0], 0.05)
