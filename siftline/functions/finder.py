@@ -8,15 +8,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftline.functions.patterns import either
+from siftline.functions.patterns import re2_groups
+
+
+
+def _any(texts: pa.Array, regexes: list[str]) -> pa.Array:
+    """Is one of the RE2 patterns found?  Null for a null text."""
+    found = pc.match_substring_regex(texts, regexes[0], ignore_case=True)
+    for regex in regexes[1:]:
+        found = pc.or_(found, pc.match_substring_regex(texts, regex, ignore_case=True))
+    return found
+
 
 def found_in(text: Column, patterns: list[str]) -> Column:
     """True where one of the RE2 patterns is found, ignoring case."""
-    regex = either(patterns)
+    groups = re2_groups(patterns)
 
     @F.arrow_udf("boolean")
     def find(texts: pa.Array) -> pa.Array:
-        return pc.match_substring_regex(texts, regex, ignore_case=True)
+        return _any(texts, groups)
 
     return find.asNondeterministic()(text)  # see find_lines
 
@@ -27,19 +37,21 @@ def find_lines(content: Column, patterns: list[str], every: int = 0) -> Column:
     Gives ``array<struct<line_no, line, found>>`` in line order, where ``found``
     lists the places of the patterns in the list.  With ``every`` each
     ``every``-th line comes too, starting with the first.  Whole Arrow batches are
-    searched by native code: one pass for all patterns together, then each
-    pattern on the lines that are left.
+    searched by native code: one pass for each group of patterns that RE2 takes
+    together, then each pattern on the lines that are left.  An empty pattern is
+    found on every line.
     """
-    regex = either(patterns)
+    groups = re2_groups(patterns)
+    whole = [f"(?m)(?:{g})" for g in groups]
 
     @F.arrow_udf("array<struct<line_no:int,line:string,found:array<int>>>")
     def find(texts: pa.Array) -> pa.Array:
         if not every:  # a text without a match on any line need not be split
-            texts = pc.if_else(pc.match_substring_regex(texts, f"(?m)(?:{regex})", ignore_case=True), texts, None)
+            texts = pc.if_else(_any(texts, whole), texts, None)
         lines = pc.split_pattern(texts, "\n")
         bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy())])
         flat = lines.flatten()
-        hits = pc.match_substring_regex(flat, regex, ignore_case=True).to_numpy(zero_copy_only=False)
+        hits = pc.fill_null(_any(flat, groups), False).to_numpy(zero_copy_only=False)
         text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
         line_no = np.arange(len(flat)) - bounds[text_of] + 1
         if every:

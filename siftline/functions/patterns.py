@@ -19,6 +19,7 @@ import warnings
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 try:  # the parser of the standard library; without it there are no word lists
     from re import _constants as _sre
@@ -32,7 +33,9 @@ JS_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u300
 _JS_LINE_END = r"\n\r\u2028\u2029"
 _BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 _NO_BOUNDARY = f"(?:(?<![{_WORD}])(?![{_WORD}])|(?<=[{_WORD}])(?=[{_WORD}]))"
-_SAME_ESCAPES = set("dDwWnrtfcxu123456789")
+_SAME_ESCAPES = set("dDwWnrtf")
+# escapes of more than one character, the same in all dialects
+_LONG_ESCAPE = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|c[A-Za-z]|[1-9][0-9]?|k<\w+>)")
 
 _JAVA = {
     "outside": {"b": _BOUNDARY, "B": _NO_BOUNDARY, "s": f"[{JS_SPACE}]", "S": f"[^{JS_SPACE}]"},
@@ -42,9 +45,14 @@ _JAVA = {
     "nothing": "(?!)",
 }
 _RE2_SPACE = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", JS_SPACE)
+# what lies between the white space, spelt out: a class may be negated, where wider would be narrower
+_RE2_NO_SPACE = (
+    r"\x{0}-\x{8}\x{E}-\x{1F}\x{21}-\x{9F}\x{A1}-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}"
+    r"\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{FEFE}\x{FF00}-\x{10FFFF}"
+)
 _RE2 = {
     "outside": {"b": r"\b", "B": r"\B", "s": f"[{_RE2_SPACE}]", "S": r"\S"},
-    "inside": {"b": r"\x08", "s": _RE2_SPACE, "S": r"\S"},
+    "inside": {"b": r"\x08", "s": _RE2_SPACE, "S": _RE2_NO_SPACE},
     ".": ".",
     "$": "$",
     "nothing": r"[^\x{0}-\x{10FFFF}]",
@@ -65,14 +73,18 @@ def to_re2(pattern: str) -> str:
 def _rewrite(pattern: str, dialect: dict, beyond_ascii) -> str:
     out: list[str] = []
     in_class = False
+    after_word = False  # the token before is a plain word character
     i = 0
     while i < len(pattern):
         ch, step = pattern[i], 1
-        if ch == "\\" and i + 1 < len(pattern):
+        plain = not in_class and re.match(r"[A-Za-z0-9_]", ch) is not None
+        if long := _LONG_ESCAPE.match(pattern, i):
+            ch, step = long[0], len(long[0])
+        elif ch == "\\" and i + 1 < len(pattern):
             nxt, step = pattern[i + 1], 2
             table = dialect["inside" if in_class else "outside"]
             if nxt == "b" and not in_class:
-                ch = _boundary(pattern, i, dialect)
+                ch = _boundary(pattern, i, after_word, dialect)
             elif nxt in table:
                 ch = table[nxt]
             elif nxt in "0v":
@@ -99,38 +111,66 @@ def _rewrite(pattern: str, dialect: dict, beyond_ascii) -> str:
         elif ord(ch) > 127:  # ignore case beyond ASCII for this character only
             ch = beyond_ascii(ch)
         out.append(ch)
+        after_word = plain
         i += step
     return "".join(out)
 
 
-def _boundary(pattern: str, i: int, dialect: dict) -> str:
+def _boundary(pattern: str, i: int, after_word: bool, dialect: dict) -> str:
     """The boundary at ``pattern[i:i+2]``; one look is enough next to a plain word character."""
     if dialect is _JAVA:
         if re.match(r"[A-Za-z0-9_](?![?*{])", pattern[i + 2 :]):
             return f"(?<![{_WORD}])"
-        if re.search(r"(?<!\\)[A-Za-z0-9_]\Z", pattern[:i]):
+        if after_word:
             return f"(?![{_WORD}])"
     return dialect["outside"]["b"]
 
 
+def check_pattern(spark: SparkSession, rule_id: str, pattern: str) -> None:
+    """Raise an error that names the rule when its pattern is not a regex."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(rule_regex(pattern))
+    except Exception as error:
+        reason = str(getattr(error, "java_exception", error)).splitlines()[0]
+        raise ValueError(f"rule {rule_id}: {pattern!r} is not a regex: {reason}") from None
+
+
 def rule_regex(pattern: str) -> str:
     """Java form of a rule pattern, matched without regard to case."""
     return "(?i)" + to_java(pattern)
 
 
-def search_pattern(pattern: str) -> str | None:
-    """RE2 pattern, ignoring case, found on every line the rule matches; None if there is none."""
+def search_pattern(pattern: str) -> str:
+    """RE2 pattern, ignoring case, found on every line the rule matches; empty if all lines have to be tried."""
     whole = to_re2(pattern)
     if re2_accepts(whole):
         return whole
     words = required_words(pattern)
-    return "|".join(re.escape(w) for w in words) if words else None
+    return "|".join(re.escape(w) for w in words)
 
 
 def either(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+GROUP = 200  # patterns tried as one; a larger group only takes longer to halve
+
+
+def re2_groups(patterns: list[str]) -> list[str]:
+    """All patterns as few alternations that RE2 takes; the empty pattern finds everything."""
+    if "" in patterns:
+        return [""]
+    groups: list[str] = []
+    rest = list(patterns)
+    while rest:
+        size = min(len(rest), GROUP)
+        while size > 1 and not re2_accepts(either(rest[:size])):
+            size //= 2
+        groups.append(either(rest[:size]))
+        rest = rest[size:]
+    return groups
+
+
 def re2_accepts(pattern: str) -> bool:
     try:
         pc.match_substring_regex(pa.array([""]), pattern, ignore_case=True)

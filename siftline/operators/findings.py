@@ -14,11 +14,10 @@ from siftline.operators.calls import call_rules, calls_target, find_sites, scan_
 from siftline.operators.match import (
     CALL_ENGINE,
     REGEX_ENGINE,
+    check_rules,
     confirmed,
     findings_of,
-    one_pass,
     regex_rules,
-    scan_numbered,
     scan_regex,
 )
 from siftline.schemas import FINDING_COLUMNS, FINDING_ORDER
@@ -27,17 +26,14 @@ from siftline.schemas import FINDING_COLUMNS, FINDING_ORDER
 def static_findings(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:
     """Regex and call findings together; the same line may be found by both.
 
-    Both engines look at a text while it is at hand, so the corpus is read once.
-    Rules that do not fit into this pass are scanned for on their own.
+    Both engines look at a text while it is at hand, so the corpus is read once,
+    however many rules there are.
     """
     regex, calls = regex_rules(rules), call_rules(rules)
-    joint = one_pass([rule for rule in regex if rule[2]])
-    if not joint or not calls:
+    if not regex or not calls:
         return scan_regex(corpus, rules, marker).unionByName(scan_calls(corpus, rules, marker))
-    found = _joint_pass(corpus, [(k, r) for k, r, _ in joint], [search for _, _, search in joint], calls, marker)
-    taken = {k for k, _, _ in joint}
-    rest = [rule for rule in regex if rule[0] not in taken]
-    return found.unionByName(scan_numbered(corpus, rest, marker)) if rest else found
+    check_rules(corpus, regex)
+    return _joint_pass(corpus, [(k, r) for k, r, _ in regex], [search for _, _, search in regex], calls, marker)
 
 
 def _joint_pass(

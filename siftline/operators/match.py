@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
 from siftline.functions.finder import find_lines
 from siftline.functions.lines import not_suppressed
-from siftline.functions.patterns import either, re2_accepts, rule_regex, search_pattern
+from siftline.functions.patterns import check_pattern, rule_regex, search_pattern
 from siftline.functions.text import trim_ws
 from siftline.operators.lines import explode_lines
 
 REGEX_ENGINE, CALL_ENGINE, DISCOVERY_ENGINE = 0, 1, 2
 
-# A pack larger than this is tried in several passes, so that one query stage
-# never has to compile an unbounded number of patterns.
-RULES_PER_PASS = 200
-
 
-def regex_rules(rules: list[dict]) -> list[tuple[int, dict, str | None]]:
+def regex_rules(rules: list[dict]) -> list[tuple[int, dict, str]]:
     """(rule number, rule, what RE2 searches for) of the rules that have a pattern."""
     chosen = [(k, r) for k, r in enumerate(rules) if r["type"] == "regex" and r.get("pattern")]
     return [(k, r, search_pattern(r["pattern"])) for k, r in chosen]
@@ -37,33 +31,22 @@ def scan_regex(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARK
     return scan_numbered(corpus, regex_rules(rules), marker)
 
 
-def scan_numbered(corpus: DataFrame, rules: list[tuple[int, dict, str | None]], marker: str) -> DataFrame:
-    found = []
-    quick = [rule for rule in rules if rule[2]]
-    while quick:
-        part = one_pass(quick)
-        quick = quick[len(part) :]
-        lines = corpus.select("path", F.inline(find_lines(F.col("content"), [search for _, _, search in part])))
-        tried = lines.select("path", "line_no", F.col("line").alias("text"), F.explode("found").alias("test"))
-        found.append(_regex_findings(tried.filter(confirmed([r for _, r, _ in part])), part, marker))
-    slow = [rule for rule in rules if not rule[2]]
-    for i in range(0, len(slow), RULES_PER_PASS):
-        part = slow[i : i + RULES_PER_PASS]
-        lines = explode_lines(corpus).withColumnRenamed("line", "text")
-        tried = lines.select("*", which([rule_matches(r) for _, r, _ in part]))
-        found.append(_regex_findings(tried, part, marker))
-    return reduce(DataFrame.unionByName, found) if found else _no_findings(corpus)
-
-
-def one_pass(rules: list[tuple[int, dict, str]]) -> list[tuple[int, dict, str]]:
-    """As many of the rules, from the first on, as RE2 takes in one pattern."""
-    size = min(len(rules), RULES_PER_PASS)
-    while size > 1 and not re2_accepts(either([search for _, _, search in rules[:size]])):
-        size //= 2
-    return rules[:size]
-
-
-def _regex_findings(tried: DataFrame, rules: list[tuple[int, dict, str | None]], marker: str) -> DataFrame:
+def scan_numbered(corpus: DataFrame, rules: list[tuple[int, dict, str]], marker: str) -> DataFrame:
+    check_rules(corpus, rules)
+    if not rules:
+        return _no_findings(corpus)
+    lines = corpus.select("path", F.inline(find_lines(F.col("content"), [search for _, _, search in rules])))
+    tried = lines.select("path", "line_no", F.col("line").alias("text"), F.explode("found").alias("test"))
+    return _regex_findings(tried.filter(confirmed([r for _, r, _ in rules])), rules, marker)
+
+
+def check_rules(corpus: DataFrame, rules: list[tuple[int, dict, str]]) -> None:
+    """Raise an error that names the first rule whose pattern is not a regex."""
+    for _, rule, _ in rules:
+        check_pattern(corpus.sparkSession, rule["id"], rule["pattern"])
+
+
+def _regex_findings(tried: DataFrame, rules: list[tuple[int, dict, str]], marker: str) -> DataFrame:
     numbered = [(k, r) for k, r, _ in rules]
     return findings_of(tried, numbered, marker, F.lit(REGEX_ENGINE), F.col("rule_no"), F.col("line_no"))
 
@@ -82,15 +65,6 @@ def rule_matches(rule: dict) -> str:
     return f"text RLIKE {sql_text(rule_regex(rule['pattern']))}"
 
 
-def which(tests: list[str]) -> Column:
-    """One row per test, with its number in ``test``, or null where it does not hold.
-
-    The tests are SQL: hundreds of them parse at once much faster than they are
-    put together column by column.
-    """
-    return F.explode(F.expr("array(" + ", ".join(f"IF({t}, {i}, NULL)" for i, t in enumerate(tests)) + ")")).alias("test")
-
-
 def sql_text(value: str) -> str:
     """A text as an SQL literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -139,4 +113,4 @@ def to_finding(found: DataFrame, engine: Column, k1: Column, k2: Column) -> Data
 
 def _no_findings(corpus: DataFrame) -> DataFrame:
     nothing = explode_lines(corpus.limit(0)).select("path", "line_no", F.col("line").alias("text"), F.lit(0).alias("test"))
-    return _regex_findings(nothing, [(0, {"id": ""}, None)], C.IGNORE_MARKER)
+    return _regex_findings(nothing, [(0, {"id": ""}, "")], C.IGNORE_MARKER)

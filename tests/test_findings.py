@@ -86,20 +86,20 @@ def test_anchors_stand_for_the_ends_of_a_line(corpus):
     assert found(scan_regex(corpus(a_js=text), rules)) == [("a.js", 2, "E"), ("a.js", 2, "S"), ("a.js", 3, "A"), ("a.js", 5, "N")]
 
 
-def test_many_rules_take_several_passes(corpus, monkeypatch):
-    from siftline.operators import match
+def test_many_rules_take_several_groups(corpus, monkeypatch):
+    from siftline.functions import patterns
 
-    monkeypatch.setattr(match, "RULES_PER_PASS", 2)
+    monkeypatch.setattr(patterns, "GROUP", 2)
     rules = [{"id": f"R{i}", "type": "regex", "severity": "low", "pattern": f"x{i}"} for i in range(5)]
     rows = scan_regex(corpus(a_js="x0 x4\nx3"), rules).collect()
     assert sorted((r.rule_id, r.line, r.k1) for r in rows) == [("R0", 1, 0), ("R3", 2, 3), ("R4", 1, 4)]
 
 
 def test_a_pack_too_large_for_one_pattern_is_split(corpus, monkeypatch):
-    from siftline.operators import match
+    from siftline.functions import patterns
 
-    accepts = match.re2_accepts
-    monkeypatch.setattr(match, "re2_accepts", lambda p: p.count("(?:") <= 2 and accepts(p))
+    accepts = patterns.re2_accepts
+    monkeypatch.setattr(patterns, "re2_accepts", lambda p: p.count("(?:") <= 2 and accepts(p))
     rules = [{"id": f"R{i}", "type": "regex", "severity": "low", "pattern": f"x{i}"} for i in range(7)]
     rules.append({"id": "C", "type": "ast", "severity": "low", "selector": "call:x9"})
     text = "x0 x4\nx3 x6; x9(1)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline import catalogue as C
 from siftline.functions.globs import expand_braces, glob_regex, name_glob
 from siftline.functions.patterns import any_of, required_words, search_pattern, to_java, to_re2
+from siftline.operators.match import scan_regex
 
 
 def java_matches(spark, pattern, texts):
@@ -52,7 +53,7 @@ def test_every_builtin_pattern_has_a_search_pattern():
 
 def test_search_pattern_falls_back_to_words_then_to_nothing():
     assert search_pattern(r"secret(?!s)\d") == "secret"
-    assert search_pattern(r"(?=.*\d)(?=.*[a-z]).{8,}") is None
+    assert search_pattern(r"(?=.*\d)(?=.*[a-z]).{8,}") == ""
 
 
 @pytest.mark.parametrize("rule", [r for r in C.BUILTIN_RULES if r["type"] == "regex"], ids=lambda r: r["id"])
@@ -95,3 +96,37 @@ def test_brace_expansion_and_name_globs():
     assert expand_braces("{a,b}/{c,d}.x") == ["a/c.x", "a/d.x", "b/c.x", "b/d.x"]
     assert name_glob(["**/*.{js,ts}"]) == "*.{js,ts}"
     assert name_glob(["**"]) is None
+
+
+@pytest.mark.parametrize(
+    ("pattern", "line"),
+    [
+        (r"\x2D\b[a-z]+", "run --verbose"),
+        (r"-\b[a-z]+", "run --verbose"),
+        (r"(a)\1\b!?", "x aa y"),
+        (r"a\b", "a-b"),
+        (r"foo[^\S\n]bar", "foo bar"),
+        (r"foo[\s]bar", "foo　bar"),
+        (r"x[^\s]y", "x​y"),
+        (r"secret(?!s)\d", "secret7"),
+    ],
+)
+def test_custom_patterns_match_and_are_searched_for(corpus, pattern, line):
+    rules = [{"id": "R", "type": "regex", "severity": "low", "pattern": pattern}]
+    assert [r.line for r in scan_regex(corpus(a_js=f"nothing\n{line}"), rules).collect()] == [2]
+
+
+def test_a_bad_pattern_is_named_before_the_scan(corpus):
+    rules = [{"id": "GOOD", "type": "regex", "severity": "low", "pattern": "a"}, {"id": "BAD-1", "type": "regex", "severity": "low", "pattern": "(abc"}]
+    with pytest.raises(ValueError, match="BAD-1"):
+        scan_regex(corpus(a_js="x"), rules)
+
+
+def test_a_thousand_rules_read_the_corpus_once(spark, tmp_path):
+    place = str(tmp_path / "docs")
+    spark.createDataFrame([("a.js", "w7 w999\nzz")], "path string, content string").write.parquet(place)
+    rules = [{"id": f"R{i}", "type": "regex", "severity": "low", "pattern": rf"\bw{i}\b"} for i in range(1000)]
+    rules.append({"id": "LOOK", "type": "regex", "severity": "low", "pattern": r"(?<=z)z"})
+    found = scan_regex(spark.read.parquet(place), rules)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((r.rule_id, r.line) for r in found.collect()) == [("LOOK", 2), ("R7", 1), ("R999", 1)]
