@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
-from siftline.sources.corpus import keep_path
+from siftline.sources.corpus import SCHEME_AND_HOST, keep_path
+from siftline.sources.files import locate
 
 _BATCH_CHARS = 8 << 20
 
@@ -49,15 +50,22 @@ def read_archives(
 ) -> DataFrame:
     """Entries of zip files as (path, content) with path ``archive!entry``.
 
+    The archive is named relative to a directory, so archives of one name in two
+    folders stay apart.
     Globs apply to the entry name.  Archives are spread over the tasks; inside a
     task the entries are unpacked one after the other and sent on in batches.
     """
+    place = locate(spark, location)
+    if place is None:
+        raise FileNotFoundError(location)
+    full = F.regexp_replace("path", SCHEME_AND_HOST, "")
+    below = F.substring(full, len(place.path) + 2, 2**31 - 1) if place.is_dir else F.substring_index(full, "/", -1)
     blobs = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[zZ][iI][pP]")
         .load(location)
-        .select(F.substring_index("path", "/", -1).alias("archive"), F.col("content").alias("blob"))
+        .select(below.alias("archive"), F.col("content").alias("blob"))
     )
     entries = blobs.mapInPandas(_entries, "archive string, entry string, content string")
     if include is not None:

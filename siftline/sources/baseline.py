@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +39,28 @@ def read_baseline(spark: SparkSession, location: str) -> DataFrame:
     """Signatures of a stored baseline.
 
     Reads Parquet directories, and JSON as an array of signatures or as
-    ``{"items": [..]}``, one document per file or per line.  A missing or broken
-    baseline is empty.
+    ``{"items": [..]}``: one document per file, indented or not, or one per line.
+    A missing or broken baseline is empty.
     """
     place = locate(spark, location, names=True)
     if place is None:
         return table_of(spark, [], BASELINE)
     if any(name.endswith(".parquet") for name in [place.path, *place.names]):
         return spark.read.parquet(location).select("signature")
-    text = spark.read.text(location, wholetext=not place.is_dir)
+    lines = spark.read.text(location).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = parse_baseline(lines)
+    broken = parsed.where(F.col("items").isNull() & (F.trim("value") != "")).select("file").distinct()
+    spread = [r.file for r in broken.collect()]  # files whose lines are not documents: indented ones
+    found = parsed.where(~F.col("file").isin(spread)) if spread else parsed
+    found = found.select("items")
+    if spread:
+        whole = spark.read.text([unquote(f) for f in spread], wholetext=True)
+        found = found.unionByName(parse_baseline(whole).select("items"))
+    return found.select(F.explode("items").alias("signature"))
+
+
+def parse_baseline(texts: DataFrame) -> DataFrame:
+    """Rows with the text ``value`` of a document, and its signatures as ``items`` (null if it is none)."""
     plain = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
-    wrapped = F.from_json("value", "items array<string>")["items"]
-    return text.select(F.explode(F.coalesce(plain, wrapped)).alias("signature"))
+    wrapped = F.when(F.ltrim("value").startswith("{"), F.from_json("value", "items array<string>")["items"])
+    return texts.withColumn("items", F.coalesce(plain, wrapped))

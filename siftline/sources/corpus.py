@@ -9,7 +9,7 @@ from siftline import catalogue as C
 from siftline.functions.globs import glob_regex, name_glob
 from siftline.sources.files import Place, locate
 
-_SCHEME_AND_HOST = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+SCHEME_AND_HOST = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 
 def corpus_from_table(df: DataFrame, path: Column | str, text: Column | str) -> DataFrame:
@@ -49,7 +49,7 @@ def read_corpus(
 
 def files_as_corpus(files: DataFrame, place: Place) -> DataFrame:
     """Rows of the ``binaryFile`` source as (path, content), paths relative to a directory."""
-    full = F.regexp_replace("path", _SCHEME_AND_HOST, "")
+    full = F.regexp_replace("path", SCHEME_AND_HOST, "")
     below = F.substring(full, len(place.path) + 2, 2**31 - 1)
     return files.select(
         (below if place.is_dir else full).alias("path"),
@@ -57,16 +57,6 @@ def files_as_corpus(files: DataFrame, place: Place) -> DataFrame:
     )
 
 
-def spread(corpus: DataFrame) -> DataFrame:
-    """Use every core for a corpus that arrives in fewer splits than there are cores.
-
-    Such a corpus is small, or one file with few row groups.  Any larger one is
-    left as it is, so its texts are never shuffled for this.
-    """
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus.repartition(cores) if corpus.rdd.getNumPartitions() < cores else corpus
-
-
 def keep_path(path: Column, include: list[str], exclude: list[str] | None = None) -> Column:
     """True for a relative path that some include glob and no exclude glob matches."""
     keep = path.rlike("|".join(glob_regex(g) for g in include)) if include else F.lit(False)

@@ -106,9 +106,9 @@ def apply_preset(rules: DataFrame, presets: DataFrame, name: str) -> DataFrame:
     return rules.join(chosen, wanted & ~F.array_contains("disabled", F.col("id")), "left_semi")
 
 
-def rule_list(rules: DataFrame) -> list[dict]:
+def rule_list(rules: DataFrame, max_rules: int = MAX_RULES) -> list[dict]:
     """Rules on the driver, in order.  A pack is configuration, so its size is checked."""
-    rows = rules.orderBy("pack_ord", "rule_ord").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule pack holds more than {MAX_RULES} rules")
+    rows = rules.orderBy("pack_ord", "rule_ord").limit(max_rules + 1).collect()
+    if len(rows) > max_rules:
+        raise ValueError(f"a rule pack holds more than {max_rules} rules")
     return [r.asDict() for r in rows]

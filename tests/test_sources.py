@@ -195,3 +195,36 @@ def test_reply_store(spark, tmp_path):
     append_responses(spark.createDataFrame([("k1", "old", "p", None), ("k2", None, "p", None)], schema), place)
     append_responses(spark.createDataFrame([("k1", "new", "p", "m")], schema), place)
     assert [tuple(r) for r in read_responses(spark, place).collect()] == [("k1", "new", "p", "m")]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+@pytest.mark.parametrize(
+    "text",
+    [
+        '["a", "b"]',
+        '{"items": ["a", "b"]}',
+        '{\n  "items": [\n    "a",\n    "b"\n  ]\n}\n',
+        '[\n"a",\n"b"]',
+        '["a"]\n\n["b"]\n',
+        '{"items": ["a"]}\n{"items": ["b"]}\n',
+    ],
+)
+def test_baseline_layouts(spark, tmp_path, folder, text):
+    place = tmp_path / "known" if folder else tmp_path / "known file.json"
+    if folder:
+        place.mkdir()
+        (place / "part one.json").write_text(text)
+        (place / "two.json").write_text('{"items": ["c"]}')
+    else:
+        place.write_text(text)
+    assert sorted(r.signature for r in read_baseline(spark, str(place)).collect()) == ["a", "b", *["c"] * folder]
+
+
+def test_archives_of_one_name_stay_apart(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        with zipfile.ZipFile(tmp_path / name / "x.zip", "w") as archive:
+            archive.writestr("m.py", name)
+    rows = read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.content) for r in rows) == [("a/x.zip!m.py", "a"), ("b/x.zip!m.py", "b")]
+    assert [r.path for r in read_archives(spark, str(tmp_path / "a" / "x.zip")).collect()] == ["x.zip!m.py"]
