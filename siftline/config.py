@@ -22,6 +22,8 @@ class ScanConfig:
     provider: str = "compatible"
     model: str | None = None
     redacted: bool = True
+    concurrency: int | None = None
+    """How many requests are asked side by side."""
     include_discovered: bool = False
     """Whether discovered findings can fail the gate."""
 

@@ -33,7 +33,8 @@ def parse_replies(answered: DataFrame, kind: str) -> DataFrame:
     """Answered requests with the parsed ``reply`` and ``failed``.
 
     A reply fails when it holds no valid JSON object, when its list is no list,
-    or when an entry of the list cannot be used.  A failed reply gives nothing.
+    or when an entry of the list cannot be used.  A failed reply gives nothing,
+    but for review replies: entries before the bad one count.
     """
     if kind in ("discovery", "review"):
         json = first_json_object(F.col("raw_text"))
@@ -53,7 +54,12 @@ def parse_replies(answered: DataFrame, kind: str) -> DataFrame:
 
 def _items(answered: DataFrame, kind: str, *keep: str) -> DataFrame:
     good = parse_replies(answered, kind)
-    listed = F.when(~F.col("failed"), F.col("reply")[_LISTS[kind]])
+    listed = F.col("reply")[_LISTS[kind]]
+    if kind == "review":
+        bad = F.array_min(F.transform(listed, lambda item, i: F.when(item.isNull(), i)))
+        listed = F.slice(listed, F.lit(1), F.coalesce(bad, F.size(listed)))
+    else:
+        listed = F.when(~F.col("failed"), listed)
     return good.select("path", *keep, F.posexplode(listed).alias("ord", "item"))
 
 

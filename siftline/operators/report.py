@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import sarif_level
 from siftline.operators.reviews import attach_reviews
+from siftline.plans.materialize import keep
 from siftline.schemas import FINDING_ORDER
 
 # Member names of the JSON report, in order.
@@ -158,6 +159,7 @@ def _now() -> Column:
 
 def json_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | None = None, review_stats: DataFrame | None = None) -> DataFrame:
     """The JSON report; ``stats`` and ``review_stats`` hold one row."""
+    findings = keep(findings)  # several sections read it
     counts = F.to_json(F.struct(F.col("files_scanned").alias("filesScanned"), F.col("issues_found").alias("issuesFound")))
     head = F.concat(F.lit('{"date":"'), _now(), F.lit('","stats":'), counts, F.lit(',"vulnerabilities":['))
     parts = [
@@ -179,6 +181,7 @@ def json_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | None
 
 def sarif_lines(findings: DataFrame, reviews: DataFrame | None = None, tool: str = "siftline") -> DataFrame:
     """The SARIF 2.1.0 report: one run with the rules that were found and all results."""
+    findings = keep(findings)  # several sections read it
     head = (
         f'{{"$schema":"{_SARIF_SCHEMA}","version":"2.1.0",'
         f'"runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":['
@@ -196,6 +199,7 @@ def sarif_lines(findings: DataFrame, reviews: DataFrame | None = None, tool: str
 
 def markdown_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """The Markdown report: head, findings, then review records."""
+    findings = keep(findings)  # several sections read it
     some = F.col("issues_found") > 0
     found = F.when(some, F.format_string("## %d problems found\n", "issues_found")).otherwise(F.lit("## No problems found\n"))
     head = F.concat(

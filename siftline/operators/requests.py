@@ -15,10 +15,15 @@ from siftline.operators import prompts as P
 from siftline.operators.evidence import file_blocks
 from siftline.operators.findings import first_per_path
 from siftline.operators.lines import chunks
+from siftline.plans.materialize import keep
 from siftline.schemas import FINDING_ORDER
 from siftline.sources.corpus import limit_files
 
 
+FEW = 50_000  # findings (a path and a few numbers each) that may be broadcast
+REPLIES = 8  # prompts answered between two rows of replies handed on
+
+
 def _finish(
     rows: DataFrame, kind: str, system_prompt: str, user_prompt: Column, keep: list[str],
     provider: str, model: str | None, redacted: bool,
@@ -63,12 +68,15 @@ def discovery_requests(
 def with_context(findings: DataFrame, corpus: DataFrame, radius: int = C.CONTEXT_RADIUS) -> DataFrame:
     """Findings with ``context``: their snippet, else the lines around them, else an empty text.
 
-    Only texts of files with a finding that lacks a snippet are looked up.  That
-    is an inner join, so Spark may send the few findings to the many texts.
+    Only texts of files with a finding that lacks a snippet are looked up.  Those
+    findings are kept first; up to ``FEW`` of them are sent to where the texts are,
+    so that no text is shuffled, and more are joined as Spark sees fit.
     """
     place = ["path", *[c for c in FINDING_ORDER if c != "path"]]
-    bare = findings.filter(F.col("snippet").isNull() & (F.coalesce(F.col("line"), F.lit(0)) > 0))
-    lookup = corpus.select("path", "content").join(bare.select(*place, "line"), "path")
+    findings = keep(findings)
+    bare = findings.filter(F.col("snippet").isNull() & (F.coalesce(F.col("line"), F.lit(0)) > 0)).select(*place, "line")
+    few = bare.limit(FEW + 1).count() <= FEW
+    lookup = corpus.select("path", "content").join(F.broadcast(bare) if few else bare, "path")
     around = context(split_lines(F.col("content"), crlf=True), F.col("line"), radius)
     found = lookup.select(*place, around.alias("around"))
     rows = findings.join(found, place, "left")
@@ -159,8 +167,10 @@ def complete(
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [_try(ask, s, u) for s, u in zip(batch["system_prompt"], batch["user_prompt"])]
-            yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "raw_text": pd.Series(texts, dtype=object)})
+            for start in range(0, len(batch), REPLIES):  # what is answered leaves the worker soon
+                part = batch.iloc[start : start + REPLIES]
+                texts = [_try(ask, s, u) for s, u in zip(part["system_prompt"], part["user_prompt"])]
+                yield pd.DataFrame({"prompt_hash": part["prompt_hash"].array, "raw_text": pd.Series(texts, dtype=object)})
 
     asked = pending.select("prompt_hash", "system_prompt", "user_prompt")
     if concurrency:

@@ -78,10 +78,10 @@ def scan(
 
     if baseline is not None:
         found = diff_baseline(found, baseline)
+    found = keep(found)  # read by the counts, the review, the clean-up of records and every report
     if not reviewed:
         return ScanResult(found, scan_stats(corpus, found), gate(found, config.fail_on, config.include_discovered))
 
-    found = keep(found)  # read by the review, the clean-up of records and every report
     requests = review_requests(found, corpus, config.radius, config.provider, config.model, config.redacted)
     answered = _answer(requests, responses, ask, config, store)
     records.append(review_records(answered))
@@ -105,7 +105,7 @@ def _answer(
     if ask is None:
         return keep(match_responses(requests, stored).withColumn("asked", F.col("cache_hit")))
     requests = keep(requests)
-    new = keep(complete(pending_requests(requests, stored), ask, config.provider, config.model))
+    new = keep(complete(pending_requests(requests, stored), ask, config.provider, config.model, config.concurrency))
     if store:
         append_responses(new, store)
     stored_hit = match_responses(requests, stored)

@@ -18,6 +18,7 @@ from siftline.operators.replies import (
     discovered_findings,
     discovery_reviews,
     intent_verdicts,
+    parse_replies,
     review_records,
     review_stats,
     sum_stats,
@@ -213,10 +214,11 @@ def test_review_replies(spark, corpus):
                           {"index": 0, "category": "late"}]}
     records = review_records(answer(spark, requests, json.dumps(reply)))
     rows = records.orderBy("ord").collect()
+    fix_of = {r["id"]: r["fix"] for r in C.BUILTIN_RULES}
     assert [(r.id, r.title, r.category, r.severity, r.fix) for r in rows] == [
         ("SEC-212|a.js|1", "复核：S", "review", "critical", "F"),
-        ("SEC-210|a.js|2", "复核：SEC-210", "review", "medium", "Use HTTPS."),
-        ("SEC-210|a.js|2", "复核：SEC-210", "late", "medium", "Use HTTPS."),
+        ("SEC-210|a.js|2", "复核：SEC-210", "review", "medium", fix_of["SEC-210"]),
+        ("SEC-210|a.js|2", "复核：SEC-210", "late", "medium", fix_of["SEC-210"]),
     ]
     last = {r.key_rule: r.review.category for r in last_review(records).collect()}
     assert last == {"SEC-212": "review", "SEC-210": "late"}
@@ -283,3 +285,15 @@ def test_sum_stats(spark):
     one = spark.createDataFrame([(2, 1, 1)], "calls bigint, cache_hits bigint, failures bigint")
     assert sum_stats(one, one).collect()[0].asDict() == {"calls": 4, "cache_hits": 2, "failures": 2}
     assert sum_stats(one.limit(0)).collect()[0].calls == 0
+
+
+def test_review_entries_before_a_bad_one_count(spark):
+    items = "array<struct<ordinal:int,rule_id:string,severity:string,line:int,column:int,description:string,snippet:string,suggestion:string,context:string>>"
+    one = (0, "SEC-001", "low", 1, None, "d", "s", "f", "c")
+    reply = '{"analyses":[{"index":0,"category":"kept"},null,{"index":0,"category":"after"}]}'
+    answered = spark.createDataFrame(
+        [("a.js", [one], reply, "compatible", "m", "h", True)],
+        f"path string, items {items}, raw_text string, provider string, model string, prompt_hash string, cache_hit boolean",
+    )
+    assert [r.category for r in review_records(answered).collect()] == ["kept"]
+    assert [r.failed for r in parse_replies(answered, "review").collect()] == [True]
