@@ -148,11 +148,10 @@ def test_union_keeps_pack_order_and_repeated_ids(spark):
     assert ids(union_rules(first, second)) == ["B", "A", "A"]
 
 
-def test_rule_list_checks_the_size_of_a_pack(spark, monkeypatch):
-    monkeypatch.setattr("siftline.sources.rules.MAX_RULES", 1)
+def test_rule_list_checks_the_size_of_a_pack(spark):
     assert MAX_RULES > 1
     with pytest.raises(ValueError, match="more than 1 rules"):
-        rule_list(rules_from(spark, [{"id": "A"}, {"id": "B"}]))
+        rule_list(rules_from(spark, [{"id": "A"}, {"id": "B"}]), max_rules=1)
 
 
 SIGNATURES = ["SEC-001|a.js|1|eval(1)", "X|b|0|"]
