@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
 from siftline.functions.globs import glob_regex, name_glob
-from siftline.sources.files import Place, locate
+from siftline.sources.files import Place, all_files, locate
+from siftline.sources.local import table_of
 
 SCHEME_AND_HOST = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
@@ -19,18 +26,38 @@ def corpus_from_table(df: DataFrame, path: Column | str, text: Column | str) ->
     return df.select(path.cast("string").alias("path"), text.alias("content"))
 
 
+class Files(NamedTuple):
+    corpus: DataFrame
+    unread: DataFrame
+    """(path, reason) of the files that were asked for and could not be read."""
+
+
 def read_corpus(
     spark: SparkSession,
     root: str,
     include: list[str] | None = C.DEFAULT_INCLUDE,
     exclude: list[str] | None = C.DEFAULT_EXCLUDE,
 ) -> DataFrame:
-    """Text files below a directory, or one file.
+    """Text files below a directory, or one file: the corpus of :func:`read_files`."""
+    return read_files(spark, root, include, exclude).corpus
+
+
+def read_files(
+    spark: SparkSession,
+    root: str,
+    include: list[str] | None = C.DEFAULT_INCLUDE,
+    exclude: list[str] | None = C.DEFAULT_EXCLUDE,
+    max_bytes: int = 2**31 - 1 - 1024,
+) -> Files:
+    """Text files below a directory, or one file, and those that cannot be read.
 
     Paths are relative to ``root``.  ``include=None`` reads everything, as does a
-    ``root`` that is a single file.  Files that vanish or cannot be read are
-    skipped; bytes that are not UTF-8 become U+FFFD.  Spark does not list names
-    that start with a dot or an underscore, nor empty files.
+    ``root`` that is a single file.  Bytes that are not UTF-8 become U+FFFD.
+
+    Spark's reader passes over empty files and names that start with an underscore
+    or a dot.  Those are listed on the driver and read in the tasks by Arrow's file
+    systems; where Arrow does not know the store they are among ``unread``, as are
+    files of more than ``max_bytes``.  Asking for ``unread`` reads the files again.
     """
     place = locate(spark, root)
     if place is None:
@@ -43,16 +70,63 @@ def read_corpus(
     )
     if place.is_dir and include and (names := name_glob(include)):
         reader = reader.option("pathGlobFilter", names)  # lists fewer files
-    files = files_as_corpus(reader.load(root), place)
-    return path_filter(files, include, exclude) if place.is_dir and include is not None else files
+    listed = reader.load(root)
+    seen = files_as_corpus(listed.where(F.col("length") <= max_bytes), place)
+    other = _read_passed_over(passed_over(spark, root, place, max_bytes))
+    long = listed.where(F.col("length") > max_bytes).select("path", F.lit("too long").alias("reason"))
+    skipped = listed.where(F.col("length") <= max_bytes).select("path")
+    skipped = skipped.join(listed.where(F.col("content").isNotNull()).select("path"), "path", "left_anti")
+    unread = long.unionByName(skipped.select("path", F.lit("unreadable").alias("reason")))
+    unread = unread.select(_below(place).alias("path"), "reason")
+    corpus = seen.unionByName(other.where("reason IS NULL").select("path", "content"))
+    unread = unread.unionByName(other.where("reason IS NOT NULL").select("path", "reason"))
+    if place.is_dir and include is not None:
+        return Files(path_filter(corpus, include, exclude), path_filter(unread, include, exclude))
+    return Files(corpus, unread)
+
+
+def passed_over(spark: SparkSession, root: str, place: Place, max_bytes: int) -> DataFrame:
+    """(uri, path, length) of the files Spark's reader does not list."""
+    rows = []
+    for uri, full, length in all_files(spark, root):
+        path = full[len(place.path) + 1 :] if place.is_dir else full
+        parts = path.split("/") if place.is_dir else [full.rsplit("/", 1)[-1]]
+        if not length or any(p[0] == "." or (p[0] == "_" and "=" not in p) for p in parts):
+            rows.append({"uri": uri, "path": path, "length": length if length <= max_bytes else -1})
+    return table_of(spark, rows, "uri string, path string, length bigint")
+
+
+def _read_passed_over(files: DataFrame) -> DataFrame:
+    """(path, content, reason): either of the last two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, path, length in zip(*(batch.column(c).to_pylist() for c in ("uri", "path", "length")), strict=True):
+                content, reason = "", None
+                try:
+                    if length < 0:
+                        raise ValueError("too long")
+                    if length:
+                        local = uri.removeprefix("file:") if uri.startswith("file:/") else None
+                        store, place = (LocalFileSystem(), unquote(local)) if local else FileSystem.from_uri(uri)
+                        with store.open_input_stream(place) as stream:
+                            content = stream.read().decode("utf-8", "replace")
+                except Exception as error:  # noqa: BLE001 - whatever went wrong is the reason
+                    content, reason = None, str(error)[:500] or type(error).__name__
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([content], pa.string()), "reason": pa.array([reason], pa.string())})
+
+    return files.repartition("path").mapInArrow(run, "path string, content string, reason string")
+
+
+def _below(place: Place) -> Column:
+    full = F.regexp_replace("path", SCHEME_AND_HOST, "")
+    return F.substring(full, len(place.path) + 2, 2**31 - 1) if place.is_dir else full
 
 
 def files_as_corpus(files: DataFrame, place: Place) -> DataFrame:
     """Rows of the ``binaryFile`` source as (path, content), paths relative to a directory."""
-    full = F.regexp_replace("path", SCHEME_AND_HOST, "")
-    below = F.substring(full, len(place.path) + 2, 2**31 - 1)
     return files.select(
-        (below if place.is_dir else full).alias("path"),
+        _below(place).alias("path"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,13 @@ def locate(spark: SparkSession, location: str, names: bool = False) -> Place | N
     is_dir = files.getFileStatus(path).isDirectory()
     below = [s.getPath().getName() for s in files.listStatus(path)] if names and is_dir else []
     return Place(files.makeQualified(path).toUri().getPath().rstrip("/"), is_dir, below)
+
+
+def all_files(spark: SparkSession, location: str) -> Iterator[tuple[str, str, int]]:
+    """(URI, path without scheme and host, bytes) of every file at or below a location, hidden ones too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while found.hasNext():
+        status = found.next()
+        uri = status.getPath().toUri()
+        yield uri.toString(), uri.getPath(), status.getLen()

@@ -10,7 +10,7 @@ from siftline import catalogue as C
 from siftline.operators.findings import diff_baseline, static_findings
 from siftline.sources.archives import read_archives
 from siftline.sources.baseline import export_baseline_json, read_baseline, write_baseline
-from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter, read_corpus
+from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter, read_corpus, read_files
 from siftline.sources.responses import append_responses, read_responses
 from siftline.sources.rules import (
     MAX_RULES,
@@ -53,7 +53,10 @@ def tree(tmp_path):
 
 def test_directory_scan(spark, tree):
     rows = {r.path: r.content for r in read_corpus(spark, str(tree)).collect()}
-    assert rows == {"a.js": "eval(1)", "sub/b.py": "é", "sub/bad.ts": "ok �� end", "sub/with space.json": "{}"}
+    assert rows == {
+        "a.js": "eval(1)", "sub/b.py": "é", "sub/bad.ts": "ok �� end", "sub/with space.json": "{}",
+        "_under.js": "eval(1)", "empty.js": "",
+    }
 
 
 def test_directory_scan_with_own_globs(spark, tree):
@@ -227,3 +230,25 @@ def test_archives_of_one_name_stay_apart(spark, tmp_path):
     rows = read_archives(spark, str(tmp_path)).collect()
     assert sorted((r.path, r.content) for r in rows) == [("a/x.zip!m.py", "a"), ("b/x.zip!m.py", "b")]
     assert [r.path for r in read_archives(spark, str(tmp_path / "a" / "x.zip")).collect()] == ["x.zip!m.py"]
+
+
+def test_every_file_is_read(spark, tmp_path):
+    (tmp_path / "_private dir").mkdir()
+    for name, text in (("__init__.py", "eval(x)"), ("_app.js", "eval(y)"), ("ok.py", "eval(z)"), ("empty.py", ""), ("_private dir/ä b.py", "é"), (".hidden.py", "no"), ("_long.py", "x" * 60), ("long.py", "y" * 60)):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "_gone.py").symlink_to(tmp_path / "nowhere.py")
+    files = read_files(spark, str(tmp_path), max_bytes=50)
+    assert {r.path: r.content for r in files.corpus.collect()} == {
+        "__init__.py": "eval(x)", "_app.js": "eval(y)", "ok.py": "eval(z)", "empty.py": "", "_private dir/ä b.py": "é",
+    }
+    assert {"_long.py", "long.py"} <= {r.path for r in files.unread.collect()}
+    for name, text in (("__init__.py", "eval(x)"), ("empty.py", ""), ("ok.py", "eval(z)")):
+        assert [r.content for r in read_corpus(spark, str(tmp_path / name)).collect()] == [text]
+
+
+def test_a_file_that_goes_after_the_listing_is_unread(spark, tmp_path):
+    (tmp_path / "_a.py").write_text("x")
+    files = read_files(spark, str(tmp_path))
+    (tmp_path / "_a.py").unlink()
+    assert files.corpus.count() == 0
+    assert [r.path for r in files.unread.collect()] == ["_a.py"]
