@@ -477,9 +477,21 @@ ORACLES: dict[str, str] = {
     " FROM placed WHERE ordinal < 8 GROUP BY path",
     "findings_by_group": with_(*static())
     + 'SELECT grp AS "group", f.severity, count(*) AS n FROM findings f JOIN rules r ON f.rule_id = r.id GROUP BY ALL',
+    "custom_rules": with_(corpus(), lines("corpus", "lines"), rule_rows(P.CUSTOM_RULES_RE2), regex_part(P.CUSTOM_RULES_RE2))
+    + "SELECT rule_id, path, line FROM regex_findings",
+    "parsed_baselines": "SELECT doc_id, 'S' || doc_id AS signature FROM documents WHERE doc_id % 5 < 3"
+    " UNION ALL SELECT doc_id, 'T' FROM documents WHERE doc_id % 5 = 0",
+    "parsed_rule_files": "SELECT CAST(doc_id AS VARCHAR) AS file, 'R' || doc_id AS id, 'low' AS severity, 'x' AS pattern,"
+    " CAST(0 AS INTEGER) AS rule_ord FROM documents WHERE doc_id % 3 = 0"
+    " UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Q', NULL, NULL, 2 FROM documents WHERE doc_id % 3 = 0",
+    "latest_responses": "SELECT source AS prompt_hash, md5(arg_max(text, doc_id)) AS raw_text, 'p' AS provider,"
+    " arg_max(lang, doc_id) AS model FROM documents GROUP BY source",
+    "completed_requests": "SELECT CAST(doc_id AS VARCHAR) AS prompt_hash, CASE WHEN length(text) % 7 <> 0"
+    " THEN lang || ':' || length(text) END AS raw_text, 'p' AS provider, 'm' AS model FROM documents",
     "baseline_signatures": with_(*static()) + f"SELECT {SIGNATURE} AS signature FROM findings",
     "new_since_baseline": with_(*static())
-    + f"SELECT {PUBLIC} FROM findings WHERE {SIGNATURE} NOT IN (SELECT {SIGNATURE} FROM findings WHERE severity <> 'high')",
+    + f"SELECT {PUBLIC} FROM (SELECT *, {SIGNATURE} AS known FROM findings) f"
+    f" WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {SIGNATURE} AS old FROM findings WHERE severity <> 'high') b WHERE b.old = f.known)",
     "gate_by_threshold": with_(*static()) + gate_sql(),
     "gate_with_discovered": with_(*discovery_items())
     + "SELECT false AS counts_discovered, false AS failed UNION ALL SELECT true, count(*) > 0 FROM discovered",
@@ -497,6 +509,10 @@ ORACLES: dict[str, str] = {
     "line_context": with_(corpus(), lines("corpus", "lines"), rule_rows(C.BUILTIN_RULES), regex_part(C.BUILTIN_RULES))
     + "SELECT rule_id, path, line, array_to_string(l[greatest(1, line - 2):least(len(l), line + 2)], chr(10)) AS around"
     " FROM regex_findings JOIN (SELECT path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM corpus) USING (path)",
+    "finding_context": with_(corpus(), lines("corpus", "lines"), rule_rows(C.BUILTIN_RULES), regex_part(C.BUILTIN_RULES))
+    + "SELECT rule_id, path, line, CASE WHEN line % 2 = 0 THEN snippet ELSE"
+    " array_to_string(l[greatest(1, line - 2):least(len(l), line + 2)], chr(10)) END AS context"
+    " FROM regex_findings JOIN (SELECT path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM corpus) USING (path)",
     "line_chunks": with_(*chunk_parts("chunk")) + "SELECT path, chunk_no, start_line, text FROM chunks",
     "discovery_requests": with_(corpus(), *request_parts()) + f"SELECT {REQUEST} FROM requests",
     "discovery_requests_unredacted": with_(corpus(), *request_parts("balanced", 2, "m1", False)) + f"SELECT {REQUEST} FROM requests",

@@ -249,3 +249,34 @@ def planted_responses(requests: DataFrame, kind: str) -> DataFrame:
     return numbered.select(
         "prompt_hash", F.expr(around).alias("raw_text"), F.lit("compatible").alias("provider"), F.lit("m1").alias("model")
     )
+
+
+# Rules in the regex dialect of rules, each with a pattern that RE2 reads alike.
+_CUSTOM = {
+    "ESCAPE": (r"\x2D\b[a-z]+", "-[a-z][a-z]*"),
+    "SPACE": (r"#[^\S\n]curl", "# curl"),
+    "AHEAD": (r"secret(?!s)\s", r"secret\s"),
+    "AGAIN": (r"(e|o)\1\b", r"(ee|oo)([^A-Za-z0-9_]|$)"),
+    "BEHIND": (r"(?<=exec)\(", r"exec\("),
+}
+
+
+def _custom(which: int) -> list[dict]:
+    return [
+        {"id": k, "type": "regex", "severity": "low", "description": k, "pattern": v[which], "fix": None, "group": "g"}
+        for k, v in _CUSTOM.items()
+    ]
+
+
+CUSTOM_RULES, CUSTOM_RULES_RE2 = _custom(0), _custom(1)
+
+# Text of a baseline and of a rule file for each document, in SQL that both engines read.
+BASELINE_TEXT = (
+    """CASE doc_id % 5 WHEN 0 THEN '["S' || doc_id || '","T"]' WHEN 1 THEN '{"items":["S' || doc_id || '"]}'"""
+    """ WHEN 2 THEN '{' || chr(10) || '  "items": [' || chr(10) || '    "S' || doc_id || '"' || chr(10) || '  ]' || chr(10) || '}'"""
+    """ WHEN 3 THEN '{"items":' ELSE substr(text, 1, 50) END"""
+)
+RULE_FILE_TEXT = (
+    """CASE WHEN doc_id % 3 = 0 THEN '[{"id":"R' || doc_id || '","severity":"low","type":"regex","pattern":"x"},null,{"id":"Q"}]'"""
+    """ WHEN doc_id % 3 = 1 THEN '{"id":"R"}' ELSE text END"""
+)

@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.planted import long_corpus, planted_corpus, planted_responses
+from checks.planted import BASELINE_TEXT, CUSTOM_RULES, RULE_FILE_TEXT, long_corpus, planted_corpus, planted_responses
 from siftline import catalogue as C
 from siftline.config import ScanConfig
 from siftline.functions.redact import redact, redaction_changed
 from siftline.functions.text import (
     at_least,
     category_slug,
-    context,
     extension,
     finding_id,
     is_script,
@@ -58,16 +57,20 @@ from siftline.operators.report import (
 )
 from siftline.operators.requests import (
     chunk_requests,
+    complete,
     discovery_requests,
     match_responses,
     pending_requests,
     review_requests,
+    with_context,
 )
 from siftline.operators.reviews import all_reviews, attach_reviews, keep_live_reviews, last_review
 from siftline.plans.scan import scan
-from siftline.sources.baseline import signatures
+from siftline.sources.baseline import parse_baseline, signatures
 from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter
+from siftline.sources.responses import latest_responses
 from siftline.sources.rules import (
+    parse_rules,
     apply_preset,
     builtin_rules,
     call_selectors,
@@ -215,9 +218,15 @@ def q_gate_discovered(s: SparkSession, d: str) -> DataFrame:
 
 def q_line_context(s: SparkSession, d: str) -> DataFrame:
     corpus = planted_corpus(s, d)
-    found = scan_regex(corpus, RULES).join(corpus, "path")
-    around = context(split_lines(F.col("content"), crlf=True), F.col("line"), 2)
-    return found.select("rule_id", "path", "line", around.alias("around"))
+    bare = scan_regex(corpus, RULES).withColumn("snippet", F.lit(None).cast("string"))
+    return with_context(bare, corpus, 2).select("rule_id", "path", "line", F.col("context").alias("around"))
+
+
+def q_finding_context(s: SparkSession, d: str) -> DataFrame:
+    """Findings of which every other one has lost its snippet."""
+    corpus = planted_corpus(s, d)
+    found = scan_regex(corpus, RULES).withColumn("snippet", F.when(F.col("line") % 2 == 0, F.col("snippet")))
+    return with_context(found, corpus, 2).select("rule_id", "path", "line", "context")
 
 
 def q_line_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -382,7 +391,50 @@ def q_scan_by_group(s: SparkSession, d: str) -> DataFrame:
     return found.join(groups, "rule_id").groupBy("group", "severity").agg(F.sum("n").alias("n"))
 
 
+def q_custom_rules(s: SparkSession, d: str) -> DataFrame:
+    return scan_regex(planted_corpus(s, d), CUSTOM_RULES).select("rule_id", "path", "line")
+
+
+def q_parsed_baselines(s: SparkSession, d: str) -> DataFrame:
+    """Baseline documents of every layout, one made of each row of the table."""
+    docs = table(s, d, "documents")
+    parsed = parse_baseline(docs.select("doc_id", F.expr(BASELINE_TEXT).alias("value")))
+    return parsed.select("doc_id", F.explode("items").alias("signature"))
+
+
+def q_parsed_rule_files(s: SparkSession, d: str) -> DataFrame:
+    files = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.expr(RULE_FILE_TEXT).alias("value"))
+    return parse_rules(files).select("file", "id", "severity", "pattern", "rule_ord")
+
+
+def q_latest_responses(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    stored = docs.select(
+        F.col("source").alias("prompt_hash"), F.md5("text").alias("raw_text"), F.lit("p").alias("provider"),
+        F.col("lang").alias("model"), F.col("doc_id").alias("stored_at"),
+    )
+    return latest_responses(stored)
+
+
+def q_completed_requests(s: SparkSession, d: str) -> DataFrame:
+    """Requests answered in the tasks by a function that counts; one kind of prompt makes it raise."""
+
+    def ask(system_prompt: str, user_prompt: str) -> str:
+        if len(user_prompt) % 7 == 0:
+            raise ValueError("no answer")
+        return f"{system_prompt}:{len(user_prompt)}"
+
+    docs = table(s, d, "documents")
+    asked = docs.select(F.col("doc_id").cast("string").alias("prompt_hash"), F.col("lang").alias("system_prompt"), F.col("text").alias("user_prompt"))
+    return complete(asked, ask, "p", "m")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "custom_rules": q_custom_rules,
+    "parsed_baselines": q_parsed_baselines,
+    "parsed_rule_files": q_parsed_rule_files,
+    "latest_responses": q_latest_responses,
+    "completed_requests": q_completed_requests,
     # corpus and rules
     "corpus_lines": lambda s, d: explode_lines(planted_corpus(s, d)),
     "corpus_lines_crlf": lambda s, d: explode_lines(planted_corpus(s, d), crlf=True),
@@ -420,6 +472,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evidence_blocks_balanced": _blocks("balanced"),
     "evidence_blocks_full": _blocks("full"),
     "line_context": q_line_context,
+    "finding_context": q_finding_context,
     "line_chunks": q_line_chunks,
     # requests
     "discovery_requests": lambda s, d: _requests(discovery_requests(planted_corpus(s, d))),

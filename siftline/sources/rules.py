@@ -37,17 +37,16 @@ def read_rules(spark: SparkSession, location: str) -> DataFrame:
     if place is None:
         return rules_from(spark, [])
     reader = spark.read.option("pathGlobFilter", "*.json") if place.is_dir else spark.read
-    rule_list = F.from_json("value", "array<" + RULE.simpleString() + ">")
-    files = reader.text(location, wholetext=True).select(
-        F.input_file_name().alias("file"),
-        F.when(F.ltrim("value").startswith("["), rule_list).alias("rules"),
-    )
-    placed = files.select("file", F.posexplode("rules").alias("pos", "rule")).filter("rule is not null")
-    return placed.select(
-        "rule.*",
-        (F.dense_rank().over(_in_order("file")) - 1).alias("pack_ord"),
-        F.col("pos").cast("int").alias("rule_ord"),
-    )
+    files = reader.text(location, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    pack = F.dense_rank().over(_in_order("file")) - 1
+    return parse_rules(files).withColumn("pack_ord", pack).drop("file").select(*ORDERED_RULE.fieldNames())
+
+
+def parse_rules(files: DataFrame) -> DataFrame:
+    """Rules of rule files given as (file, value), with ``rule_ord``, their place in the file."""
+    rules = F.from_json("value", "array<" + RULE.simpleString() + ">")
+    listed = files.select("file", F.posexplode(F.when(F.ltrim("value").startswith("["), rules)).alias("pos", "rule"))
+    return listed.where("rule is not null").select("file", "rule.*", F.col("pos").cast("int").alias("rule_ord"))
 
 
 def _in_order(*columns: str) -> WindowSpec:
