@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-WORDS_KEPT = 400_000  # a memo's size; it changes speed, not results
+WORDS_KEPT = 100_000  # a memo's size; it changes speed, not results
+ROWS = 256  # rows of an Arrow column that are Python objects at a time
+
+
+def values_of(column: pa.Array, change: Callable[[pa.Array], pa.Array] = lambda part: part) -> Iterator:
+    """Values of a column as Python objects, a few at a time, so that a large batch is not copied whole."""
+    for start in range(0, len(column), ROWS):
+        yield from change(column.slice(start, ROWS)).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
+def texts_of(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a column of texts."""
+    return values_of(column, lambda part: part.cast(pa.binary()))
 
 
 class WordHashes(dict):

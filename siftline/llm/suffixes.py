@@ -8,9 +8,10 @@
    neighbours in another text have the same ones is a hit.  Minima and maxima per
    key stand for the neighbours, so a key that very many texts share is summed up
    before it is shuffled.
-3. Hits are extended left and right: every window that has a hit as its minimiser
-   is compared in full length, and overlapping windows that occur in another
-   text as well are joined to spans, as long as the match goes on.
+3. Hits are extended left and right over all windows that have them as their
+   minimiser: first as one stretch, which copies share as a whole, and where no
+   other text has that stretch, window by window.  Overlapping windows that occur
+   in another text as well are joined to spans, as long as the match goes on.
 
 Words are those of the lower-cased (A-Z) text between ASCII white space.  A text
 that occurs in several rows is looked at once, and is a repeat as a whole if it
@@ -23,7 +24,6 @@ columns are not looked at.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shingles import WordHashes, mix, words_of
+from siftline.llm.shingles import WordHashes, mix, texts_of, words_of
 from siftline.plans.materialize import keep
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -56,6 +56,9 @@ class RunHashes:
         n = max(len(self.sums) - length, 0)
         return mix((self.sums[length : length + n] - self.sums[:n]) * self.back[:n] + np.uint64(length))
 
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
 
 def word_hashes(text: bytes | None, memo: WordHashes) -> np.ndarray:
     words = words_of(text) if text else []
@@ -73,57 +76,98 @@ def minimisers(runs: RunHashes, min_words: int, anchor_words: int) -> tuple[np.n
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    """(doc_id, mark, text): ``mark`` is the MD5 of the text, null texts count as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
 
 
 def retained_suffixes(texts: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """(doc_id, text_key, mark, n_words, anchors, places): the retained suffixes of each row."""
+    """(doc_id, mark, n_words, anchors, places): the retained suffixes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            marks, counts, anchors, places = [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            counts, anchors, places = [], [], []
+            for text in texts_of(batch.column("text")):
                 words = word_hashes(text, memo)
                 at, hashes = minimisers(RunHashes(words), min_words, anchor_words)
                 at = np.unique(at)
-                marks.append(hashlib.blake2b(text or b"", digest_size=16).digest())
                 counts.append(len(words))
                 anchors.append(hashes[at].view(np.int64))
                 places.append(at.astype(np.int32))
-            made = [pa.array(marks, pa.binary()), pa.array(counts, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *made], names=["doc_id", "text_key", "mark", "n_words", "anchors", "places"])
+            made = [pa.array(counts, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *made], names=["doc_id", "mark", "n_words", "anchors", "places"])
+
+    return texts.mapInArrow(run, "doc_id long, mark binary, n_words long, anchors array<long>, places array<int>")
 
-    return texts.mapInArrow(run, "doc_id long, text_key long, mark binary, n_words long, anchors array<long>, places array<int>")
 
+def stretches_at(hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
+    """(text_id, start, anchor, stretch, windows): the windows whose minimiser is one of ``places``.
 
-def windows_at(hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """(text_id, start, anchor, window): the windows whose minimiser is one of a text's ``places``."""
+    A row holds all windows in a row that share a minimiser, and as ``stretch`` the
+    hash of the words they cover together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            columns = batch.column("text_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places")
+            columns = batch.column("text_id").to_pylist(), texts_of(batch.column("text")), batch.column("places")
             for text_id, text, wanted in zip(*columns, strict=True):
                 runs = RunHashes(word_hashes(text, memo))
                 at, hashes = minimisers(runs, min_words, anchor_words)
                 held = np.zeros(len(hashes), bool)
                 held[np.array(wanted.as_py(), np.int64)] = True
-                start = np.flatnonzero(held[at])
-                cells = [np.full(len(start), text_id, np.int64), start.astype(np.int32), hashes[at[start]].view(np.int64), runs.of(min_words)[start].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["text_id", "start", "anchor", "window"])
+                first = np.flatnonzero(np.diff(at, prepend=-1))  # windows that share a minimiser follow each other
+                last = np.append(first[1:], len(at))
+                kept = held[at[first]]
+                first, last = first[kept], last[kept]
+                covered = runs.between(first, last - 1 + min_words)
+                windows = runs.of(min_words).view(np.int64)
+                inside = np.concatenate([np.arange(x, y) for x, y in zip(first, last, strict=True)]) if len(first) else first
+                lists = pa.ListArray.from_arrays(np.cumsum(np.append(0, last - first)).astype(np.int32), pa.array(windows[inside]))
+                cells = [np.full(len(first), text_id, np.int64), first.astype(np.int32), hashes[at[first]].view(np.int64), covered.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cells), lists], names=["text_id", "start", "anchor", "stretch", "windows"])
 
-    return hits.mapInArrow(run, "text_id long, start int, anchor long, window long")
+    return hits.mapInArrow(run, "text_id long, start int, anchor long, stretch long, windows array<long>")
 
 
 def in_several_texts(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key occurs in another text too."""
+    """(key, low, high) of the keys that occur in two texts or more, and two of these texts.
+
+    Kept, so that rows are joined to it by a plain shuffle on either side, which
+    Spark splits where a key is hot.
+    """
     ends = rows.groupBy(*key).agg(F.min("text_id").alias("low"), F.max("text_id").alias("high"))
-    return rows.join(ends.where("low != high").select(*key), key)
+    return keep(ends.where("low != high"))
+
 
+def repeated_stretches(stretches: DataFrame) -> DataFrame:
+    """(text_id, first, last): runs of windows, by their first and last start, that other texts hold too.
 
-def join_windows(starts: Column, min_words: int) -> Column:
-    """Spans (start, end) in words covered by windows that start at the sorted places."""
+    A stretch that another text has as a whole needs no look at its windows.  The
+    windows of the others are compared one by one, with each other and with those
+    of one of each of the stretches that repeat.
+    """
+    key = ["anchor", "stretch"]
+    whole = in_several_texts(stretches, key)
+    full = stretches.join(whole.select(*key).hint("merge"), key)
+    parts = stretches.join(whole.select(*key).hint("merge"), key, "left_anti")
+    known = full.groupBy(*key).agg(F.first("windows").alias("windows"), F.min("text_id").alias("low"), F.max("text_id").alias("high"))
+    known = known.join(parts.select("anchor").distinct().hint("merge"), "anchor", "left_semi")
+    known = known.select("anchor", F.explode("windows").alias("window"), "low", "high")
+    windows = parts.select("text_id", "anchor", "start", F.posexplode("windows").alias("i", "window"))
+    windows = keep(windows.select("text_id", "anchor", "window", (F.col("start") + F.col("i")).alias("at")))
+    ends = known.unionByName(windows.select("anchor", "window", F.col("text_id").alias("low"), F.col("text_id").alias("high")))
+    ends = keep(ends.groupBy("anchor", "window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high"))
+    single = windows.join(ends.select("anchor", "window").hint("merge"), ["anchor", "window"])
+    last = (F.col("start") + F.size("windows") - 1).alias("last")
+    return full.select("text_id", F.col("start").alias("first"), last).unionByName(
+        single.select("text_id", F.col("at").alias("first"), F.col("at").alias("last"))
+    )
+
+
+def join_runs(runs: Column, min_words: int) -> Column:
+    """Spans (start, end) in words that sorted runs of windows (first, last) cover."""
     span = "array<struct<start:int,end:int>>"
     nothing = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.array().cast(span).alias("spans"))
 
@@ -131,15 +175,16 @@ def join_windows(starts: Column, min_words: int) -> Column:
         last = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))).cast(span)
         return F.when(acc["start"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], last))
 
-    def step(acc: Column, at: Column) -> Column:
-        goes_on = at <= acc["end"]
+    def step(acc: Column, run: Column) -> Column:
+        goes_on = run["first"] <= acc["end"]
+        end = run["last"] + min_words
         return F.struct(
-            F.when(goes_on, acc["start"]).otherwise(at).alias("start"),
-            (at + min_words).alias("end"),
+            F.when(goes_on, acc["start"]).otherwise(run["first"]).alias("start"),
+            F.when(goes_on, F.greatest(acc["end"], end)).otherwise(end).alias("end"),
             F.when(goes_on, acc["spans"]).otherwise(closed(acc)).alias("spans"),
         )
 
-    return F.aggregate(starts, nothing, step, closed)
+    return F.aggregate(runs, nothing, step, closed)
 
 
 def repeated_passages(
@@ -150,32 +195,27 @@ def repeated_passages(
     ``copies`` counts the rows with the very same text.
     """
     texts = _texts(docs, id_col, text_col)
-    rows = keep(retained_suffixes(texts, min_words, anchor_words))
-    known = rows.groupBy("mark").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("first"),
+    known = retained_suffixes(texts, min_words, anchor_words).groupBy("mark").agg(
+        F.min("doc_id").alias("_id"),
         F.first("n_words").alias("n_words"),
         F.count(F.lit(1)).alias("copies"),
         F.first("anchors").alias("anchors"),
         F.first("places").alias("places"),
     )
-    known = keep(known.select(F.monotonically_increasing_id().alias("text_id"), "mark", "first.*", "n_words", "copies", "anchors", "places"))
+    known = keep(known.withColumn("text_id", F.monotonically_increasing_id()))
     pairs = F.explode(F.arrays_zip("anchors", "places")).alias("s")
     suffixes = known.select("text_id", pairs).select("text_id", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
-    hits = in_several_texts(suffixes, ["anchor"]).groupBy("text_id").agg(F.collect_list("place").alias("places"))
-    hits = keep(hits.join(known.select("text_id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "text_id"))
-    same = texts["doc_id"].eqNullSafe(hits["_id"]) & texts["text_key"].eqNullSafe(hits["_key"])
-    windows = windows_at(texts.join(hits, same).select("text_id", "text", "places"), min_words, anchor_words)
-    repeated = in_several_texts(keep(windows), ["anchor", "window"])
-    starts = repeated.groupBy("text_id").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    spans = starts.select("text_id", join_windows(F.col("starts"), min_words).alias("spans"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    hits = suffixes.join(in_several_texts(suffixes, ["anchor"]).select("anchor").hint("merge"), "anchor")
+    hits = hits.groupBy("text_id").agg(F.collect_list("place").alias("places"))
+    hits = keep(hits.join(known.select("text_id", "_id", F.col("mark").alias("_mark")), "text_id"))
+    same = texts["doc_id"].eqNullSafe(hits["_id"]) & (texts["mark"] == hits["_mark"])
+    stretches = stretches_at(texts.join(hits, same).select("text_id", "text", "places"), min_words, anchor_words)
+    runs = repeated_stretches(keep(stretches)).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    spans = runs.select("text_id", join_runs(F.col("runs"), min_words).alias("spans"))
     found = known.select("text_id", "mark", "n_words", "copies").join(spans, "text_id", "left")
-    nothing = F.array().cast("array<struct<start:int,end:int>>")
-    found = found.select(
-        "mark",
-        "copies",
-        F.when((F.col("copies") > 1) & (F.col("n_words") >= min_words), whole.cast("array<struct<start:int,end:int>>"))
-        .otherwise(F.coalesce("spans", nothing))
-        .alias("spans"),
-    )
-    return rows.select("doc_id", "n_words", "mark").join(found, "mark").select("doc_id", "n_words", "copies", "spans")
+    kind = "array<struct<start:int,end:int>>"
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).cast(kind)
+    repeats = F.when((F.col("copies") > 1) & (F.col("n_words") >= min_words), whole)
+    spans = repeats.otherwise(F.coalesce("spans", F.array().cast(kind))).alias("spans")
+    found = keep(found.select("mark", "n_words", "copies", spans))
+    return texts.select("doc_id", "mark").join(found, "mark").select("doc_id", "n_words", "copies", "spans")
