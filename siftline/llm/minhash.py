@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components
-from siftline.llm.shingles import OnePermutation, WordHashes, digest, shingles
+from siftline.llm.shingles import OnePermutation, WordHashes, digest, shingles, texts_of, values_of
 from siftline.plans.materialize import keep
 
 LEAVE, JOIN = 0.65, 0.33  # see above
@@ -57,7 +57,7 @@ def sketches(docs: DataFrame, size: int, bins: int, rows: int, id_col: str, text
         memo, cut = WordHashes(), OnePermutation(bins, rows)
         for batch in batches:
             ids, counts, marks, bands = [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in texts_of(batch.column("text")):
                 found = shingles(text, size, memo)
                 counts.append(len(found))
                 values = cut.values(found) if len(found) else None
@@ -186,7 +186,7 @@ def exact_links(docs: DataFrame, members: DataFrame, size: int, percent: int, id
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            found = [shingles(t, size, memo).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [shingles(t, size, memo).tobytes() for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(found, pa.binary())], names=["set_id", "shingles"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def exact_links(docs: DataFrame, members: DataFrame, size: int, percent: int, id
 
         pair, held = None, []
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("pair", "set_id", "side", "shingles")), strict=True)
+            rows = zip(*(values_of(batch.column(c)) for c in ("pair", "set_id", "side", "shingles")), strict=True)
             for key, *row in rows:
                 if key != pair and len(held) > 1:
                     yield flush()
@@ -250,7 +250,8 @@ def near_duplicates(
     lowest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = groups.join(lowest, "root").select(F.col("node").alias("set_id"), "component_id")
     ids = named.select("set_id", F.col("doc_id").alias("own")).join(linked, "set_id", "left")
-    ids = ids.select("set_id", F.coalesce("component_id", "own").alias("component_id"))
+    # kept, so that the join with the rows has a plain shuffle on either side and a hot class can be split
+    ids = keep(ids.select("set_id", F.coalesce("component_id", "own").alias("component_id")))
     out = rows_.select("doc_id", "text_key", "n_shingles", "set_id").join(ids, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.withColumn("component_id", component)

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.shingles import texts_of
+
 MARK = "▁"
 MEMO = 400_000  # chunks kept per task; changes speed, not results
 MEMO_BYTES = 60  # longer chunks are not kept
@@ -212,7 +214,7 @@ def encode(text: Column, model: PieceModel) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
         for texts in batches:
-            found = [None if t is None else encoder.encode(t) for t in texts.cast(pa.binary()).to_pylist()]
+            found = [None if t is None else encoder.encode(t) for t in texts_of(texts)]
             ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)], dtype=np.int32)
             ids = np.frombuffer(b"".join(x or b"" for x in found), np.int32)
             yield pa.ListArray.from_arrays(ends, pa.array(ids), mask=pa.array([x is None for x in found]))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.ngrams import grams, lowered
-from siftline.llm.shingles import WordHashes
+from siftline.llm.shingles import WordHashes, values_of
 
 INTERCEPT = -1
 
@@ -76,7 +76,7 @@ def fit(rows: DataFrame, bits: int, epochs: int, alpha: float, beta: float, l1:
         memo, examples = WordHashes(), []
         for batch in batches:
             marks, labels = batch.column("mark").to_pylist(), batch.column("label").to_pylist()
-            texts = lowered(batch.column("text")).to_pylist()
+            texts = values_of(batch.column("text"), lowered)
             examples += [(m, grams(t, bits, memo).astype(np.int32), y) for m, t, y in zip(marks, texts, labels, strict=True)]
         examples.sort(key=lambda x: x[0])  # so the fit does not depend on how rows arrive
         model, toxic = Ftrl(bits, alpha, beta, l1, l2), sum(y for _, _, y in examples)
@@ -131,7 +131,7 @@ def toxicity_scores(
         table[at[at != INTERCEPT]] = w[at != INTERCEPT]
         base = float(w[at == INTERCEPT].sum())
         for texts in batches:
-            yield pa.array([sigmoid(base + table[grams(t, bits, memo)].sum()) for t in lowered(texts).to_pylist()], pa.float64())
+            yield pa.array([sigmoid(base + table[grams(t, bits, memo)].sum()) for t in values_of(texts, lowered)], pa.float64())
 
     scored = docs.withColumn("score", score.asNondeterministic()(F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
