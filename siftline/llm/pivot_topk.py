@@ -43,34 +43,33 @@ def choose_pivots(sample: list[list[float]], pivots: int) -> np.ndarray:
 
 def search_block(queries: Block, found: Block, k: int) -> tuple:
     """The k best candidates of one block for each query of another."""
-    norms, tables = found.extra[:, 0], found.extra[:, 1:]
+    norms, tables = found.extra[:, 0], np.ascontiguousarray(found.extra[:, 1:].T)
     exact = found.vectors
     if queries.extra[:, 0].max() * norms.max() >= 2.0**105:  # sums may pass 2^53
         exact = np.array([[int(x) for x in row] for row in found.vectors], dtype=object)
     out: list[list] = [[], [], [], [], []]
     for q in range(len(queries.row_ids)):
         norm = queries.extra[q, 0]
-        apart = np.abs(tables - queries.extra[q, 1:]).max(axis=1) if tables.shape[1] else np.zeros(len(norms))
-        slack = 1e-9 * (norm + norms) + 1
-        bound = (norm + norms - apart**2) / 2 + slack
-        bound[found.row_ids == queries.row_ids[q]] = -np.inf
+        apart = np.abs(tables - queries.extra[q, 1:, None]).max(axis=0) if len(tables) else np.zeros(len(norms))
+        bound = (norm + norms - apart**2) / 2 + 1e-9 * (norm + norms) + 1
         order = np.argsort(-bound, kind="stable")
-        order = order[: len(order) - int(np.isneginf(bound).sum())]
+        order = order[found.row_ids[order] != queries.row_ids[q]]
         vector = queries.vectors[q] if exact is found.vectors else np.array([int(x) for x in queries.vectors[q]], dtype=object)
-        scores: list = []
-        done, step = 0, 8 * k
-        while done < len(order):
-            if len(scores) >= k and bound[order[done]] < sorted(scores, reverse=True)[k - 1]:
-                break
+        at, scores = order[:0], np.zeros(0, np.int64)  # the best so far, with all that tie with the k-th
+        done, step, least = 0, 8 * k, None
+        while done < len(order) and (least is None or bound[order[done]] >= least):
             part = order[done : done + step]
-            scores.extend(int(x) for x in exact[part] @ vector)
+            at, scores = np.append(at, part), np.append(scores, (exact[part] @ vector).astype(np.int64))
+            if len(scores) >= k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                at, scores = at[scores >= least], scores[scores >= least]
             done, step = done + len(part), step * 2
-        best = sorted(zip((-s for s in scores), found.vec_ids[order[:done]].tolist(), found.row_ids[order[:done]].tolist(), strict=True))[:k]
+        best = np.lexsort((found.row_ids[at], found.vec_ids[at], -scores))[:k]
         out[0] += [int(queries.row_ids[q])] * len(best)
         out[1] += [int(queries.vec_ids[q])] * len(best)
-        out[2] += [x[1] for x in best]
-        out[3] += [x[2] for x in best]
-        out[4] += [-x[0] for x in best]
+        out[2] += found.vec_ids[at[best]].tolist()
+        out[3] += found.row_ids[at[best]].tolist()
+        out[4] += scores[best].tolist()
     return tuple(out)
 
 
