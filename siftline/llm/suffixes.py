@@ -149,10 +149,15 @@ def repeated_stretches(stretches: DataFrame) -> DataFrame:
     of one of each of the stretches that repeat.
     """
     key = ["anchor", "stretch"]
-    whole = in_several_texts(stretches, key)
-    full = stretches.join(whole.select(*key).hint("merge"), key)
+    # summed up before the shuffle; the rows of a hot stretch are only joined to it, which Spark can split
+    whole = stretches.groupBy(*key).agg(
+        F.min("text_id").alias("low"), F.max("text_id").alias("high"), F.first("windows").alias("windows")
+    )
+    whole = keep(whole.where("low != high"))
+    thin = stretches.select("text_id", *key, F.col("start").alias("first"), (F.col("start") + F.size("windows") - 1).alias("last"))
+    full = thin.join(whole.select(*key).hint("merge"), key)
     parts = stretches.join(whole.select(*key).hint("merge"), key, "left_anti")
-    known = full.groupBy(*key).agg(F.first("windows").alias("windows"), F.min("text_id").alias("low"), F.max("text_id").alias("high"))
+    known = whole.select("anchor", "windows", "low", "high")
     known = known.join(parts.select("anchor").distinct().hint("merge"), "anchor", "left_semi")
     known = known.select("anchor", F.explode("windows").alias("window"), "low", "high")
     windows = parts.select("text_id", "anchor", "start", F.posexplode("windows").alias("i", "window"))
@@ -160,8 +165,7 @@ def repeated_stretches(stretches: DataFrame) -> DataFrame:
     ends = known.unionByName(windows.select("anchor", "window", F.col("text_id").alias("low"), F.col("text_id").alias("high")))
     ends = keep(ends.groupBy("anchor", "window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high"))
     single = windows.join(ends.select("anchor", "window").hint("merge"), ["anchor", "window"])
-    last = (F.col("start") + F.size("windows") - 1).alias("last")
-    return full.select("text_id", F.col("start").alias("first"), last).unionByName(
+    return full.select("text_id", "first", "last").unionByName(
         single.select("text_id", F.col("at").alias("first"), F.col("at").alias("last"))
     )
 
