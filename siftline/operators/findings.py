@@ -117,14 +117,15 @@ def gate(findings: DataFrame, fail_on: str | None = None, include_discovered: bo
     return findings.agg(F.coalesce(F.bool_or(reached), F.lit(False)).alias("failed"))
 
 
-def scan_stats(corpus: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: files read and findings."""
+def scan_stats(corpus: DataFrame, findings: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """One row: files read and findings, and files that could not be read where they are known."""
     files = corpus.select(F.lit(1).alias("file"), F.lit(0).alias("issue"))
     issues = findings.select(F.lit(0).alias("file"), F.lit(1).alias("issue"))
-    return files.unionByName(issues).agg(
+    counts = files.unionByName(issues).agg(
         F.coalesce(F.sum("file"), F.lit(0)).alias("files_scanned"),
         F.coalesce(F.sum("issue"), F.lit(0)).alias("issues_found"),
     )
+    return counts if unread is None else counts.crossJoin(unread.agg(F.count(F.lit(1)).alias("files_unread")))
 
 
 def report_counts(findings: DataFrame, reviews: DataFrame) -> DataFrame:

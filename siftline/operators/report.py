@@ -128,6 +128,11 @@ def markdown_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.select(*_review_place(), text.alias("markdown"))
 
 
+def _unread_rows(unread: DataFrame, text: Column) -> DataFrame:
+    zero = F.lit(0)
+    return unread.select(zero.alias("phase"), "path", *[zero.alias(c) for c in ("engine", "k1", "k2")], text.alias("text"))
+
+
 def _fixed(rows: DataFrame, section: int, text: Column) -> DataFrame:
     """Text around the sections, one line per row of ``rows``."""
     nowhere = [F.lit(None).cast(kind).alias(name) for name, kind in _PLACE.items()]
@@ -157,13 +162,29 @@ def _now() -> Column:
     return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def json_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | None = None, review_stats: DataFrame | None = None) -> DataFrame:
-    """The JSON report; ``stats`` and ``review_stats`` hold one row."""
+def json_lines(
+    findings: DataFrame,
+    stats: DataFrame,
+    reviews: DataFrame | None = None,
+    review_stats: DataFrame | None = None,
+    unread: DataFrame | None = None,
+) -> DataFrame:
+    """The JSON report; ``stats`` and ``review_stats`` hold one row, ``unread`` (path, reason) of files."""
     findings = keep(findings)  # several sections read it
-    counts = F.to_json(F.struct(F.col("files_scanned").alias("filesScanned"), F.col("issues_found").alias("issuesFound")))
-    head = F.concat(F.lit('{"date":"'), _now(), F.lit('","stats":'), counts, F.lit(',"vulnerabilities":['))
-    parts = [
-        _fixed(stats, 0, head),
+    names = {"files_scanned": "filesScanned", "issues_found": "issuesFound", "files_unread": "filesUnread"}
+    counts = F.to_json(F.struct(*[F.col(c).alias(name) for c, name in names.items() if c in stats.columns]))
+    head = F.concat(F.lit('{"date":"'), _now(), F.lit('","stats":'), counts)
+    parts = [_fixed(stats, -3, head)]
+    if unread is not None:
+        file = F.to_json(F.struct(F.col("path").alias("file"), "reason"))
+        parts += [
+            _fixed(_one(findings), -2, F.lit(',"unread":[')),
+            _listed(_unread_rows(unread, file), -1, "text", ","),
+            _fixed(_one(findings), 0, F.lit('],"vulnerabilities":[')),
+        ]
+    else:
+        parts.append(_fixed(_one(findings), 0, F.lit(',"vulnerabilities":[')))
+    parts += [
         _listed(json_findings(findings), 1, "json", ","),
     ]
     if reviews is None:
@@ -179,26 +200,45 @@ def json_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | None
     return _document([*parts, _fixed(review_stats, 4, tail)])
 
 
-def sarif_lines(findings: DataFrame, reviews: DataFrame | None = None, tool: str = "siftline") -> DataFrame:
-    """The SARIF 2.1.0 report: one run with the rules that were found and all results."""
+def sarif_lines(
+    findings: DataFrame, reviews: DataFrame | None = None, tool: str = "siftline", unread: DataFrame | None = None
+) -> DataFrame:
+    """The SARIF 2.1.0 report: one run with the rules that were found and all results.
+
+    Files that could not be read are notifications of the run's invocation.
+    """
     findings = keep(findings)  # several sections read it
     head = (
         f'{{"$schema":"{_SARIF_SCHEMA}","version":"2.1.0",'
         f'"runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":['
     )
+    parts = [
+        _fixed(_one(findings), 0, F.lit(head)),
+        _listed(sarif_rules(findings), 1, "json", ","),
+        _fixed(_one(findings), 2, F.lit(']}},"results":[')),
+        _listed(sarif_results(findings, reviews), 3, "json", ","),
+    ]
+    if unread is None:
+        return _document([*parts, _fixed(_one(findings), 4, F.lit("]}]}"))])
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
+    note = F.struct(
+        F.lit("error").alias("level"), F.struct(F.col("reason").alias("text")).alias("message"), F.array(place).alias("locations")
+    )
+    notes = '],"invocations":[{"executionSuccessful":true,"toolExecutionNotifications":['
     return _document(
         [
-            _fixed(_one(findings), 0, F.lit(head)),
-            _listed(sarif_rules(findings), 1, "json", ","),
-            _fixed(_one(findings), 2, F.lit(']}},"results":[')),
-            _listed(sarif_results(findings, reviews), 3, "json", ","),
-            _fixed(_one(findings), 4, F.lit("]}]}")),
+            *parts,
+            _fixed(_one(findings), 4, F.lit(notes)),
+            _listed(_unread_rows(unread, F.to_json(note)), 5, "text", ","),
+            _fixed(_one(findings), 6, F.lit("]}]}]}")),
         ]
     )
 
 
-def markdown_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
-    """The Markdown report: head, findings, then review records."""
+def markdown_lines(
+    findings: DataFrame, stats: DataFrame, reviews: DataFrame | None = None, unread: DataFrame | None = None
+) -> DataFrame:
+    """The Markdown report: head, findings, review records, then files that could not be read."""
     findings = keep(findings)  # several sections read it
     some = F.col("issues_found") > 0
     found = F.when(some, F.format_string("## %d problems found\n", "issues_found")).otherwise(F.lit("## No problems found\n"))
@@ -213,6 +253,13 @@ def markdown_lines(findings: DataFrame, stats: DataFrame, reviews: DataFrame | N
             _fixed(count, 4, F.lit("## Review records\n")),
             _listed(markdown_reviews(reviews), 5, "markdown"),
         ]
+    if unread is not None:
+        some = unread.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+        file = F.concat(F.lit("- `"), F.col("path"), F.lit("`: "), F.col("reason"))
+        parts += [
+            _fixed(some, 6, F.format_string("## %d files could not be read\n", "n")),
+            _listed(_unread_rows(unread, file), 7, "text"),
+        ]
     return _document(parts)
 
 

@@ -27,6 +27,7 @@ from siftline.operators.requests import (
 from siftline.operators.reviews import all_reviews, keep_live_reviews
 from siftline.plans.materialize import keep
 from siftline.schemas import RESPONSE
+from siftline.sources.corpus import Files
 from siftline.sources.local import table_of
 from siftline.sources.responses import append_responses, latest_responses
 
@@ -35,15 +36,17 @@ from siftline.sources.responses import append_responses, latest_responses
 class ScanResult:
     findings: DataFrame
     stats: DataFrame
-    """One row: files_scanned, issues_found."""
+    """One row: files_scanned, issues_found; with ``unread`` also files_unread."""
     failed: DataFrame
     """One row: does the scan fail the gate?"""
     reviews: DataFrame | None = None
     review_stats: DataFrame | None = None
+    unread: DataFrame | None = None
+    """(path, reason) of files that could not be read, where the scan was given :class:`Files`."""
 
 
 def scan(
-    corpus: DataFrame,
+    corpus: DataFrame | Files,
     rules: list[dict],
     config: ScanConfig | None = None,
     baseline: DataFrame | None = None,
@@ -52,7 +55,7 @@ def scan(
     store: str | None = None,
     scanners: list[Callable[[DataFrame], DataFrame]] | None = None,
 ) -> ScanResult:
-    """Scan a corpus.
+    """Scan a corpus, or the files of ``read_files``, whose unread ones are counted and returned.
 
     Further ``scanners`` take the corpus and return findings of their own.
 
@@ -61,6 +64,9 @@ def scan(
     the baseline leaves.  New replies are appended to ``store`` when it is given.
     """
     config = config or ScanConfig()
+    unread = None
+    if isinstance(corpus, Files):
+        corpus, unread = corpus.corpus, keep(corpus.unread)  # read by the counts and every report
     found = static_findings(corpus, config.choose(rules), config.marker)
     found = all_findings(found, *[scanner(corpus) for scanner in scanners or []])
     reviewed = responses is not None or ask is not None
@@ -80,7 +86,8 @@ def scan(
         found = diff_baseline(found, baseline)
     found = keep(found)  # read by the counts, the review, the clean-up of records and every report
     if not reviewed:
-        return ScanResult(found, scan_stats(corpus, found), gate(found, config.fail_on, config.include_discovered))
+        failed = gate(found, config.fail_on, config.include_discovered)
+        return ScanResult(found, scan_stats(corpus, found, unread), failed, unread=unread)
 
     requests = review_requests(found, corpus, config.radius, config.provider, config.model, config.redacted)
     answered = _answer(requests, responses, ask, config, store)
@@ -88,10 +95,11 @@ def scan(
     counts.append(review_stats(answered, "review"))
     return ScanResult(
         found,
-        scan_stats(corpus, found),
+        scan_stats(corpus, found, unread),
         gate(found, config.fail_on, config.include_discovered),
         keep_live_reviews(all_reviews(*records), found),
         sum_stats(*counts),
+        unread,
     )
 
 

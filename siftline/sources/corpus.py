@@ -8,7 +8,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
@@ -16,6 +16,7 @@ from siftline.functions.globs import glob_regex, name_glob
 from siftline.sources.files import Place, all_files, locate
 from siftline.sources.local import table_of
 
+MAX_BYTES = 2**31 - 1 - 1024
 SCHEME_AND_HOST = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 
@@ -38,8 +39,18 @@ def read_corpus(
     include: list[str] | None = C.DEFAULT_INCLUDE,
     exclude: list[str] | None = C.DEFAULT_EXCLUDE,
 ) -> DataFrame:
-    """Text files below a directory, or one file: the corpus of :func:`read_files`."""
-    return read_files(spark, root, include, exclude).corpus
+    """Text files below a directory, or one file, all of them.
+
+    The same rows as the corpus of :func:`read_files`, but a file that cannot be read
+    fails the query, as there is no table to name it in.  That holds for files Spark
+    lists whose path the globs leave out, too; ``read_files`` gets past them.
+    """
+    place, reader = _reader(spark, root, include)
+    seen = files_as_corpus(reader.load(root), place)
+    other = passed_over(spark, root, place, MAX_BYTES)
+    if place.is_dir and include is not None:
+        seen, other = path_filter(seen, include, exclude), path_filter(other, include, exclude)
+    return seen.unionByName(read_or_fail(other))
 
 
 def read_files(
@@ -47,7 +58,7 @@ def read_files(
     root: str,
     include: list[str] | None = C.DEFAULT_INCLUDE,
     exclude: list[str] | None = C.DEFAULT_EXCLUDE,
-    max_bytes: int = 2**31 - 1 - 1024,
+    max_bytes: int = MAX_BYTES,
 ) -> Files:
     """Text files below a directory, or one file, and those that cannot be read.
 
@@ -59,18 +70,8 @@ def read_files(
     systems; where Arrow does not know the store they are among ``unread``, as are
     files of more than ``max_bytes``.  Asking for ``unread`` reads the files again.
     """
-    place = locate(spark, root)
-    if place is None:
-        raise FileNotFoundError(root)
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
-    )
-    if place.is_dir and include and (names := name_glob(include)):
-        reader = reader.option("pathGlobFilter", names)  # lists fewer files
-    listed = reader.load(root)
+    place, reader = _reader(spark, root, include)
+    listed = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
     seen = files_as_corpus(listed.where(F.col("length") <= max_bytes), place)
     other = _read_passed_over(passed_over(spark, root, place, max_bytes))
     long = listed.where(F.col("length") > max_bytes).select("path", F.lit("too long").alias("reason"))
@@ -85,6 +86,16 @@ def read_files(
     return Files(corpus, unread)
 
 
+def _reader(spark: SparkSession, root: str, include: list[str] | None) -> tuple[Place, DataFrameReader]:
+    place = locate(spark, root)
+    if place is None:
+        raise FileNotFoundError(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if place.is_dir and include and (names := name_glob(include)):
+        reader = reader.option("pathGlobFilter", names)  # lists fewer files
+    return place, reader
+
+
 def passed_over(spark: SparkSession, root: str, place: Place, max_bytes: int) -> DataFrame:
     """(uri, path, length) of the files Spark's reader does not list."""
     rows = []
@@ -118,6 +129,13 @@ def _read_passed_over(files: DataFrame) -> DataFrame:
     return files.repartition("path").mapInArrow(run, "path string, content string, reason string")
 
 
+def read_or_fail(files: DataFrame) -> DataFrame:
+    """Rows of :func:`passed_over` as (path, content); one that cannot be read fails the query."""
+    failed = F.raise_error(F.concat(F.lit("cannot read "), F.col("path"), F.lit(": "), F.col("reason")))
+    content = F.when(F.col("reason").isNull(), F.col("content")).otherwise(failed.cast("string"))
+    return _read_passed_over(files).select("path", content.alias("content"))
+
+
 def _below(place: Place) -> Column:
     full = F.regexp_replace("path", SCHEME_AND_HOST, "")
     return F.substring(full, len(place.path) + 2, 2**31 - 1) if place.is_dir else full

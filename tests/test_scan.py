@@ -12,7 +12,7 @@ from siftline.operators.match import scan_regex
 from siftline.operators.report import json_lines, markdown_lines, sarif_lines, write_report
 from siftline.plans.scan import scan
 from siftline.sources.baseline import signatures
-from siftline.sources.corpus import read_corpus
+from siftline.sources.corpus import read_corpus, read_files
 from siftline.sources.responses import read_responses
 
 RULES = C.BUILTIN_RULES
@@ -167,3 +167,31 @@ def test_each_request_is_asked_once(corpus, tmp_path):
     assert result.findings.count() == 0
     assert result.review_stats.collect()[0].calls == 6
     assert Path(log).stat().st_size == 6
+
+
+def test_files_that_cannot_be_read_are_counted_and_reported(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.js", "eval(1)"), ("long.js", "x" * 60), ("_long.js", "y" * 60)):
+        (tmp_path / "in" / name).write_text(text)
+    result = scan(read_files(spark, str(tmp_path / "in"), max_bytes=50), RULES)
+    assert result.stats.collect()[0].asDict() == {"files_scanned": 1, "issues_found": 2, "files_unread": 2}
+    assert sorted(map(tuple, result.unread.collect())) == [("_long.js", "too long"), ("long.js", "too long")]
+    write_report(json_lines(result.findings, result.stats, unread=result.unread), str(tmp_path / "json"))
+    write_report(sarif_lines(result.findings, unread=result.unread), str(tmp_path / "sarif"))
+    write_report(markdown_lines(result.findings, result.stats, unread=result.unread), str(tmp_path / "md"))
+    report = json.loads(text_of(tmp_path / "json"))
+    assert report["stats"] == {"filesScanned": 1, "issuesFound": 2, "filesUnread": 2}
+    assert report["unread"] == [{"file": "_long.js", "reason": "too long"}, {"file": "long.js", "reason": "too long"}]
+    run = json.loads(text_of(tmp_path / "sarif"))["runs"][0]
+    notes = run["invocations"][0]["toolExecutionNotifications"]
+    assert [n["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for n in notes] == ["_long.js", "long.js"]
+    assert len(run["results"]) == 2
+    assert "## 2 files could not be read\n\n- `_long.js`: too long" in text_of(tmp_path / "md")
+
+
+def test_a_corpus_without_a_table_of_unread_files_fails_on_one(spark, tmp_path):
+    (tmp_path / "_a.py").write_text("x")
+    files = read_corpus(spark, str(tmp_path))
+    (tmp_path / "_a.py").unlink()
+    with pytest.raises(Exception, match="cannot read _a.py"):
+        files.collect()
