@@ -6,9 +6,14 @@ before it that speak against, and what it touches.  Votes are counted over the
 whole corpus by combination, a table of bounded size; expectation-maximisation
 over these counts estimates how reliable each labeler is, and a logistic
 regression on votes and shape is trained on the outcome.  Its weights become
-constants of the query.  Spans of the base patterns are always reported, spans
-of the other kinds when the classifier gives them one half or more and no base
-span overlaps them.  Column functions only; the driver sees the counts.
+constants of the query.  Spans of the base patterns are always reported, other
+candidates of every kind when they have the strict format of their kind, the
+classifier gives them one half or more and no base span overlaps them.  The format
+is wider than the base pattern for cards (Luhn from 12 digits on) and phones (7
+digits).  Candidates without it (an octet over 255, digits that fail Luhn) are the
+counterexamples that the fit needs and are never reported.  Added spans may overlap
+each other, as base spans may; they are masked as one.  Column functions only; the
+driver sees the counts.
 
 Cases: null texts count as empty (and stay null when masked); rows that repeat
 are rows of their own; without any candidate there is nothing to train and
@@ -77,14 +82,15 @@ def _candidate(text: Column, s: Column) -> Column:
         {
             "email": value.rlike(r"\.[A-Za-z]{2,}$"),
             "ip": value.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
-            "card": n.between(16, 19) & luhn(value),
-            "phone": n.between(8, 15),
+            "card": n.between(12, 19) & luhn(value),
+            "phone": n.between(7, 15),
             "national": ~value.rlike("^(?:000|666|9)|-00-|-0000$"),
             "local": ~value.rlike(r"^\(?[01]"),
         },
         F.length(value) >= 15,
     )
-    base = _by_kind(kind, {"email": F.lit(True), "ip": strict, "card": strict, "phone": strict}, F.lit(False))
+    long = {"card": strict & (n >= 16), "phone": strict & (n >= 8)}
+    base = _by_kind(kind, {"email": F.lit(True), "ip": strict, **long}, F.lit(False))
     known = _by_kind(
         kind,
         {
@@ -204,7 +210,7 @@ def chosen(spans: Column, model: SpanModel) -> tuple[Column, Column]:
     base = F.filter(spans, lambda s: s["base"])
     added = F.filter(
         spans,
-        lambda s: ~s["kind"].isin(BASE)
+        lambda s: ~s["base"]
         & (s["format"] == 1)
         & (model.probability(s) >= 0.5)
         & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),

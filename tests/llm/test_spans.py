@@ -95,6 +95,20 @@ def test_masking(docs, spark):
     assert pii_columns(find_pii(masked)).selectExpr("sum(n_email)").first()[0] == 0
 
 
+def test_short_cards_and_phones(spark):
+    card, phone = "378282246310005", "+683 4000"  # 15 digits that pass Luhn, 7 digits
+    rows = [(i, f"mail a{i}@b.com, card: 4111 1111 1111 1111") for i in range(30)]
+    rows += [(100 + i, f"card: {card} end") for i in range(10)] + [(200 + i, f"call {phone}.") for i in range(10)]
+    rows += [(300 + i, f"build 12345678901{i} of host 999.1.1.{i}, version {card[:-1]}9") for i in range(10)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_columns(find_pii(some)).collect()}
+    assert got[100].spans == "card:6:21" and got[100].n_card == 0  # base spans stay as they are
+    assert got[200].spans == "phone:5:14" and got[200].n_phone == 0
+    masked = {r.doc_id: r.text for r in redact_pii(some).collect()}
+    assert masked[100] == "card: <CARD> end" and masked[200] == "call <PHONE>."
+    assert all("999.1.1." in masked[300 + i] and f"{card[:-1]}9" in masked[300 + i] for i in range(10))
+
+
 def test_secrets(docs):
     known = dict(enumerate(texts()))
     order = ["assign", "access", "hex"]
