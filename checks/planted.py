@@ -274,7 +274,7 @@ CUSTOM_RULES, CUSTOM_RULES_RE2 = _custom(0), _custom(1)
 BASELINE_TEXT = (
     """CASE doc_id % 5 WHEN 0 THEN '["S' || doc_id || '","T"]' WHEN 1 THEN '{"items":["S' || doc_id || '"]}'"""
     """ WHEN 2 THEN '{' || chr(10) || '  "items": [' || chr(10) || '    "S' || doc_id || '"' || chr(10) || '  ]' || chr(10) || '}'"""
-    """ WHEN 3 THEN '{"items":' ELSE substr(text, 1, 50) END"""
+    """ WHEN 3 THEN '{"items":' ELSE text END"""
 )
 RULE_FILE_TEXT = (
     """CASE WHEN doc_id % 3 = 0 THEN '[{"id":"R' || doc_id || '","severity":"low","type":"regex","pattern":"x"},null,{"id":"Q"}]'"""

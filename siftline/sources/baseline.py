@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,22 +38,24 @@ def read_baseline(spark: SparkSession, location: str) -> DataFrame:
 
     Reads Parquet directories, and JSON as an array of signatures or as
     ``{"items": [..]}``: one document per file, indented or not, or one per line.
-    A missing or broken baseline is empty.
+    A missing baseline is empty, and so is a file without any document.  Where some
+    lines of a file are documents, each line stands for itself and those that do not
+    parse (a write that was cut off) are left out.
     """
     place = locate(spark, location, names=True)
     if place is None:
         return table_of(spark, [], BASELINE)
     if any(name.endswith(".parquet") for name in [place.path, *place.names]):
         return spark.read.parquet(location).select("signature")
-    lines = spark.read.text(location).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(location).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
     parsed = parse_baseline(lines)
-    broken = parsed.where(F.col("items").isNull() & (F.trim("value") != "")).select("file").distinct()
-    spread = [r.file for r in broken.collect()]  # files whose lines are not documents: indented ones
-    found = parsed.where(~F.col("file").isin(spread)) if spread else parsed
-    found = found.select("items")
-    if spread:
-        whole = spark.read.text([unquote(f) for f in spread], wholetext=True)
-        found = found.unionByName(parse_baseline(whole).select("items"))
+    # files without a line that is a document are one document: indented ones
+    by_line = parsed.where(F.col("items").isNotNull()).select("file").distinct()
+    in_order = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    whole = lines.join(by_line, "file", "left_anti").groupBy("file").agg(F.array_join(in_order["value"], "\n").alias("value"))
+    found = parsed.select("items").unionByName(parse_baseline(whole).select("items"))
     return found.select(F.explode("items").alias("signature"))
 
 

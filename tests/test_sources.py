@@ -176,6 +176,15 @@ def test_baseline_json(spark, tmp_path, text, expected):
     assert [r.signature for r in read_baseline(spark, str(place)).collect()] == expected
 
 
+def test_baseline_with_lines_cut_off(spark, tmp_path):
+    (tmp_path / "mixed.json").write_text('{"items":["a","b"]}\n["c"]\n\n{"items":["d","e\n{"items":["f"]}\n{"ite')
+    (tmp_path / "indented.json").write_text('{\r\n  "items": [\r\n    "g",\r\n    "h"\r\n  ]\r\n}')
+    (tmp_path / "broken.json").write_text('{"items":\n')
+    (tmp_path / "name with space.json").write_text('[\n"i"\n]\n')
+    found = read_baseline(spark, str(tmp_path)).collect()
+    assert sorted(r.signature for r in found) == ["a", "b", "c", "f", "g", "h", "i"]
+
+
 def test_missing_baseline_is_empty(spark, tmp_path):
     assert read_baseline(spark, str(tmp_path / "none")).count() == 0
 
