@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftline import catalogue as C
 from siftline.operators.findings import diff_baseline, static_findings
-from siftline.sources.archives import read_archives
+from siftline.sources.archives import read_archive_files, read_archives
 from siftline.sources.baseline import export_baseline_json, read_baseline, write_baseline
 from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter, read_corpus, read_files
 from siftline.sources.responses import append_responses, read_responses
@@ -231,6 +231,33 @@ def test_baseline_layouts(spark, tmp_path, folder, text):
     assert sorted(r.signature for r in read_baseline(spark, str(place)).collect()) == ["a", "b", *["c"] * folder]
 
 
+def test_archives_name_what_cannot_be_read(spark, tmp_path):
+    kinds = {"stored": zipfile.ZIP_STORED, "deflated": zipfile.ZIP_DEFLATED, "bz2": zipfile.ZIP_BZIP2, "lzma": zipfile.ZIP_LZMA}
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        for name, kind in kinds.items():
+            z.writestr(f"{name}.py", f"{name} " * 100, compress_type=kind)
+        z.writestr("empty.py", "")
+        z.writestr("bad.py", "DAMAGED")
+        z.writestr("locked.py", "LOCKED")
+        z.writestr("left_out.xyz", "DAMAGED")
+    blob = bytearray((tmp_path / "good.zip").read_bytes().replace(b"DAMAGED", b"damaged"))
+    at = blob.rindex(b"locked.py") - 46  # its row in the central directory
+    blob[at + 8] |= 1
+    (tmp_path / "good.zip").write_bytes(blob)
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    (tmp_path / "none.zip").write_bytes(b"")
+    (tmp_path / "_over.zip").write_bytes(blob)
+    files = read_archive_files(spark, str(tmp_path))
+    assert {r.path: r.content for r in files.corpus.collect()} == {"good.zip!empty.py": "", **{f"good.zip!{k}.py": f"{k} " * 100 for k in kinds}}
+    assert {r.path: r.reason for r in files.unread.collect()} == {
+        "good.zip!bad.py": "damaged",
+        "good.zip!locked.py": "encrypted",
+        "broken.zip": "File is not a zip file",
+        "none.zip": "empty",
+        "_over.zip": "a name that Spark's reader passes over",
+    }
+
+
 def test_archives_of_one_name_stay_apart(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / name).mkdir()
