@@ -21,7 +21,9 @@ both are in the same cluster.  If both are far from the hub they meet again unde
 the longer key with probability 0.85^4.  A linked pair shares no bucket at all with
 probability (1 - 0.85^4)^32, about 5e-11; if a third of its buckets had a hub far
 from both it would be lost with probability (1 - 0.85^4 * 2/3 - 0.85^8 / 3)^32,
-about 1e-8.
+about 1e-8.  At 0.80 these are 5e-8 and 3e-6, and ``JOIN`` has 3.4 deviations.
+Below that the bands and both constants lose links, at 0.60 one in 80 by the first
+formula alone, so a threshold under ``LEAST_PERCENT`` is refused.
 
 Cases: null, empty and blank texts have the empty set and are linked to nothing.
 Rows that repeat are rows of the same class.  A null id counts for no minimum; a
@@ -44,6 +46,7 @@ from siftline.llm.shingles import OnePermutation, WordHashes, digest, shingles,
 from siftline.plans.materialize import keep
 
 LEAVE, JOIN = 0.65, 0.33  # see above
+LEAST_PERCENT = 80  # that bands of 4 rows, LEAVE and JOIN hold for
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
 COLUMNS = 8192  # of a membership matrix at once
 
@@ -230,8 +233,11 @@ def near_duplicates(
 
     Texts are linked when 100 * shared >= percent * all of their distinct
     ``shingle_words``-word shingles; ``component_id`` is the smallest id that
-    links reach.  ``text_key`` is xxhash64 of the text.
+    links reach.  ``text_key`` is xxhash64 of the text.  ``percent`` is
+    ``LEAST_PERCENT`` at least, see above.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}; links are found for {LEAST_PERCENT} to 100 only")
     rows_ = keep(sketches(docs, shingle_words, bins, rows, id_col, text_col))
     sets = rows_.where(F.col("set_id").isNotNull()).groupBy("set_id")
     classes = keep(

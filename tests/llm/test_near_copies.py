@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from siftline.llm.components import components
 from siftline.llm.minhash import links_of, near_duplicates
@@ -81,6 +82,13 @@ def test_blocks_of_large_clusters(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(brute(rows, 3, 85), key=str)
 
 
+def test_thresholds_that_would_lose_links_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for percent in (79, 50, 0, 101):
+        with pytest.raises(ValueError, match="80 to 100"):
+            near_duplicates(docs, percent=percent)
+
+
 def test_empty_and_lone(spark):
     schema = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
