@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.credentials import find_secrets, secret_columns
+from siftline.llm.filter_audit import filter_audit
 from siftline.llm.minhash import near_duplicates
 from siftline.llm.mixing import mix_sources
 from siftline.llm.pieces import decode, encode, load
@@ -86,6 +87,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op11_filter_audit": op11_filter_audit}
 QUERIES |= {"op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op7_suffixes": op7_suffixes, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
@@ -264,3 +270,47 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
     CAST(NULL AS INTEGER) AS grown_shard
 FROM placed
 """
+
+_LETTERS = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+
+ORACLES["op11_filter_audit"] = f"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+    SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d
+), said AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+    SELECT part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+        regexp_matches(text, '[#$%&*|]') AS d, coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM w LEFT JOIN said USING (doc_id)
+), cells AS (
+    SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+        || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+        count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM f GROUP BY ALL
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM {_LETTERS} a(x), {_LETTERS} b(x), {_LETTERS} c(x), {_LETTERS} d(x), {_LETTERS} e(x)
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, unnest(range(1, 6)) AS step FROM orders
+), tried AS (
+    SELECT part, filter_order, step, filter_order[step] AS filter, contains(fails, filter_order[step]) AS failing,
+        len(list_filter(range(1, step), lambda i: contains(fails, filter_order[i]))) > 0 AS gone, length(fails) AS n_fails,
+        n, good, toxic
+    FROM cells, steps
+), sums AS (
+    SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed, coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant,
+        coalesce(sum(n) FILTER (failing AND n_fails = 1), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost
+    FROM tried GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM sums
+"""
