@@ -21,6 +21,7 @@ from siftline.llm.pivot_topk import top_by_inner_product
 from siftline.llm.sharding import stratified_shards
 from siftline.llm.suffixes import repeated_passages
 from siftline.llm.tile_search import nearest_by_tiles
+from siftline.llm.token_files import read_documents, write_token_files
 from siftline.llm.toxicity import held_out, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +92,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {"op11_filter_audit": op11_filter_audit}
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str = WORD_TOKENIZER) -> DataFrame:
+    """Where each document's ids lie, and their checksums, as read back from the files."""
+    return read_documents(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path))
+
+
+QUERIES |= {"op11_filter_audit": op11_filter_audit, "op13_token_files": op13_token_files}
 QUERIES |= {"op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op7_suffixes": op7_suffixes, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
