@@ -15,6 +15,7 @@ from siftline.llm.credentials import find_secrets, secret_columns
 from siftline.llm.filter_audit import filter_audit
 from siftline.llm.minhash import near_duplicates
 from siftline.llm.mixing import mix_sources
+from siftline.llm.periodic import periodic_runs, run_columns, with_planted_loops
 from siftline.llm.pieces import decode, encode, load
 from siftline.llm.pii import find_pii, pii_columns
 from siftline.llm.pivot_topk import top_by_inner_product
@@ -92,6 +93,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, a tenth of the texts with planted loops."""
+    return run_columns(periodic_runs(with_planted_loops(table(spark, sf_dir, "documents"))))
+
+
 WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
@@ -100,7 +106,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str = WOR
     return read_documents(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path))
 
 
-QUERIES |= {"op11_filter_audit": op11_filter_audit, "op13_token_files": op13_token_files}
+QUERIES |= {"op11_filter_audit": op11_filter_audit, "op12_periodic_runs": op12_periodic_runs, "op13_token_files": op13_token_files}
 QUERIES |= {"op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op10_pii": op10_pii, "op9_secrets": op9_secrets, "op1_pivot_topk": op1_pivot_topk, "op6_toxicity": op6_toxicity, "op7_suffixes": op7_suffixes, "op8_minhash": op8_minhash, "op5_tile_search": op5_tile_search}
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
