@@ -46,7 +46,7 @@ from siftline.plans.materialize import store
 
 MEMO = 600_000  # words, and pieces of words, kept per task; changes speed, not results
 MEMO_CHARS = 60  # longer words are not kept
-SLICE = 16 << 20  # bytes of text whose different words are looked up together
+SLICE = 32 << 20  # bytes of text whose different words are looked up together
 WORDS = 1 << 17  # words whose ids are laid out at once
 BLANKS = " \t\n\x0b\x0c\r"
 LARGEST_TOKENIZER = 64 << 20  # bytes of a tokenizer file; it is sent to all tasks
@@ -136,10 +136,12 @@ class TextIds:
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word."""
         found = [*map(self.words.get, words)]
-        others, piece = [], self._piece
+        others, piece, pieces = [], self._piece, self.pieces
         for i in [i for i, x in enumerate(found) if x is None]:
             lowered = words[i].lower()
-            if "<|" in lowered:
+            if lowered.isascii() and lowered.isalpha():
+                found[i] = pieces.get(lowered) or piece(lowered)
+            elif "<|" in lowered:
                 others.append(i)
             elif shape := SHAPE.fullmatch(lowered):
                 found[i] = b"".join([piece(x) for x in shape.groups() if x])
