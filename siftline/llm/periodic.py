@@ -5,32 +5,34 @@ A run is a stretch of words with smallest period q, of ``least_words`` words and
 called a match at i, a run of n words is a stretch of n - q matches.
 
 1. Periods are handled by octaves, those from L to 2L - 1 (L a power of two) together.
-   Boundaries lie 2L words apart.  A run of four periods has 3L matches or more in a
-   row, so at some boundary b the L words from b on are found again q words later.
-   Equal window hashes say where that may be; texts without any such place are done.
+   Boundaries lie 2L words apart.  A run of four periods has M = 3q matches or more in
+   a row, so at some boundary b the M - 2L + 1 words from b on are found again q words
+   later.  Equal window hashes say where that may be; texts without any such place are
+   done.  Periods that are a smaller one several times over are left to the smaller one.
 2. The other texts are exploded into tiles, one per octave and boundary found: the
-   words from 2L before the boundary to 5L after it.  Tiles of a text overlap.
-3. Each tile is solved on its own.  The Z-function of the words after the boundary gives
-   for each q how far the matches go on to the right, that of the reversed words before
-   it how far to the left.
+   words from 2L before the boundary to 8L after it.  Tiles of a text overlap.
+3. Each tile is solved on its own, where it was cut out.  The Z-function of the words
+   after the boundary gives for each q how far the matches go on to the right, that of
+   the reversed words before it how far to the left.
 4. These fragments are shuffled by text and period and stitched: fragments of one period
    that meet or overlap are one stretch of matches.  Boundaries that a stretch covers lie
-   2L apart and tiles reach 2L to the left and 3L to the right, so nothing is left out
-   between them.
+   2L apart, the first of them has less than 2L matches to its left, the last less than
+   M + 1 to its right, so fragments leave out nothing between them and at the ends.
 5. A stretch found with several periods has the smallest of them.
 
 Words are compared by numbers given inside one text, never by hashes alone.
 
 Cases: null, empty and blank texts have no words and no runs.  Rows that repeat are
 texts of their own, and null ids are allowed.  Very long texts are cut into tiles like
-others, and their tiles are dealt out over the tasks.  Ties between runs go as stated where
-they are ranked.  Extra columns are not looked at.  An empty table gives an empty result.
+others.  Ties between runs go as stated where they are ranked.  Extra columns are not
+looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.shingles import mix, texts_of
+from siftline.llm.shingles import texts_of
 from siftline.llm.suffixes import RunHashes
 from siftline.plans.materialize import keep
 
-WORDS_KEPT = 100_000  # numbers given before a new text starts anew; changes speed, not results
+WORDS_KEPT = 300_000  # numbers given before a new text starts anew; changes speed, not results
+MANY = 16  # places from which on the whole Z-function is worked out
 GROUP = 1 << 18  # words looked at together when places of tiles are searched
 
 SCREENED = "row_id long, doc_id long, n_words long, plain_sha256 string, text binary"
-TILE = "row_id long, octave int, boundary int, before int, words binary"
+TILE = "row_id long, octave int, boundary int, before int, periods binary, words binary"
 FRAGMENT = "row_id long, period int, first int, past int"
 RUNS = "array<struct<start:bigint,period:bigint,length:bigint>>"
 
@@ -74,31 +77,56 @@ def octaves(n_words: int, powers: int) -> Iterator[int]:
         size *= 2
 
 
-def tile_places(numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, powers: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(octave, text, boundary) of the tiles that may hold a run, for texts laid end to end.
+def repeats_at(
+    numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, least_words: int, powers: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(octave, texts, boundaries, periods): where the words at a boundary seem to come again, octave by octave.
 
-    ``begin`` and ``end`` are the places of each text in ``numbers``; boundaries are
-    counted from the start of their text.
+    ``begin`` and ``end`` are the places of texts laid end to end in ``numbers``;
+    boundaries are counted from the start of their text.  In order of text and boundary.
     """
-    runs, out = RunHashes(numbers.astype(np.uint64) + np.uint64(1)), []
+    runs = RunHashes(numbers.astype(np.uint64) + np.uint64(1))
     for size in octaves(int((end - begin).max()) if len(begin) else 0, powers):
         marks = runs.of(size)
         room = np.flatnonzero(end - begin >= size * powers)
         count = (end[room] - begin[room] - 2 * size) // (2 * size) + 1  # boundaries with a block at L after them
         text = np.repeat(room, count)
         boundary = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * 2 * size
-        at, found = begin[text] + boundary, np.zeros(len(text), bool)
+        at = begin[text] + boundary
         last = np.minimum(at + 2 * size, end[text] - size + 1)  # blocks from here on are too far or not in the text
+        where, periods = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(at) < size:
             for i, (a, b) in enumerate(zip(at, last, strict=True)):
-                found[i] = (marks[a + size : b] == marks[a]).any()
+                found = np.flatnonzero(marks[a + size : b] == marks[a]) + size
+                where.append(np.full(len(found), i))
+                periods.append(found)
         else:
             for shift in range(size, 2 * size):
                 fits = np.flatnonzero(at + shift < last)
-                found[fits] |= marks[at[fits]] == marks[at[fits] + shift]
-        if found.any():
-            out.append((size, text[found], boundary[found]))
-    return out
+                found = fits[marks[at[fits]] == marks[at[fits] + shift]]
+                where.append(found)
+                periods.append(np.full(len(found), shift))
+        where, periods = np.concatenate(where), np.concatenate(periods)
+        # a stretch of M matches that holds a boundary 2L apart holds M - 2L + 1 from one of them on
+        block, from_ = np.maximum(least_words - periods, (powers - 1) * periods) - 2 * size + 1, at[where]
+        fits = np.flatnonzero(from_ + periods + block <= end[text[where]])
+        where, periods, block, from_ = where[fits], periods[fits], block[fits], from_[fits]
+        fits = runs.between(from_, from_ + block) == runs.between(from_ + periods, from_ + periods + block)
+        where, periods = where[fits], periods[fits]
+        order = np.lexsort((periods, where))
+        if len(order):
+            yield size, text[where[order]], boundary[where[order]], periods[order]
+
+
+def tile_places(numbers: np.ndarray, least_words: int, powers: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(octave, boundary, periods) of the tiles of a text that may hold a run."""
+    whole = np.zeros(1, np.int64), np.array([len(numbers)])
+    for size, _, boundaries, periods in repeats_at(numbers, *whole, least_words, powers):
+        places, first = np.unique(boundaries, return_index=True)
+        for at, found in zip(places.tolist(), np.split(periods, first[1:]), strict=True):
+            found = own_periods(numbers[at : at + int(found[-1])], found)
+            if len(found):
+                yield size, at, found
 
 
 def z_function(s: list[int], upto: int) -> list[int]:
@@ -114,25 +142,58 @@ def z_function(s: list[int], upto: int) -> list[int]:
     return z
 
 
-def solve_tile(words: list[int], before: int, size: int) -> list[tuple[int, int, int]]:
+def z_values(s: np.ndarray, places: np.ndarray) -> list[int]:
+    """The Z-function of ``s`` at some places: all of it where they are many, else one comparison each."""
+    if len(places) > MANY:
+        z = z_function(s.tolist(), int(max(places)) + 1)
+        return [z[i] for i in places]
+    out = []
+    for i in places:
+        same = s[i:] == s[: len(s) - i]
+        stop = int(same.argmin()) if len(same) else 0
+        out.append(len(same) if len(same) and same[stop] else stop)
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def prime_factors(n: int) -> list[int]:
+    out, p = [], 2
+    while p * p <= n:
+        if n % p == 0:
+            out.append(p)
+            while n % p == 0:
+                n //= p
+        p += 1
+    return [*out, n] if n > 1 else out
+
+
+def own_periods(after: np.ndarray, periods: np.ndarray) -> np.ndarray:
+    """Those of ``periods`` q for which the first q words are not a smaller part said several times.
+
+    A run with such a q has the smaller part as its period, which another octave finds.
+    """
+    parts = [[q // p for p in prime_factors(q)] for q in periods.tolist()]
+    smaller = np.array(sorted({d for ds in parts for d in ds}), np.int64)
+    z = dict(zip(smaller.tolist(), z_values(after, smaller), strict=True))
+    return periods[[not any(z[d] >= q - d for d in ds) for q, ds in zip(periods.tolist(), parts, strict=True)]]
+
+
+def solve_tile(words: np.ndarray, before: int, size: int, periods: np.ndarray) -> list[tuple[int, int, int]]:
     """(period, first, past) of stretches of matches around a boundary, counted from it.
 
-    ``words`` are those of the tile, ``before`` of them in front of the boundary.  Only
-    stretches that go on for ``size`` matches from the boundary count.
+    ``words`` are those of the tile, ``before`` of them in front of the boundary.  The
+    stretches hold ``size`` matches from the boundary on at least.
     """
-    after = words[before:]
-    right = z_function(after, min(2 * size, len(after)))
-    periods = [q for q in range(size, len(right)) if right[q] >= size]
-    if not periods or not before:
-        return [(q, 0, right[q]) for q in periods]
-    head = words[:before][::-1]
-    reversed_ = [*head, -1, *words[: before + 2 * size][::-1]]
-    left, whole = z_function(reversed_, len(reversed_)), min(before + 2 * size, len(words))
-    start = before + 1 + whole - before  # where the words before the boundary begin in the reversed part
-    return [(q, -left[start - q], right[q]) for q in periods]
-
-
-def screened(docs: DataFrame, powers: int, id_col: str, text_col: str) -> DataFrame:
+    right = z_values(words[before:], periods)
+    if not before:
+        return [(q, 0, x) for q, x in zip(periods.tolist(), right, strict=True) if x >= size]
+    # the words before the boundary, backwards, then all words to 2L after it, backwards
+    behind = words[: before + 2 * size][::-1]
+    left = z_values(np.concatenate([words[:before][::-1], [-1], behind]), 1 + len(behind) - periods)
+    return [(q, -y, x) for q, x, y in zip(periods.tolist(), right, left, strict=True) if x >= size]
+
+
+def screened(docs: DataFrame, least_words: int, powers: int, id_col: str, text_col: str) -> DataFrame:
     """``SCREENED`` rows: words are counted, and ``text`` is left only where a run is possible.
 
     ``plain_sha256`` is the digest of all words with one space between them.
@@ -152,7 +213,7 @@ def screened(docs: DataFrame, powers: int, id_col: str, text_col: str) -> DataFr
                 held += len(words)
                 if held >= GROUP or i == batch.num_rows - 1:
                     ends = np.cumsum([len(x) for x in group])
-                    for _, at, _ in tile_places(np.concatenate(group), np.append(0, ends[:-1]), ends, powers):
+                    for _, at, _, _ in repeats_at(np.concatenate(group), np.append(0, ends[:-1]), ends, least_words, powers):
                         suspect[first + at] = True
                     group, held, first = [], 0, i + 1
             kept = pc.if_else(pa.array(suspect), batch.column("text").cast(pa.binary()), pa.scalar(None, pa.binary()))
@@ -163,23 +224,31 @@ def screened(docs: DataFrame, powers: int, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(run, SCREENED)
 
 
-def tiles(rows: DataFrame, powers: int) -> DataFrame:
+def tiles(rows: DataFrame, least_words: int, powers: int) -> DataFrame:
     """The tiles of texts (row_id, text) that may hold a run; words as 4-byte numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordNumbers()
-        names = [c.split()[0] for c in TILE.split(", ")]
         for batch in batches:
             for row_id, text in zip(batch.column("row_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 numbers = numbers_of(text.split(), memo)
-                for size, _, boundaries in tile_places(numbers, np.zeros(1, np.int64), np.array([len(numbers)]), powers):
-                    for part in np.array_split(boundaries, max(1, 7 * size * len(boundaries) // GROUP)):
-                        if len(part):
-                            starts = np.maximum(part - 2 * size, 0)
-                            words = [numbers[a : b + 5 * size].tobytes() for a, b in zip(starts, part, strict=True)]
-                            cells = [[row_id] * len(part), [size] * len(part), part, part - starts, words]
-                            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
+                rows_: list[tuple] = []
+                held = 0
+                for size, at, periods in tile_places(numbers, least_words, powers):
+                    start = max(at - 2 * size, 0)
+                    words = numbers[start : at + 8 * size]
+                    rows_.append((row_id, size, at, at - start, periods.astype(np.int32).tobytes(), words.tobytes()))
+                    held += len(words) + len(periods)
+                    if held >= GROUP:
+                        yield batch_of(rows_)
+                        rows_, held = [], 0
+                if rows_:
+                    yield batch_of(rows_)
+
+    def batch_of(rows_: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        cells = [pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(cells, names=[c.split()[0] for c in TILE.split(", ")])
 
     return rows.mapInArrow(run, TILE)
 
@@ -191,9 +260,9 @@ def fragments(tiles_: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
-                columns = (batch.column(c).slice(at, 256).to_pylist() for c in ("row_id", "octave", "boundary", "before", "words"))
-                for row_id, size, boundary, before, words in zip(*columns, strict=True):
-                    found = solve_tile(np.frombuffer(words, np.int32).tolist(), before, size)
+                columns = (batch.column(c).slice(at, 256).to_pylist() for c in ("row_id", "octave", "boundary", "before", "periods", "words"))
+                for row_id, size, boundary, before, periods, words in zip(*columns, strict=True):
+                    found = solve_tile(np.frombuffer(words, np.int32), before, size, np.frombuffer(periods, np.int32))
                     out += [(row_id, q, boundary + a, boundary + b) for q, a, b in found]
                 cells = zip(*out, strict=True) if out else [[]] * 4
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -244,10 +313,9 @@ def periodic_runs(
     """
     if least_powers < 4:
         raise ValueError("tiles find runs of four periods or more")
-    rows = keep(screened(docs, least_powers, id_col, text_col))
+    rows = keep(screened(docs, least_words, least_powers, id_col, text_col))
     suspects = rows.where("text is not null").select("row_id", "text")
-    dealt = tiles(suspects, least_powers).repartition("row_id", "octave", "boundary")
-    runs = stitched(fragments(dealt), least_words, least_powers)
+    runs = stitched(fragments(tiles(suspects, least_words, least_powers)), least_words, least_powers)
     listed = runs.select("row_id", *(F.col(c).cast("long").alias(c) for c in ("start", "period", "length")))
     listed = listed.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     listed = suspects.join(listed, "row_id").select("row_id", "runs", _kept_words(F.col("text"), F.col("runs")).alias("kept_sha256"))
