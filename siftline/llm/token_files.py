@@ -308,7 +308,7 @@ def ids_of(row: dict, document: int, first: int = 0, past: int | None = None) ->
     counts = row["n_ids"]
     start, n = sum(counts[:document]), counts[document]
     past = n if past is None else min(past, n)
-    return ids_between(grammar_of(row), start + min(first, n), start + past)
+    return ids_between(grammar_of(row), start + max(0, min(first, n)), start + past)
 
 
 def read_documents(files: DataFrame) -> DataFrame:
