@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.plans.materialize import keep
@@ -11,28 +11,45 @@ from siftline.plans.materialize import keep
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
-    Each round sends every node to its smallest neighbour, follows that once more,
-    and goes on with the edges between what is left, so stars are done in one
-    round and the number of edges falls fast otherwise.  Minima are summed up
-    before they are shuffled and joined back, so a node with very many neighbours
-    is never gathered in one place.
+    Each round draws a new order of the nodes by a hash, sends every node to the first
+    of its neighbours and itself, follows that once more, and goes on with the edges
+    between what is left.  As the order has nothing to do with the ids, only a part of
+    the nodes that does not depend on the shape of the graph is left (at most a third
+    of a path on average), so the rounds grow with the logarithm of the nodes.  Each
+    round is kept, and joined to the one before by itself, so plans stay flat.  Minima
+    are summed up before they are shuffled and kept before they are joined back, so a
+    node with very many neighbours is never gathered in one place.
     """
-    now = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct())
+    ends = F.col(a), F.col(b)
+    now = edges.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    now = keep(now.where("a != b").distinct())
     steps: list[DataFrame] = []
     while not now.isEmpty():
-        ends = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        lowest = ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("low"))
-        lowest = lowest.select("node", F.least("node", "low").alias("root"))
-        after = lowest.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        steps.append(keep(lowest.join(after.hint("merge"), "root").select("node", F.col("next").alias("root"))))
+        steps.append(keep(_step(now, len(steps))))
         for end in ("a", "b"):
             moved = steps[-1].select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
             now = now.join(moved.hint("merge"), end)
-        now = keep(now.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
+        now = now.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+        now = keep(now.where("a != b").distinct())
     if not steps:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     rooted = steps.pop()
     while steps:
         later = rooted.select(F.col("node").alias("root"), F.col("root").alias("last"))
         rooted = steps.pop().join(later.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-    return rooted
+        rooted = keep(rooted)
+    lowest = keep(rooted.groupBy("root").agg(F.min("node").alias("low")))
+    return rooted.join(lowest.hint("merge"), "root").select("node", F.col("low").alias("root"))
+
+
+def _step(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, root): where each node goes in a round, two steps towards the first of its surroundings."""
+
+    def drawn(node: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(turn), node).alias("draw"), node.alias("node"))
+
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    first = edges.select(both).groupBy(F.col("e.a").alias("node")).agg(F.min(drawn(F.col("e.b"))).alias("first"))
+    first = keep(first.select("node", F.least("first", drawn(F.col("node")))["node"].alias("root")))
+    after = first.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return first.join(after.hint("merge"), "root").select("node", F.col("next").alias("root"))

@@ -63,7 +63,8 @@ def ownership(candidates: DataFrame) -> DataFrame:
     for column, name in (("repo", "n_repos"), ("owner", "n_owners")):
         different = candidates.select("secret", column).distinct()
         counts.append(different.groupBy("secret").agg(F.count(column).alias(name)))
-    return counts[0].join(counts[1], "secret")
+    # kept, so that spans are joined to it by a plain shuffle, which Spark splits at a hot secret
+    return keep(counts[0].join(counts[1], "secret"))
 
 
 def find_secrets(
@@ -92,7 +93,7 @@ def find_secrets(
     each = rows.select("row_id", "repo", "owner", F.explode("spans").alias("span"))
     each = each.select("*", secret_of(F.col("span")).alias("plain"))
     each = each.select("row_id", "repo", "owner", "span", F.sha2("plain", 256).alias("secret"), looks_random(F.col("plain")).alias("random"))
-    judged = each.join(ownership(each), "secret").select(
+    judged = each.join(ownership(each).hint("merge"), "secret").select(
         "row_id",
         F.struct(
             F.col("span.start").alias("start"),

@@ -124,8 +124,8 @@ def block_pairs(members: DataFrame, least: float) -> DataFrame:
     sized = members.withColumn("class", F.floor(F.log("n_shingles") / F.lit(-float(np.log(least))) + 1e-9))
     totals = sized.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     totals = totals.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int"))
-    totals = totals.select("cluster", "class", "parts")
-    laid = sized.join(totals, ["cluster", "class"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    totals = keep(totals.select("cluster", "class", "parts"))  # a large class is split where it is joined
+    laid = sized.join(totals.hint("merge"), ["cluster", "class"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
     blocks = totals.select("cluster", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     after = totals.select("cluster", (F.col("class") - 1).alias("class"), F.col("parts").alias("parts_after"))
     near = blocks.join(totals, ["cluster", "class"]).join(after, ["cluster", "class"], "left")

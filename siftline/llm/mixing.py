@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from siftline.plans.materialize import keep
 
 PART = 256.0
-INSIDE = ("_parts", "_steps", "_copies", "_source", "_salt")
-SMALL = 10_000  # sources up to which their table is broadcast; checked
+INSIDE = ("_parts", "_steps", "_copies", "_source")
+SMALL = 10_000  # sources that are broadcast at most; checked
 
 
 def uniform(*parts: Column) -> Column:
@@ -66,15 +66,20 @@ def source_rates(docs: DataFrame, weights: dict[str, float], rest: float | None,
 
 
 def with_source(docs: DataFrame, table: DataFrame, source_col: str) -> DataFrame:
-    """Each document with the row of its source, whatever share of all one source has."""
-    if table.count() <= SMALL:
-        named = F.broadcast(table.withColumnRenamed("source", "_source"))
-        return docs.join(named, docs[source_col].cast("string").eqNullSafe(F.col("_source"))).drop("_source")
-    salts = 64  # copies of the source table, so that a hot source is joined in 64 places
-    salted = table.withColumnRenamed("source", "_source").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = docs.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    same = dealt[source_col].cast("string").eqNullSafe(salted["_source"]) & (dealt["_salt"] == salted["_salt"])
-    return dealt.join(salted, same).drop("_source", "_salt")
+    """Each document with the row of its source, whatever share of all one source has.
+
+    Sources with more than one in ``SMALL`` of all rows are fewer than ``SMALL``, so they
+    are broadcast; what is left to a shuffle has no hot source.
+    """
+    table = table.withColumnRenamed("source", "_source")
+    same = docs[source_col].cast("string").eqNullSafe(F.col("_source"))
+    sums = table.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows")).first()
+    if sums["sources"] <= SMALL:
+        return docs.join(F.broadcast(table.drop("n")), same).drop("_source")
+    hot = F.col("n") * SMALL > sums["rows"]
+    large, others = F.broadcast(table.where(hot).drop("n")), table.where(~hot).drop("n")
+    rest = docs.join(large.select("_source"), same, "left_anti").join(others.hint("merge"), same)
+    return docs.join(large, same).unionByName(rest).drop("_source")
 
 
 def mix_sources(
@@ -92,7 +97,7 @@ def mix_sources(
     rates = source_rates(docs, weights or {}, rest, size, source_col)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     rates = rates.withColumn("_parts", parts).withColumn("_steps", poisson_steps(F.col("rate") / F.col("_parts")))
-    drawn = with_source(docs, rates.select("source", "_parts", "_steps"), source_col)
+    drawn = with_source(docs, rates.select("source", "n", "_parts", "_steps"), source_col)
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     key = F.lit(str(seed))
     draws = F.transform(

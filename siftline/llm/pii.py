@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.spans import SPANS, count_of, digits_of, find_spans, joined, luhn, mask
+from siftline.llm.spans import SPANS, blocks_of, bound, count_of, digits_of, find_spans, joined, luhn, mask, overlapping, part_of
 from siftline.plans.materialize import keep
 
 # The base patterns.  Possessive runs and starts at the beginning
@@ -74,7 +74,15 @@ def _by_kind(kind: Column, cases: dict[str, Column], rest: Column) -> Column:
     return out
 
 
-def _candidate(text: Column, s: Column) -> Column:
+def _candidate(blocks: Column, s: Column) -> Column:
+    """A span with its votes; ``blocks`` are those of its text."""
+    before = part_of(blocks, F.greatest(s["start"] - 40, F.lit(0)), s["start"])
+    touches = F.concat(part_of(blocks, F.greatest(s["start"] - 1, F.lit(0)), s["start"]), part_of(blocks, s["end"], s["end"] + 1))
+    around = F.struct(before.alias("before"), touches.alias("touches"))
+    return bound(around, lambda x: _votes(s, x["before"], x["touches"]))
+
+
+def _votes(s: Column, before: Column, touches: Column) -> Column:
     kind, value = s["kind"], s["value"]
     n = F.length(digits_of(value))
     strict = _by_kind(
@@ -102,10 +110,7 @@ def _candidate(text: Column, s: Column) -> Column:
         },
         F.lit(0),
     )
-    before = F.substr(text, F.greatest(s["start"] - 40, F.lit(0)) + 1, F.least(s["start"], F.lit(40)))
     cue = _by_kind(kind, {k: _vote(before.rlike(f"(?i){words}")) for k, words in CUES.items()}, F.lit(0))
-    left = F.when(s["start"] > 0, F.substr(text, s["start"], F.lit(1))).otherwise(F.lit(""))
-    touches = F.concat(left, F.substr(text, s["end"] + 1, F.lit(1))).rlike(r"[\p{L}\p{N}]")
     share = F.length(digits_of(value)) / F.length(value)
     return F.struct(
         kind.alias("kind"),
@@ -117,7 +122,7 @@ def _candidate(text: Column, s: Column) -> Column:
         known.alias("gazetteer"),
         cue.alias("cue"),
         F.when(before.rlike(AGAINST), -1).otherwise(0).alias("against"),
-        F.when(touches, -1).otherwise(1).alias("edges"),
+        F.when(touches.rlike(r"[\p{L}\p{N}]"), -1).otherwise(1).alias("edges"),
         F.least(F.floor(F.length(value) / 8), F.lit(3)).cast("int").alias("size"),
         F.when(share > 0.9, 2).when(share > 0.3, 1).otherwise(0).alias("digits"),
     )
@@ -128,7 +133,13 @@ def candidates(text: Column) -> Column:
     cards = F.filter(find_spans(text, CARD, "card"), lambda s: F.length(digits_of(s["value"])) >= 12)
     patterns = [(EMAIL, "email"), (IP, "ip")], [(PHONE, "phone"), (NATIONAL, "national"), (LOCAL, "local"), (IBAN, "iban")]
     found = [find_spans(text, p, k) for p, k in patterns[0]] + [cards] + [find_spans(text, p, k) for p, k in patterns[1]]
-    return F.transform(F.concat(*found), lambda s: _candidate(text, s)).cast(f"array<{CANDIDATE}>")
+    nothing = F.array().cast(f"array<{CANDIDATE}>")
+
+    def voted(spans: Column) -> Column:
+        votes = bound(blocks_of(text), lambda blocks: F.transform(spans, lambda s: _candidate(blocks, s)))
+        return F.when(F.size(spans) > 0, votes.cast(f"array<{CANDIDATE}>")).otherwise(nothing)
+
+    return bound(F.concat(*found), voted)
 
 
 class SpanModel:
@@ -207,17 +218,19 @@ def learn_spans(spans: DataFrame) -> SpanModel:
 
 def chosen(spans: Column, model: SpanModel) -> tuple[Column, Column]:
     """Base spans, and all reported spans, by kind as listed and start."""
-    base = F.filter(spans, lambda s: s["base"])
-    added = F.filter(
-        spans,
-        lambda s: ~s["base"]
-        & (s["format"] == 1)
-        & (model.probability(s) >= 0.5)
-        & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    kept = F.concat(base, added)
-    plain = F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"]))
-    return F.transform(base, lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"])).cast(SPANS), plain.cast(SPANS)
+
+    def plain(spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"])).cast(SPANS)
+
+    base = plain(F.filter(spans, lambda s: s["base"]))
+    likely = plain(F.filter(spans, lambda s: ~s["base"] & (s["format"] == 1) & (model.probability(s) >= 0.5)))
+
+    def added(sides: Column) -> Column:
+        new = F.zip_with(sides["likely"], overlapping(sides["likely"], sides["base"]), lambda s, hit: F.struct(s.alias("span"), hit.alias("hit")))
+        new = F.transform(F.filter(new, lambda x: ~x["hit"]), lambda x: x["span"])
+        return F.when(F.size(sides["likely"]) > 0, F.concat(sides["base"], new)).otherwise(sides["base"])
+
+    return base, bound(F.struct(base.alias("base"), likely.alias("likely")), added)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,12 +249,9 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     model = learn_spans(keep(docs.select(candidates(text).alias("spans")).where(F.size("spans") > 0)))
-    spans = docs.withColumn("_spans", candidates(text))
-    by_start = F.array_sort(
-        F.transform(chosen(F.col("_spans"), model)[1], lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    )
-    marked = spans.withColumn("_marks", by_start)
-    return marked.withColumn(text_col, F.when(F.size("_marks") > 0, mask(F.col(text_col), F.col("_marks"))).otherwise(F.col(text_col))).drop("_spans", "_marks")
+    found = bound(candidates(text), lambda spans: chosen(spans, model)[1])
+    marks = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    return docs.withColumn(text_col, mask(F.col(text_col), marks))
 
 
 def pii_columns(found: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ q.c = (|q|^2 + |c|^2 - d(q,c)^2) / 2 turns it into an upper bound of the score.
 Candidates of a block are evaluated in the order of that bound until the next
 bound is below the k-th score found, so the result is exact.
 
-Cases: rows without an id, and null, empty or non-finite vectors take no part,
-nor do vectors whose integer form has a squared norm of 2^62 or more (so that
-scores fit a long).  Vectors meet only vectors of their own dimension.  Repeated
+Cases: rows without an id, and null, empty or non-finite vectors take no part.
+Finite vectors of any size do; where doubles are too short, bounds are taken as
+infinite and products are worked out in whole numbers.  A score beyond a long is
+the nearest long.  Vectors meet only vectors of their own dimension.  Repeated
 rows count as rows of their own.  Ties go to the smaller id.  Extra columns are
 not looked at.  An empty table gives an empty result.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm.blocks import Block, beside, each_pair, pack, usable_vectors
 
+LOWEST, HIGHEST = -(2**63), 2**63 - 1  # of a long
+LARGEST = float(np.finfo(np.float64).max)
 FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -45,13 +48,17 @@ def search_block(queries: Block, found: Block, k: int) -> tuple:
     """The k best candidates of one block for each query of another."""
     norms, tables = found.extra[:, 0], np.ascontiguousarray(found.extra[:, 1:].T)
     exact = found.vectors
-    if queries.extra[:, 0].max() * norms.max() >= 2.0**105:  # sums may pass 2^53
+    large = not queries.extra[:, 0].max() * norms.max() < 2.0**105  # sums may pass 2^53
+    if large:
         exact = np.array([[int(x) for x in row] for row in found.vectors], dtype=object)
     out: list[list] = [[], [], [], [], []]
     for q in range(len(queries.row_ids)):
         norm = queries.extra[q, 0]
-        apart = np.abs(tables - queries.extra[q, 1:, None]).max(axis=0) if len(tables) else np.zeros(len(norms))
-        bound = (norm + norms - apart**2) / 2 + 1e-9 * (norm + norms) + 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            apart = np.abs(tables - queries.extra[q, 1:, None]).max(axis=0) if len(tables) else np.zeros(len(norms))
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = (norm + norms - apart**2) / 2 + 1e-9 * (norm + norms) + 1
+        bound = np.where(np.isfinite(bound), bound, np.inf)
         order = np.argsort(-bound, kind="stable")
         order = order[found.row_ids[order] != queries.row_ids[q]]
         vector = queries.vectors[q] if exact is found.vectors else np.array([int(x) for x in queries.vectors[q]], dtype=object)
@@ -59,7 +66,10 @@ def search_block(queries: Block, found: Block, k: int) -> tuple:
         done, step, least = 0, 8 * k, None
         while done < len(order) and (least is None or bound[order[done]] >= least):
             part = order[done : done + step]
-            at, scores = np.append(at, part), np.append(scores, (exact[part] @ vector).astype(np.int64))
+            found_scores = exact[part] @ vector
+            if large:
+                found_scores = [min(max(x, LOWEST), HIGHEST) for x in found_scores]
+            at, scores = np.append(at, part), np.append(scores, np.array(found_scores).astype(np.int64))
             if len(scores) >= k:
                 least = np.partition(scores, len(scores) - k)[len(scores) - k]
                 at, scores = at[scores >= least], scores[scores >= least]
@@ -73,6 +83,12 @@ def search_block(queries: Block, found: Block, k: int) -> tuple:
     return tuple(out)
 
 
+def _floor(x: Column) -> Column:
+    """As a double; from 2^53 on all doubles are whole, and none is infinite here."""
+    held = F.least(F.greatest(x, F.lit(-LARGEST)), F.lit(LARGEST))
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(held)
+
+
 def top_by_inner_product(
     vectors: DataFrame,
     is_query: Column,
@@ -93,10 +109,8 @@ def top_by_inner_product(
     gives the same result.
     """
     rows = usable_vectors(vectors, id_col, vector_col)
-    whole = F.transform("vector", lambda x: F.floor(x * scale).cast("double"))
+    whole = F.transform("vector", lambda x: _floor(x * scale))
     rows = rows.withColumn("vector", whole)
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    rows = rows.where(squares < 2.0**62)
     sample = rows.orderBy(F.xxhash64("vec_id", "row_id"), "row_id").limit(pivot_sample).select("vector").collect()
     points = choose_pivots([list(r.vector) for r in sample], pivots)
 

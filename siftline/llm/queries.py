@@ -276,7 +276,8 @@ WITH d AS (
     SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc32("coalesce(text, '')")} AS crc,
         md5('23|' || doc_id) AS h FROM documents
 ), ranked AS (
-    SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, crc, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM d
+    SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, crc, size) - 1 + u) / count(*) OVER (PARTITION BY source) AS f FROM (
+        SELECT *, (CAST('0x' || substr(md5('23|source|' || coalesce('s' || source, '')), 1, 5) AS BIGINT) + 0.5::DOUBLE) / 1048576::DOUBLE AS u FROM d)
 ), placed AS (
     SELECT *, row_number() OVER (ORDER BY f, source, h, crc, size) - 1 AS place, count(*) OVER () AS n FROM ranked
 )

@@ -1,15 +1,17 @@
 """Shards that all hold the mixture of sources, by stratified interleaving.
 
 Rows of a source are ranked in the order of a seeded hash.  A row's place is its
-fractional rank (rank + 1/2) / n among the n rows of its source, so sorting all
+fractional rank (rank + u) / n among the n rows of its source, where u in (0, 1) is
+drawn for the source, so that sources of a few rows are spread as well.  Sorting all
 rows by that interleaves the sources in proportion, and equal cuts of the sorted
 rows are the shards: numbers of rows differ by one at most, and each source has
 its share in every shard to within one row at either end.
 
 Neither rank needs a source, or the whole table, in one task.  A source is cut by
 its hash into buckets of about ``bucket_rows`` rows whose sizes are counted
-first; a row's rank is that of its bucket's first row plus its place inside.  The
-sizes of buckets of fractional ranks follow from the sizes of the sources alone.
+first; a row's rank is that of its bucket's first row plus its place inside.
+Fractional ranks are spread evenly over all their buckets, whatever the sources, and
+are counted in the same way.
 
 The law is ``rows``.  A group of equal texts has no place of its own here: its
 rows are spread like all others, since a shard's number of rows is fixed.
@@ -64,12 +66,20 @@ def stratified_shards(
     inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "text_crc32", "size")
     ranked = rows.withColumn("_place", F.row_number().over(inside) - 1).join(offsets, ["_source", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_offset") + F.col("_place")).drop("_bucket", "_offset", "_place")
-    ranked = ranked.withColumn("_fraction", (F.col("_rank") + 0.5) / F.col("_of"))
-    ranked = ranked.withColumn("_bucket", F.expr(f"((2 * _rank + 1) * {buckets}) div (2 * _of)"))
+    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("source"), "_source")), 1, 5), 16, 10).cast("double")
+    ranked = ranked.withColumn("_fraction", (F.col("_rank") + (unit + 0.5) / F.lit(2.0**20)) / F.col("_of"))
+    ranked = ranked.withColumn("_bucket", F.floor(F.col("_fraction") * buckets).cast("long"))
 
-    # a source of n rows has ceil(2nb/B) div 2 rows with fractional ranks below b/B
-    cuts = sources.select("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("_bucket"))
-    cuts = cuts.groupBy("_bucket").agg(F.sum(F.expr(f"((2 * _of * _bucket + {buckets - 1}) div {buckets}) div 2")).alias("_start"))
+    # rows before each bucket: those before its thousand of buckets, and those inside that before it
+    sizes = keep(ranked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    thousand = F.expr("_bucket div 1000")
+    sizes = sizes.withColumn("_thousand", thousand)
+    above = Window.orderBy("_thousand").rowsBetween(Window.unboundedPreceding, -1)
+    tops = sizes.groupBy("_thousand").agg(F.sum("_n").alias("_all"))
+    tops = tops.select("_thousand", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_above"))
+    beside = Window.partitionBy("_thousand").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(beside), F.lit(0))).join(tops, "_thousand")
+    cuts = keep(cuts.select("_bucket", (F.col("_start") + F.col("_above")).alias("_start")))
     among = Window.partitionBy("_bucket").orderBy("_fraction", "_source", "_hash", "text_crc32", "size")
     placed = ranked.withColumn("_place", F.row_number().over(among) - 1).join(cuts, "_bucket")
     placed = placed.withColumn("_place", F.col("_start") + F.col("_place"))

@@ -2,14 +2,16 @@
 
 Features are the distinct hashed words, word pairs and skip-grams of the whole
 lower-cased text.  The fit runs in one task over a bounded sample of labelled
-texts (``max_rows``, at most half of them of each label; texts of the rarer label
-take as many turns in sum as the others); its L1 term leaves a short list
+texts (``max_rows``, at most half of them of each label, and of these at most
+``max_bytes`` in the order of their hashes; texts of the rarer label take as many
+turns in sum as the others); its L1 term leaves a short list
 of weights, at most ``2^bits``, which travels to the tasks that score.
 
 Cases: null and empty texts have no features and get the score of the intercept;
 labels that are null, other than 0 and 1 or without an id are not learned from;
 texts that repeat are learned from once (labelled toxic if one of them is).
-Repeated documents get a score each.  Without labels of both kinds all scores
+Repeated documents get a score each; very long texts are scored whole, and learned
+from whole if ``max_bytes`` has room for them.  Without labels of both kinds all scores
 are the share of toxic ones, or 0 without any.  Extra columns are not looked at.
 """
 
@@ -20,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.ngrams import grams, lowered
 from siftline.llm.shingles import WordHashes, values_of
+from siftline.plans.materialize import keep
 
 INTERCEPT = -1
 
@@ -56,8 +59,8 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(x)))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, label): at most ``max_rows`` texts, those whose ids have the smallest hashes."""
+def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int, max_bytes: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(mark, text, label): at most ``max_rows`` texts, those whose ids have the smallest hashes, of ``max_bytes`` in sum."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & may_learn)
     ordered = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -66,7 +69,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, max_row
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
     once = found.groupBy(F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    return once.orderBy("mark").limit(max_rows).select("mark", "text", "label")
+    rows = keep(once.orderBy("mark").limit(max_rows).select("mark", "text", "label"))
+    # at most max_rows thin rows
+    sizes = rows.select("mark", F.sum(F.octet_length("text")).over(Window.orderBy("mark")).alias("bytes"))
+    return rows.join(F.broadcast(sizes.where(F.col("bytes") <= max_bytes).select("mark")), "mark", "left_semi")
 
 
 def fit(rows: DataFrame, bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> list[tuple[int, float]]:
@@ -103,6 +109,7 @@ def toxicity_scores(
     labels: DataFrame,
     may_learn: Column | None = None,
     max_rows: int = 16_000,
+    max_bytes: int = 128 << 20,
     bits: int = 20,
     epochs: int = 4,
     alpha: float = 1.0,
@@ -118,7 +125,7 @@ def toxicity_scores(
     ``may_learn`` is a condition on ``doc_id`` that labelled rows have to meet.
     """
     may_learn = F.lit(True) if may_learn is None else may_learn
-    rows = training_rows(docs, labels, may_learn, max_rows, id_col, text_col, label_col)
+    rows = training_rows(docs, labels, may_learn, max_rows, max_bytes, id_col, text_col, label_col)
     weights = fit(rows, bits, epochs, alpha, beta, l1, l2)
     numbers = np.array([f for f, _ in weights], np.int64)
     values = np.array([w for _, w in weights], np.float64)

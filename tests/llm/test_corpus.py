@@ -56,6 +56,35 @@ def test_shards_do_not_depend_on_buckets(docs):
     assert stratified_shards(docs.where("doc_id = 3"), shards=16).first().slot == 0
 
 
+def test_many_small_sources_are_spread(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'t' as text", "if(id < 15000, concat('site', id), 'hot') as source")
+    got = stratified_shards(docs, shards=10, bucket_rows=100)
+    sizes = {(r.shard, r.source): r.n for r in got.selectExpr("shard", "if(source = 'hot', 'hot', 'site') as source").groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(sizes[s, "hot"] + sizes[s, "site"] == 2000 for s in range(10))
+    assert all(abs(sizes[s, "hot"] - 500) <= 40 for s in range(10))
+    assert got.groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("top")).where("n = 2000 and top = 1999").count() == 10
+
+
+def test_hot_sources_beyond_the_broadcast(docs, monkeypatch):
+    from siftline.llm import mixing
+
+    want = sorted(str((r.doc_id, r.source, r.copy, r.mix_key)) for r in mix_sources(docs).collect())
+    monkeypatch.setattr(mixing, "SMALL", 3)  # one source has more than a third of all rows
+    assert sorted(str((r.doc_id, r.source, r.copy, r.mix_key)) for r in mix_sources(docs).collect()) == want
+
+
+def test_learning_is_bounded_by_bytes(spark):
+    from siftline.llm.toxicity import training_rows
+
+    docs = spark.range(100).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 100) as text")
+    labels = spark.range(100).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    for bytes_, least, most in ((1 << 20, 100, 100), (20_000, 30, 66), (0, 0, 0)):
+        rows = training_rows(docs, labels, F.lit(True), 1000, bytes_, "doc_id", "text", "toxic").collect()
+        assert least <= len(rows) <= most and sum(len(r.text) for r in rows) <= bytes_
+    scored = toxicity_scores(docs.unionByName(spark.createDataFrame([(500, "w1 " * 300_000)], docs.schema)), labels)
+    assert scored.where("doc_id = 500 and score between 0 and 1").count() == 1
+
+
 def poisson_count(seed, name, rate):
     parts = max(1, math.ceil(rate / 256.0))
     total = 0

@@ -105,6 +105,18 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(edges.limit(0), "x", "y").count() == 0
 
 
+def test_components_of_a_long_path(spark, monkeypatch):
+    from siftline.llm import components as module
+
+    rounds = []
+    step = module._step
+    monkeypatch.setattr(module, "_step", lambda edges, turn: rounds.append(turn) or step(edges, turn))
+    edges = spark.range(20_000).selectExpr("id as x", "id + 1 as y").union(spark.range(30_000, 30_400).selectExpr("id as x", "30400L as y"))
+    got = components(edges, "x", "y").groupBy("root").count().collect()
+    assert {(r.root, r["count"]) for r in got} == {(0, 20_001), (30_000, 401)}
+    assert len(rounds) <= 15
+
+
 def test_signatures_estimate_similarity():
     cut, random_ = OnePermutation(128, 4), np.random.default_rng(2)
     for n, shared in ((2000, 1700), (40, 35), (8, 7)):

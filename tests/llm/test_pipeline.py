@@ -67,3 +67,33 @@ def test_stages_with_odd_rows(spark):
     assert corpus_pipeline.mix(spark, docs, SF_DIR).columns == docs.columns
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+HELPERS = ["_id", "_key", "_rows", "_spans", "_marks", "_plain", "_salt", "_copies", "_source", "copy", "mix_key", "score", "predicted"]
+HELPERS += ["rest", "row", "text_key", "component_id", "kept", "mark", "label", "token_ids", "a.b"]
+
+
+def test_stages_with_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in HELPERS)
+    texts = ["write to x@y.de or so", "plain words here", "plain words here", None, "", "w " * 30_000]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or ""), *(f"{c} {i}" for c in HELPERS)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, *rows[1][1:])], schema)
+    extra = {r[0]: r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF_DIR)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert r.doc_id is None or tuple(r)[5:] == extra[r.doc_id], name
+            if name == "personal_data":
+                assert not any("x@y.de" in str(x) for x in r)
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+    tokens = corpus_pipeline.tokenize(spark, docs, SF_DIR).collect()
+    assert len(tokens) == len(texts) + 2 and all(r.round_trip for r in tokens)
+    assert {r.n_tokens for r in tokens if r.doc_id == 3} == {None} and {r.n_tokens for r in tokens if r.doc_id == 4} == {0}
+
+
+def test_toxic_stage_with_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a b", "en", "s", 3)], schema)
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns and kept.where("doc_id = 2").count() in (0, 2)

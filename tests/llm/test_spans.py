@@ -131,6 +131,35 @@ def test_ownership(spark):
     assert got[10].spans == got[30].spans == ""
 
 
+def test_very_many_matches_in_one_text(spark):
+    text = "ab@c.de +49 30 1234567 " * 20_000 + "é"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = find_pii(docs).selectExpr("base[39999] as last", "base[20000] as phone", "size(base) as n").first()
+    assert found.n == 40_000 and found.phone.start == 8 and found.last.end == len(text) - 2
+    assert redact_pii(docs).first().text == "<EMAIL> <PHONE> " * 20_000 + "é"
+
+
+def test_overlaps_and_masks(spark):
+    from pyspark.sql import functions as F
+
+    from siftline.llm.spans import SPANS, mask, overlapping
+
+    dice = random.Random(4)
+    rows = []
+    for _ in range(60):
+        spans = [[("k", a, a + dice.randrange(1, 9), "") for a in (dice.randrange(3000) for _ in range(dice.randrange(6)))] for _ in (0, 1)]
+        rows.append(("".join(dice.choice("aé😀 ") for _ in range(3010)), *spans))
+    df = spark.createDataFrame(rows, f"text string, a {SPANS}, b {SPANS}")
+    got = df.select("*", overlapping(F.col("a"), F.col("b")).alias("hits"), mask(F.col("text"), F.array_sort(F.transform("a", lambda s: F.struct(s["start"], s["end"], s["kind"])))).alias("masked"))
+    for r in got.collect():
+        assert r.hits == [any(x.start < y.end and y.start < x.end for y in r.b) for x in r.a]
+        want, at = "", 0
+        for _, start, end, _ in sorted(r.a, key=lambda s: (s.start, s.end)):
+            want += r.text[at:start] + "<K>" if start >= at else ""
+            at = max(at, end)
+        assert r.masked == want + r.text[at:]
+
+
 def test_no_rows(docs):
     assert find_pii(docs.limit(0)).count() == find_secrets(docs.limit(0)).count() == redact_pii(docs.limit(0)).count() == 0
 

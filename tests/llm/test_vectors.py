@@ -54,7 +54,21 @@ def test_inner_products(vectors):
 def test_inner_products_beyond_doubles(spark):
     table = spark.createDataFrame([(0, [2.0**21, 1.0]), (1, [2.0**21, 2.0]), (2, [2.0**21, 1.0]), (3, [2.0**25, 1.0])], "vec_id long, embedding array<double>")
     got = top_by_inner_product(table, F.col("vec_id") == 0, k=5, lanes=2).collect()
-    assert [(r.vec_id, r.score) for r in got] == [(1, 2**58 + 2 * 2**16), (2, 2**58 + 2**16)]  # the last is out of range
+    assert [(r.vec_id, r.score) for r in got] == [(3, 2**62 + 2**16), (1, 2**58 + 2 * 2**16), (2, 2**58 + 2**16)]
+
+
+def test_vectors_of_any_size(spark):
+    big = [(0, [1.0, 0.0]), (1, [2.0**30, 1.0]), (2, [-1e300, 0.0]), (3, [1e308, 1e308]), (4, [0.5, 0.25]), (5, [-(2.0**30), 2.0])]
+    table = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = top_by_inner_product(table, F.col("vec_id").isin(0, 4), k=5, lanes=2, pivots=4).collect()
+
+    def score(a, b):
+        exact = sum(math.floor(256.0 * x) * math.floor(256.0 * y) if 256.0 * y < math.inf else 2**70 for x, y in zip(a, b, strict=True))
+        return min(max(exact, -(2**63)), 2**63 - 1)
+
+    for q in (0, 4):
+        want = sorted((-score(big[q][1], v), i) for i, v in big if i != q)
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(i, -s) for s, i in want]
 
 
 def test_nearest(vectors):
