@@ -16,20 +16,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     between what is left.  As the order has nothing to do with the ids, only a part of
     the nodes that does not depend on the shape of the graph is left (at most a third
     of a path on average), so the rounds grow with the logarithm of the nodes.  Each
-    round is kept, and so is what every fourth one adds to the result, so plans stay
-    small.  Minima are summed up before they are shuffled and kept before they are joined back, so a
+    round is kept, and so is what it adds to the result, so plans stay small.  Minima
+    are summed up before they are shuffled and kept before they are joined back, so a
     node with very many neighbours is never gathered in one place.
     """
     ends = F.col(a), F.col(b)
-    now = edges.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    # the round is a column, so that all rounds run the same generated code
+    now = edges.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"), F.lit(0).alias("turn"))
     now = keep(now.where("a != b").distinct())
     steps: list[DataFrame] = []
     while not now.isEmpty():
-        steps.append(keep(_step(now, len(steps))))
+        steps.append(keep(_step(now)))
         for end in ("a", "b"):
             moved = steps[-1].select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
             now = now.join(moved.hint("merge"), end)
-        now = now.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+        now = now.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"), (F.col("turn") + 1).alias("turn"))
         now = keep(now.where("a != b").distinct())
     if not steps:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -37,19 +38,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while steps:
         later = rooted.select(F.col("node").alias("root"), F.col("root").alias("last"))
         rooted = steps.pop().join(later.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-        rooted = keep(rooted) if len(steps) % 4 == 0 else rooted
+        rooted = keep(rooted)
     lowest = keep(rooted.groupBy("root").agg(F.min("node").alias("low")))
     return rooted.join(lowest.hint("merge"), "root").select("node", F.col("low").alias("root"))
 
 
-def _step(edges: DataFrame, turn: int) -> DataFrame:
+def _step(edges: DataFrame) -> DataFrame:
     """(node, root): where each node goes in a round, two steps towards the first of its surroundings."""
 
     def drawn(node: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(turn), node).alias("draw"), node.alias("node"))
+        return F.struct(F.xxhash64("turn", node).alias("draw"), node.alias("node"))
 
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
-    first = edges.select(both).groupBy(F.col("e.a").alias("node")).agg(F.min(drawn(F.col("e.b"))).alias("first"))
+    first = edges.select("turn", both).groupBy("turn", F.col("e.a").alias("node")).agg(F.min(drawn(F.col("e.b"))).alias("first"))
     first = first.select("node", F.least("first", drawn(F.col("node")))["node"].alias("root"))
     after = first.select(F.col("node").alias("root"), F.col("root").alias("next"))
     return first.join(after.hint("merge"), "root").select("node", F.col("next").alias("root"))

@@ -110,7 +110,7 @@ def test_components_of_a_long_path(spark, monkeypatch):
 
     rounds = []
     step = module._step
-    monkeypatch.setattr(module, "_step", lambda edges, turn: rounds.append(turn) or step(edges, turn))
+    monkeypatch.setattr(module, "_step", lambda edges: rounds.append(edges) or step(edges))
     edges = spark.range(20_000).selectExpr("id as x", "id + 1 as y").union(spark.range(30_000, 30_400).selectExpr("id as x", "30400L as y"))
     got = components(edges, "x", "y").groupBy("root").count().collect()
     assert {(r.root, r["count"]) for r in got} == {(0, 20_001), (30_000, 401)}
