@@ -9,48 +9,46 @@ from siftline.plans.materialize import keep
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): the smallest node reachable from each node that has an edge.
-
-    Each round draws a new order of the nodes by a hash, sends every node to the first
-    of its neighbours and itself, follows that once more, and goes on with the edges
-    between what is left.  As the order has nothing to do with the ids, only a part of
-    the nodes that does not depend on the shape of the graph is left (at most a third
-    of a path on average), so the rounds grow with the logarithm of the nodes.  Each
-    round is kept, and so is what it adds to the result, so plans stay small.  Minima
-    are summed up before they are shuffled and kept before they are joined back, so a
-    node with very many neighbours is never gathered in one place.
+    """(node, root): the smallest node reachable from each node that has an edge."""
+    found = keep(rooted(edges, a, b))
+    # kept, so that the nodes of a large component are joined to it by a plain shuffle
+    lowest = keep(found.groupBy("root").agg(F.min("node").alias("low")))
+    return found.join(lowest.hint("merge"), "root").select("node", F.col("low").alias("root"))
+
+
+def rooted(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): one node of its component, the same for all of them, for each node that has an edge.
+
+    Each round sends every node to the first of its neighbours and itself in the order of
+    a hash, follows that once more, and goes on with the edges between what is left.  As
+    that order has nothing to do with ids, what is left is a part of the nodes that does
+    not depend on the shape of the graph (about a third of a path at most), so rounds
+    grow with the logarithm of the nodes.  Rounds are kept, and so is what each fourth of
+    them adds to the result, so plans stay small.  Firsts are summed up before they are
+    shuffled, so a node with very many neighbours is never gathered in one place.
     """
-    ends = F.col(a), F.col(b)
-    # the round is a column, so that all rounds run the same generated code
-    now = edges.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"), F.lit(0).alias("turn"))
-    now = keep(now.where("a != b").distinct())
+    now = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct())
     steps: list[DataFrame] = []
     while not now.isEmpty():
-        steps.append(keep(_step(now)))
+        ends = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        first = ends.groupBy(F.col("e.a").alias("node")).agg(F.min(_drawn(F.col("e.b"))).alias("first"))
+        first = first.select("node", F.least("first", _drawn(F.col("node")))["node"].alias("root"))
+        after = first.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        steps.append(keep(first.join(after.hint("merge"), "root").select("node", F.col("next").alias("root"))))
         for end in ("a", "b"):
             moved = steps[-1].select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
             now = now.join(moved.hint("merge"), end)
-        now = now.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"), (F.col("turn") + 1).alias("turn"))
-        now = keep(now.where("a != b").distinct())
+        now = keep(now.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
     if not steps:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    rooted = steps.pop()
+    found = steps.pop()
     while steps:
-        later = rooted.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        rooted = steps.pop().join(later.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-        rooted = keep(rooted)
-    lowest = keep(rooted.groupBy("root").agg(F.min("node").alias("low")))
-    return rooted.join(lowest.hint("merge"), "root").select("node", F.col("low").alias("root"))
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        found = steps.pop().join(later.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        if len(steps) % 4 == 3:
+            found = keep(found)
+    return found
 
 
-def _step(edges: DataFrame) -> DataFrame:
-    """(node, root): where each node goes in a round, two steps towards the first of its surroundings."""
-
-    def drawn(node: Column) -> Column:
-        return F.struct(F.xxhash64("turn", node).alias("draw"), node.alias("node"))
-
-    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
-    first = edges.select("turn", both).groupBy("turn", F.col("e.a").alias("node")).agg(F.min(drawn(F.col("e.b"))).alias("first"))
-    first = first.select("node", F.least("first", drawn(F.col("node")))["node"].alias("root"))
-    after = first.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return first.join(after.hint("merge"), "root").select("node", F.col("next").alias("root"))
+def _drawn(node: Column) -> Column:
+    return F.struct(F.xxhash64(node).alias("draw"), node.alias("node"))

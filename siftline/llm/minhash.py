@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.components import components
+from siftline.llm.components import rooted
 from siftline.llm.shingles import OnePermutation, WordHashes, digest, shingles, texts_of, values_of
 from siftline.plans.materialize import keep
 
@@ -248,10 +248,10 @@ def near_duplicates(
             F.first("bands").alias("bands"),
         ).select("set_id", "first.doc_id", "first.text_key", "n_shingles", "signature", "bands")
     )
-    clusters = components(star_edges(classes), "a", "b")
+    clusters = rooted(star_edges(classes), "a", "b")
     named = classes.select("set_id", "doc_id", "text_key", "n_shingles")
     members = keep(named.join(clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "set_id"))
-    groups = components(exact_links(docs, members, shingle_words, percent, id_col, text_col), "a", "b")
+    groups = rooted(exact_links(docs, members, shingle_words, percent, id_col, text_col), "a", "b")
     groups = keep(groups.join(named.select(F.col("set_id").alias("node"), "doc_id"), "node"))
     lowest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = groups.join(lowest, "root").select(F.col("node").alias("set_id"), "component_id")

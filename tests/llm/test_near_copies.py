@@ -108,13 +108,13 @@ def test_components_of_a_path_and_a_star(spark):
 def test_components_of_a_long_path(spark, monkeypatch):
     from siftline.llm import components as module
 
-    rounds = []
-    step = module._step
-    monkeypatch.setattr(module, "_step", lambda edges: rounds.append(edges) or step(edges))
+    kept = []
+    keep = module.keep
+    monkeypatch.setattr(module, "keep", lambda df: kept.append(df) or keep(df))
     edges = spark.range(20_000).selectExpr("id as x", "id + 1 as y").union(spark.range(30_000, 30_400).selectExpr("id as x", "30400L as y"))
     got = components(edges, "x", "y").groupBy("root").count().collect()
     assert {(r.root, r["count"]) for r in got} == {(0, 20_001), (30_000, 401)}
-    assert len(rounds) <= 15
+    assert len(kept) <= 30  # two a round
 
 
 def test_signatures_estimate_similarity():
