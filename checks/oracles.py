@@ -6,6 +6,8 @@ DuckDB's own regex engine, so they share only fixed values with the library.
 
 from __future__ import annotations
 
+import re
+
 from checks import planted as P
 from checks.queries import INLINE_RULES, LIMIT
 from siftline import catalogue as C
@@ -97,7 +99,9 @@ def long_corpus() -> str:
 
 
 def with_(*parts: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+    names = [part.split(" AS ", 1)[0].split("(")[0].strip() for part in parts]
+    recursive = any(re.search(rf"\b{name}\b", part.split(" AS ", 1)[1]) for name, part in zip(names, parts, strict=True))
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
 def static(rules: list[dict] = C.BUILTIN_RULES, marker: bool = True) -> list[str]:
@@ -484,6 +488,11 @@ ORACLES: dict[str, str] = {
     "parsed_rule_files": "SELECT CAST(doc_id AS VARCHAR) AS file, 'R' || doc_id AS id, 'low' AS severity, 'x' AS pattern,"
     " CAST(0 AS INTEGER) AS rule_ord FROM documents WHERE doc_id % 3 = 0"
     " UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Q', NULL, NULL, 2 FROM documents WHERE doc_id % 3 = 0",
+    "stored_responses": "SELECT CAST(doc_id AS VARCHAR) AS prompt_hash, md5(text) AS raw_text, 'p' AS provider, 'new' AS model"
+    " FROM documents WHERE length(text) % 5 <> 0",
+    "iso_timestamps": "SELECT doc_id, strftime(make_timestamp(doc_id * 86461001000), '%Y-%m-%dT%H:%M:%S.%gZ') AS text FROM documents",
+    "rejected_rule_files": "SELECT CAST(doc_id AS VARCHAR) AS file, CASE doc_id % 3 WHEN 0 THEN 'holds entries that are no rules' WHEN 1 THEN 'not JSON' ELSE 'no JSON array' END AS reason"
+    " FROM documents",
     "latest_responses": "SELECT source AS prompt_hash, md5(arg_max(text, doc_id)) AS raw_text, 'p' AS provider,"
     " arg_max(lang, doc_id) AS model FROM documents GROUP BY source",
     "completed_requests": "SELECT CAST(doc_id AS VARCHAR) AS prompt_hash, CASE WHEN length(text) % 7 <> 0"

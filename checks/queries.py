@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from siftline.functions.text import (
     at_least,
     category_slug,
     extension,
+    iso_timestamp,
     finding_id,
     is_script,
     sarif_level,
@@ -68,9 +70,11 @@ from siftline.operators.reviews import all_reviews, attach_reviews, keep_live_re
 from siftline.plans.scan import scan
 from siftline.sources.baseline import parse_baseline, signatures
 from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter
-from siftline.sources.responses import latest_responses
+from siftline.sources.responses import append_responses, latest_responses, read_responses
+from siftline.plans.materialize import shared_folder
 from siftline.sources.rules import (
     parse_rules,
+    rejected,
     apply_preset,
     builtin_rules,
     call_selectors,
@@ -416,6 +420,34 @@ def q_latest_responses(s: SparkSession, d: str) -> DataFrame:
     return latest_responses(stored)
 
 
+def q_stored_responses(s: SparkSession, d: str) -> DataFrame:
+    """Replies appended to a store twice, and read back: the later one of each prompt."""
+    docs = table(s, d, "documents")
+    place = f"{shared_folder(s)}/responses-{uuid.uuid4().hex}"
+    for model in ("old", "new"):
+        append_responses(
+            docs.select(
+                F.col("doc_id").cast("string").alias("prompt_hash"),
+                F.when(F.length("text") % 5 != 0, F.md5("text")).alias("raw_text"),
+                F.lit("p").alias("provider"), F.lit(model).alias("model"),
+            ),
+            place,
+        )
+    return read_responses(s, place)
+
+
+def q_iso_timestamps(s: SparkSession, d: str) -> DataFrame:
+    instant = F.timestamp_millis(F.col("doc_id") * 86_461_001)
+    return table(s, d, "documents").select("doc_id", iso_timestamp(instant).alias("text"))
+
+
+def q_rejected_rule_files(s: SparkSession, d: str) -> DataFrame:
+    """Rule files made of documents: a third with an entry that is null, a third cut off, a third no array."""
+    docs = table(s, d, "documents")
+    shape = F.when(F.col("doc_id") % 3 == 0, F.expr(RULE_FILE_TEXT)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("[{"), F.md5("text")))
+    return rejected(docs.select(F.col("doc_id").cast("string").alias("file"), shape.otherwise(F.col("text")).alias("value")))
+
+
 def q_completed_requests(s: SparkSession, d: str) -> DataFrame:
     """Requests answered in the tasks by a function that counts; one kind of prompt makes it raise."""
 
@@ -433,6 +465,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "custom_rules": q_custom_rules,
     "parsed_baselines": q_parsed_baselines,
     "parsed_rule_files": q_parsed_rule_files,
+    "stored_responses": q_stored_responses,
+    "iso_timestamps": q_iso_timestamps,
+    "rejected_rule_files": q_rejected_rule_files,
     "latest_responses": q_latest_responses,
     "completed_requests": q_completed_requests,
     # corpus and rules

@@ -46,9 +46,20 @@ class Call(NamedTuple):
         """Cut out only when asked for: the callees of a long chain hold one another."""
         return self.text[self.start : self.callee_end]
 
+    @property
+    def last_name(self) -> str:
+        """The callee after its last dot."""
+        dot = self.text.rfind(".", self.start, self.callee_end)
+        return self.text[self.start if dot < 0 else dot + 1 : self.callee_end]
+
     def ends_in(self, name: str) -> bool:
         return self.text.endswith(name, self.start, self.callee_end)
 
+    def targets(self, name: str) -> bool:
+        """The callee is the name or ends in it after a dot."""
+        before = self.callee_end - len(name)
+        return self.ends_in(name) and (before == self.start or self.text[before - 1] == ".")
+
 
 class _Operand(NamedTuple):
     """The expression that ends at the last token."""

@@ -100,6 +100,11 @@ def title_with_scenario(title: Column, scenario: Column) -> Column:
     return F.when(has_scenario, F.concat(title, F.lit(C.TITLE_SCENARIO_SEPARATOR), scenario)).otherwise(title)
 
 
+def iso_timestamp(instant: Column) -> Column:
+    """An instant as ISO 8601 text in UTC with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def context(lines: Column, line: Column, radius: int) -> Column:
     """Lines around a 1-based line, clipped to the text."""
     start = F.greatest(F.lit(1), line - radius)

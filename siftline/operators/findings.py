@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftline import catalogue as C
 from siftline.functions.finder import find_lines
 from siftline.functions.text import at_least, is_script, signature
-from siftline.operators.calls import call_rules, calls_target, find_sites, scan_calls
+from siftline.operators.calls import call_rules, find_sites, scan_calls
 from siftline.operators.match import (
     CALL_ENGINE,
     REGEX_ENGINE,
@@ -43,7 +43,7 @@ def _joint_pass(
     calls: list[tuple[int, dict, str]],
     marker: str,
 ) -> DataFrame:
-    targets = sorted({target for _, _, target in calls})
+    targets = [target for _, _, target in calls]
     looked_at = corpus.select(
         "path",
         find_lines(F.col("content"), searches).alias("lines"),
@@ -56,13 +56,12 @@ def _joint_pass(
             call_no.alias("call_no"), tests.alias("tests"),
         )
 
-    def named(callee: Column) -> Column:
+    def after_regex(tests: Column) -> Column:
         """Numbers of the call rules, after those of the regex rules."""
-        tests = [F.when(calls_target(callee, t), F.lit(len(regex) + i)) for i, (_, _, t) in enumerate(calls)]
-        return F.filter(F.array(*tests), F.isnotnull)
+        return F.transform(tests, lambda i: i + len(regex))
 
     lines = F.transform("lines", lambda x: place(REGEX_ENGINE, x, "line", F.lit(0), x["found"]))
-    sites = F.transform("sites", lambda x: place(CALL_ENGINE, x, "text", x["call_no"], named(x["callee"])))
+    sites = F.transform("sites", lambda x: place(CALL_ENGINE, x, "text", x["call_no"], after_regex(x["tests"])))
     found = looked_at.select("path", F.inline(F.concat(lines, sites)))
     found = found.select("path", "engine", "line_no", "text", "call_no", F.explode("tests").alias("test"))
     found = found.filter(confirmed([r for _, r in regex]))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import sarif_level
+from siftline.functions.text import iso_timestamp, sarif_level
 from siftline.operators.reviews import attach_reviews
 from siftline.plans.materialize import keep
 from siftline.schemas import FINDING_ORDER
@@ -158,8 +158,7 @@ def _document(parts: list[DataFrame]) -> DataFrame:
 
 
 def _now() -> Column:
-    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
-    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return iso_timestamp(F.current_timestamp())
 
 
 def json_lines(

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
-from urllib.parse import unquote
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from siftline import catalogue as C
 from siftline.functions.globs import glob_regex, name_glob
 from siftline.sources.files import Place, all_files, locate
+from siftline.sources.listing import can_list, files_below, store_of
 from siftline.sources.local import table_of
 
 MAX_BYTES = 2**31 - 1 - 1024
@@ -47,9 +46,9 @@ def read_corpus(
     """
     place, reader = _reader(spark, root, include)
     seen = files_as_corpus(reader.load(root), place)
-    other = passed_over(spark, root, place, MAX_BYTES)
+    other = passed_over(spark, root, place, MAX_BYTES, include, exclude)
     if place.is_dir and include is not None:
-        seen, other = path_filter(seen, include, exclude), path_filter(other, include, exclude)
+        seen = path_filter(seen, include, exclude)
     return seen.unionByName(read_or_fail(other))
 
 
@@ -66,14 +65,13 @@ def read_files(
     ``root`` that is a single file.  Bytes that are not UTF-8 become U+FFFD.
 
     Spark's reader passes over empty files and names that start with an underscore
-    or a dot.  Those are listed on the driver and read in the tasks by Arrow's file
-    systems; where Arrow does not know the store they are among ``unread``, as are
+    or a dot.  Those are listed and read in the tasks by Arrow's file systems; where Arrow does not know the store they are among ``unread``, as are
     files of more than ``max_bytes``.  Asking for ``unread`` reads the files again.
     """
     place, reader = _reader(spark, root, include)
     listed = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
     seen = files_as_corpus(listed.where(F.col("length") <= max_bytes), place)
-    other = _read_passed_over(passed_over(spark, root, place, max_bytes))
+    other = _read_passed_over(passed_over(spark, root, place, max_bytes, include, exclude))
     long = listed.where(F.col("length") > max_bytes).select("path", F.lit("too long").alias("reason"))
     skipped = listed.where(F.col("length") <= max_bytes).select("path")
     skipped = skipped.join(listed.where(F.col("content").isNotNull()).select("path"), "path", "left_anti")
@@ -96,15 +94,33 @@ def _reader(spark: SparkSession, root: str, include: list[str] | None) -> tuple[
     return place, reader
 
 
-def passed_over(spark: SparkSession, root: str, place: Place, max_bytes: int) -> DataFrame:
-    """(uri, path, length) of the files Spark's reader does not list."""
-    rows = []
-    for uri, full, length in all_files(spark, root):
-        path = full[len(place.path) + 1 :] if place.is_dir else full
-        parts = path.split("/") if place.is_dir else [full.rsplit("/", 1)[-1]]
-        if not length or any(p[0] == "." or (p[0] == "_" and "=" not in p) for p in parts):
-            rows.append({"uri": uri, "path": path, "length": length if length <= max_bytes else -1})
-    return table_of(spark, rows, "uri string, path string, length bigint")
+def passed_over(
+    spark: SparkSession,
+    root: str,
+    place: Place,
+    max_bytes: int,
+    include: list[str] | None = None,
+    exclude: list[str] | None = None,
+) -> DataFrame:
+    """(uri, path, length) of the files Spark's reader does not list, that the globs select.
+
+    Listed in the tasks; on the driver only where Arrow does not know the store, as its
+    files cannot be read by the tasks either.
+    """
+    if place.is_dir and can_list(spark, root):
+        files = files_below(spark, root, exclude if include is not None else None)
+    else:
+        rows = []
+        for uri, full, length in all_files(spark, root):
+            path = full[len(place.path) + 1 :] if place.is_dir else full
+            rows.append({"uri": uri, "path": path, "length": length})
+        files = table_of(spark, rows, "uri string, path string, length bigint")
+    if place.is_dir and include is not None:
+        files = path_filter(files, include, exclude)
+    name = F.col("path") if place.is_dir else F.regexp_replace("path", "^.*/", "")
+    hidden = name.rlike(r"(?:^|/)(?:\.|_[^=/]*(?:/|$))")
+    length = F.when(F.col("length") <= max_bytes, F.col("length")).otherwise(F.lit(-1))
+    return files.where((F.col("length") == 0) | hidden).withColumn("length", length)
 
 
 def _read_passed_over(files: DataFrame) -> DataFrame:
@@ -118,8 +134,7 @@ def _read_passed_over(files: DataFrame) -> DataFrame:
                     if length < 0:
                         raise ValueError("too long")
                     if length:
-                        local = uri.removeprefix("file:") if uri.startswith("file:/") else None
-                        store, place = (LocalFileSystem(), unquote(local)) if local else FileSystem.from_uri(uri)
+                        store, place = store_of(uri)
                         with store.open_input_stream(place) as stream:
                             content = stream.read().decode("utf-8", "replace")
                 except Exception as error:  # noqa: BLE001 - whatever went wrong is the reason

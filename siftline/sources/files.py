@@ -27,6 +27,12 @@ def locate(spark: SparkSession, location: str, names: bool = False) -> Place | N
     return Place(files.makeQualified(path).toUri().getPath().rstrip("/"), is_dir, below)
 
 
+def uri_of(spark: SparkSession, location: str) -> str:
+    """The full URI of a location, as Spark itself has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+
+
 def all_files(spark: SparkSession, location: str) -> Iterator[tuple[str, str, int]]:
     """(URI, path without scheme and host, bytes) of every file at or below a location, hidden ones too."""
     path = spark._jvm.org.apache.hadoop.fs.Path(location)

@@ -30,8 +30,8 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
 def read_rules(spark: SparkSession, location: str) -> DataFrame:
     """Rules of one JSON file, or of every ``*.json`` in a directory in name order.
 
-    A missing place gives no rules.  A file that is not a JSON array is left out;
-    the other files still count.
+    A missing place gives no rules.  A file that is not a JSON array is left out, and
+    named by :func:`rejected_rules`; the other files still count.
     """
     place = locate(spark, location)
     if place is None:
@@ -42,6 +42,23 @@ def read_rules(spark: SparkSession, location: str) -> DataFrame:
     return parse_rules(files).withColumn("pack_ord", pack).drop("file").select(*ORDERED_RULE.fieldNames())
 
 
+def rejected_rules(spark: SparkSession, location: str) -> DataFrame:
+    """(file, reason) of the rule files that ``read_rules`` leaves out, as a whole or in part."""
+    place = locate(spark, location)
+    if place is None:
+        return table_of(spark, [], "file string, reason string")
+    reader = spark.read.option("pathGlobFilter", "*.json") if place.is_dir else spark.read
+    return rejected(reader.text(location, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    """(file, reason) of files given as (file, value) that hold no rules, or entries that are none."""
+    rules = F.from_json("value", "array<" + RULE.simpleString() + ">")
+    reason = F.when(~F.ltrim("value").startswith("["), "no JSON array").when(rules.isNull(), "not JSON")
+    reason = reason.when(F.exists(rules, F.isnull), "holds entries that are no rules")
+    return files.select("file", reason.alias("reason")).where("reason is not null")
+
+
 def parse_rules(files: DataFrame) -> DataFrame:
     """Rules of rule files given as (file, value), with ``rule_ord``, their place in the file."""
     rules = F.from_json("value", "array<" + RULE.simpleString() + ">")

@@ -4,7 +4,7 @@ The scan looks at each file on its own, so it runs unchanged on a stream and
 keeps no state; the baseline is a fixed table.
 
 Spark's file source passes over empty files and names that start with an
-underscore or a dot.  The driver lists those when a stream starts and, where it
+underscore or a dot.  Those are listed in the tasks when a stream starts and, where it
 goes on, every ``relist_seconds``.  Names not listed before are appended to a
 table below the checkpoint, which is a second source of the same query: each row
 of it is read once, in the tasks.  A file is known by its path, as in the file
@@ -63,15 +63,13 @@ def read_corpus_stream(
 
 def list_passed_over(spark: SparkSession, files: FileStream, location: str) -> None:
     """Append the files Spark does not list, and that the table does not have, to the table."""
-    found = passed_over(spark, files.root, locate(spark, files.root), MAX_BYTES)
-    if files.include is not None:
-        found = path_filter(found, files.include, files.exclude)
+    found = passed_over(spark, files.root, locate(spark, files.root), MAX_BYTES, files.include, files.exclude)
     if locate(spark, location) is not None:
         known = spark.read.schema(_PASSED_OVER).json(location).select("path", (F.col("length") == 0).alias("empty"))
         found = found.withColumn("empty", F.col("length") == 0).join(known, ["path", "empty"], "left_anti").drop("empty")
         if found.isEmpty():
             return
-    found.coalesce(1).write.mode("append").json(location)
+    found.write.mode("append").json(location)
 
 
 def watch(

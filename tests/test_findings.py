@@ -214,3 +214,16 @@ def test_the_corpus_is_read_once_for_both_engines(corpus):
     plan = static_findings(corpus(a_js="x"), RULES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert "Exchange" not in plan
+
+
+def test_many_selectors_are_joined_not_listed(corpus):
+    from siftline.operators.calls import scan_calls
+
+    rules = [{"id": f"R{i}", "type": "ast", "selector": f"call:name{i}", "severity": "low"} for i in range(5000)]
+    rules += [{"id": "DOTTED", "type": "ast", "selector": "call:lib.name7", "severity": "low"}]
+    files = corpus(a_js="name7(1); x.lib.name7(2)\nxname7(3); name7.other(); lib\n.name7(4)", b_py="name7(1)")
+    called = scan_calls(files, rules)
+    assert "BroadcastHashJoin" in called._jdf.queryExecution().executedPlan().toString()
+    for found_ in (called, static_findings(files, [*rules, RULES[0]])):
+        assert found_._jdf.queryExecution().optimizedPlan().toString().count("name4999") <= 2  # a constant row
+        assert found(found_) == [("a.js", 1, "DOTTED"), ("a.js", 1, "R7"), ("a.js", 1, "R7"), ("a.js", 2, "R7")]

@@ -20,6 +20,7 @@ from siftline.sources.rules import (
     filter_rules,
     presets,
     read_rules,
+    rejected_rules,
     rule_list,
     rules_from,
     rules_of,
@@ -137,6 +138,10 @@ def test_rule_directory_skips_only_broken_files(spark, tmp_path):
     pack = read_rules(spark, str(tmp_path))
     assert ids(pack) == ["FIRST", "CUSTOM-001", "CUSTOM-002"]
     assert rule_list(pack)[1]["tags"] == ["custom"]
+    (tmp_path / "mixed.json").write_text(json.dumps([{**rule, "id": "LAST"}, None]))
+    got = {r.file.rsplit("/", 1)[-1]: r.reason for r in rejected_rules(spark, str(tmp_path)).collect()}
+    assert got == {"object.json": "no JSON array", "broken.json": "not JSON", "mixed.json": "holds entries that are no rules"}
+    assert rejected_rules(spark, str(tmp_path / "nowhere")).count() == 0
     assert ids(read_rules(spark, str(tmp_path / "b.json"))) == ["CUSTOM-001", "CUSTOM-002"]
 
 
@@ -288,3 +293,34 @@ def test_a_file_that_goes_after_the_listing_is_unread(spark, tmp_path):
     (tmp_path / "_a.py").unlink()
     assert files.corpus.count() == 0
     assert [r.path for r in files.unread.collect()] == ["_a.py"]
+
+
+def test_names_are_listed_in_the_tasks(spark, tmp_path, monkeypatch):
+    from siftline.sources import corpus as module
+    from siftline.sources.listing import _list, files_below
+
+    for i in range(100):
+        (tmp_path / ".git" / f"d{i}").mkdir(parents=True)
+        for j in range(100):
+            (tmp_path / ".git" / f"d{i}" / f"f{j}").touch()
+    (tmp_path / "deep" / "er d%20ir").mkdir(parents=True)
+    (tmp_path / "deep" / "er d%20ir" / "__init__.py").write_text("eval(x)")
+    (tmp_path / "deep" / "ok.js").write_text("y")
+    (tmp_path / "_a=b").mkdir()
+    (tmp_path / "_a=b" / "c.js").write_text("z")
+
+    def fail(*args):
+        raise AssertionError("listed on the driver")
+
+    monkeypatch.setattr(module, "all_files", fail)
+    files = read_files(spark, str(tmp_path), ["**/*.js", "**/*.py"], ["**/.git/**"])
+    assert {r.path: r.content for r in files.corpus.collect()} == {"deep/er d%20ir/__init__.py": "eval(x)", "deep/ok.js": "y", "_a=b/c.js": "z"}
+    assert files.unread.count() == 0
+    assert len(files.corpus._jdf.queryExecution().toString()) < 100_000
+    assert files_below(spark, str(tmp_path)).count() == 10_003
+    assert files_below(spark, str(tmp_path), ["**/.git/**"]).count() == 3
+
+    import pyarrow as pa
+
+    gone = pa.RecordBatch.from_pydict({"uri": [f"file:{tmp_path}/gone"], "path": ["gone"], "length": [0], "is_dir": [True]})
+    assert [b.to_pylist() for b in _list(iter([gone]))] == [[{"uri": f"file:{tmp_path}/gone", "path": "gone", "length": 1, "is_dir": False}]]
