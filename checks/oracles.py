@@ -483,6 +483,15 @@ ORACLES: dict[str, str] = {
     + 'SELECT grp AS "group", f.severity, count(*) AS n FROM findings f JOIN rules r ON f.rule_id = r.id GROUP BY ALL',
     "custom_rules": with_(corpus(), lines("corpus", "lines"), rule_rows(P.CUSTOM_RULES_RE2), regex_part(P.CUSTOM_RULES_RE2))
     + "SELECT rule_id, path, line FROM regex_findings",
+    "wide_rule_pack": with_(
+        "corpus AS (SELECT 'docs/' || doc_id || '.py' AS path, text AS content FROM documents)",
+        lines("corpus", "lines"),
+        "kept AS MATERIALIZED (SELECT * FROM lines WHERE NOT contains(lower(line), 'scan-ignore'))",
+        "words AS (SELECT DISTINCT path, line_no, lower(unnest(regexp_extract_all(line, '[A-Za-z0-9_]+'))) AS word FROM kept)",
+        "rules(word) AS (SELECT unnest([" + ", ".join(q(r["id"][2:]) for r in P.WIDE_PACK[:-1]) + "]))",
+    )
+    + "SELECT 'W-' || word AS rule_id, path, line_no AS line FROM words JOIN rules USING (word)"
+    + " UNION ALL SELECT 'TWICE', path, line_no FROM kept WHERE contains(lower(line), 'of o')",
     "parsed_baselines": "SELECT doc_id, 'S' || doc_id AS signature FROM documents WHERE doc_id % 5 < 3"
     " UNION ALL SELECT doc_id, 'T' FROM documents WHERE doc_id % 5 = 0",
     "parsed_rule_files": "SELECT CAST(doc_id AS VARCHAR) AS file, 'R' || doc_id AS id, 'low' AS severity, 'x' AS pattern,"

@@ -280,3 +280,12 @@ RULE_FILE_TEXT = (
     """CASE WHEN doc_id % 3 = 0 THEN '[{"id":"R' || doc_id || '","severity":"low","type":"regex","pattern":"x"},null,{"id":"Q"}]'"""
     """ WHEN doc_id % 3 = 1 THEN '{"id":"R"}' ELSE text END"""
 )
+
+
+SYLLABLES = "an at ble by ea ed en ent er es for ha he hi in ing int is it le nd ng nt on or ou re rely sh st th the ti tion to wh".split()
+# more rules than one search takes: two syllables as a word, numbers, and one without a word to look up
+WIDE_PACK = [
+    {"id": f"W-{word}", "type": "regex", "severity": "low", "pattern": rf"\b{word}\b"}
+    for word in [*dict.fromkeys(a + b for a in SYLLABLES for b in SYLLABLES), *map(str, range(100, 1000))]
+]
+WIDE_PACK.append({"id": "TWICE", "type": "regex", "severity": "low", "pattern": r"(?<=of )o"})

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.planted import BASELINE_TEXT, CUSTOM_RULES, RULE_FILE_TEXT, long_corpus, planted_corpus, planted_responses
+from checks.planted import BASELINE_TEXT, CUSTOM_RULES, RULE_FILE_TEXT, WIDE_PACK, long_corpus, planted_corpus, planted_responses
 from siftline import catalogue as C
 from siftline.config import ScanConfig
 from siftline.functions.redact import redact, redaction_changed
@@ -399,6 +399,11 @@ def q_custom_rules(s: SparkSession, d: str) -> DataFrame:
     return scan_regex(planted_corpus(s, d), CUSTOM_RULES).select("rule_id", "path", "line")
 
 
+def q_wide_rule_pack(s: SparkSession, d: str) -> DataFrame:
+    """Some two thousand rules, found by the words they need, over the documents."""
+    return scan_regex(documents(s, d), WIDE_PACK).select("rule_id", "path", "line")
+
+
 def q_parsed_baselines(s: SparkSession, d: str) -> DataFrame:
     """Baseline documents of every layout, one made of each row of the table."""
     docs = table(s, d, "documents")
@@ -463,6 +468,7 @@ def q_completed_requests(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "custom_rules": q_custom_rules,
+    "wide_rule_pack": q_wide_rule_pack,
     "parsed_baselines": q_parsed_baselines,
     "parsed_rule_files": q_parsed_rule_files,
     "stored_responses": q_stored_responses,

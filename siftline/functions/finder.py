@@ -11,6 +11,50 @@ from pyspark.sql import functions as F
 from siftline.functions.patterns import re2_groups
 
 
+class WordIndex:
+    """An automaton over lower-case ASCII words, each with the numbers of the patterns that need it.
+
+    Built once per task, from the lists that travel with the query.
+    """
+
+    def __init__(self, words_of: dict[int, list[str]]):
+        self.numbers: dict[str, list[int]] = {}
+        for number, words in words_of.items():
+            for word in words:
+                self.numbers.setdefault(word, []).append(number)
+        self.sizes = np.fromiter(map(len, self.numbers.values()), np.int64, len(self.numbers))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.flat = np.fromiter((n for ns in self.numbers.values() for n in ns), np.int64, int(self.sizes.sum()))
+        self.automaton = None
+
+    def __bool__(self) -> bool:
+        return bool(self.numbers)
+
+    def search(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place of the last character, word) of all words in the texts, overlapping ones too."""
+        if self.automaton is None:
+            import ahocorasick  # needed for packs of many rules only
+
+            self.automaton = ahocorasick.Automaton()
+            for place, word in enumerate(self.numbers):
+                self.automaton.add_word(word, place)
+            self.automaton.make_automaton()
+        found: list[np.ndarray] = []
+        for number, text in enumerate(pc.ascii_lower(texts)):
+            if text.is_valid and (hits := list(self.automaton.iter(text.as_py()))):
+                at = np.array(hits, np.int64)
+                found.append(np.column_stack([np.full(len(at), number), at]))
+        table = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        return table[:, 0], table[:, 1], table[:, 2]
+
+    def patterns(self, lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, number) of the patterns that need the words found on the lines."""
+        pairs = np.unique(np.column_stack([lines, words]), axis=0)
+        lines, words = pairs[:, 0], pairs[:, 1]
+        sizes = self.sizes[words]
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.repeat(lines, sizes), self.flat[np.repeat(self.starts[words], sizes) + inside]
+
 
 def _any(texts: pa.Array, regexes: list[str]) -> pa.Array:
     """Is one of the RE2 patterns found?  Null for a null text."""
@@ -31,9 +75,13 @@ def found_in(text: Column, patterns: list[str]) -> Column:
     return find.asNondeterministic()(text)  # see find_lines
 
 
-def find_lines(content: Column, patterns: list[str], every: int = 0) -> Column:
+def find_lines(content: Column, patterns: list[str | list[str]], every: int = 0) -> Column:
     """Lines of a text on which one of the RE2 patterns is found, ignoring case.
 
+    A pattern given as a list of lower-case ASCII words is found where one of the
+    words is.  All such words are looked up by one automaton in one walk over the
+    text, so the time does not grow with the number of patterns.
+
     Gives ``array<struct<line_no, line, found>>`` in line order, where ``found``
     lists the places of the patterns in the list.  With ``every`` each
     ``every``-th line comes too, starting with the first.  Whole Arrow batches are
@@ -41,33 +89,61 @@ def find_lines(content: Column, patterns: list[str], every: int = 0) -> Column:
     together, then each pattern on the lines that are left.  An empty pattern is
     found on every line.
     """
-    groups = re2_groups(patterns)
+    searched = {i: p for i, p in enumerate(patterns) if isinstance(p, str)}
+    index = WordIndex({i: p for i, p in enumerate(patterns) if not isinstance(p, str)})
+    groups = re2_groups(list(searched.values()))
     whole = [f"(?m)(?:{g})" for g in groups]
 
     @F.arrow_udf("array<struct<line_no:int,line:string,found:array<int>>>")
     def find(texts: pa.Array) -> pa.Array:
+        text_no, place, word = index.search(texts) if index else (np.zeros(0, np.int64),) * 3
         if not every:  # a text without a match on any line need not be split
-            texts = pc.if_else(_any(texts, whole), texts, None)
+            worth = np.zeros(len(texts), bool)
+            worth[text_no] = True
+            worth = pa.array(worth)
+            texts = pc.if_else(pc.or_(_any(texts, whole), worth) if whole else worth, texts, None)
         lines = pc.split_pattern(texts, "\n")
         bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy())])
         flat = lines.flatten()
-        hits = pc.fill_null(_any(flat, groups), False).to_numpy(zero_copy_only=False)
+        hits = np.zeros(len(flat), bool)
+        if groups:
+            hits = pc.fill_null(_any(flat, groups), False).to_numpy(zero_copy_only=False)
+        line_of_word = _line_of(flat, bounds, text_no, place)
         text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
         line_no = np.arange(len(flat)) - bounds[text_of] + 1
+        chosen = hits.copy()
+        chosen[line_of_word] = True
         if every:
-            hits = hits | ((line_no - 1) % every == 0)
-        at = np.flatnonzero(hits)
+            chosen |= (line_no - 1) % every == 0
+        at = np.flatnonzero(chosen)
         kept = flat.take(pa.array(at))
-        rows = pa.StructArray.from_arrays(
-            [pa.array(line_no[at], pa.int32()), kept, _found(kept)], names=["line_no", "line", "found"]
-        )
+        found = _found(kept, np.searchsorted(at, line_of_word), word)
+        rows = pa.StructArray.from_arrays([pa.array(line_no[at], pa.int32()), kept, found], names=["line_no", "line", "found"])
         return _lists(np.bincount(text_of[at], minlength=len(texts)), rows)
 
-    def _found(kept: pa.Array) -> pa.Array:
+    def _line_of(flat: pa.Array, bounds: np.ndarray, text_no: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The place in ``flat`` of the line that holds a character of a text."""
+        if not len(place):
+            return np.zeros(0, np.int64)
+        ends = np.cumsum(pc.utf8_length(flat).to_numpy().astype(np.int64) + 1)
+        first = np.concatenate([[0], ends])[bounds[text_no]]
+        return np.searchsorted(ends, first + place, side="right")
+
+    def _found(kept: pa.Array, word_line: np.ndarray, word: np.ndarray) -> pa.Array:
         """For each line the numbers of the patterns found on it."""
-        per_pattern = [pc.match_substring_regex(kept, p, ignore_case=True).to_numpy(zero_copy_only=False) for p in patterns]
-        line, number = np.nonzero(np.column_stack(per_pattern))
-        return _lists(np.bincount(line, minlength=len(kept)), pa.array(number, pa.int32()))
+        lines, numbers = [], []
+        for number, pattern in searched.items():
+            on = np.flatnonzero(pc.match_substring_regex(kept, pattern, ignore_case=True).to_numpy(zero_copy_only=False))
+            lines.append(on)
+            numbers.append(np.full(len(on), number))
+        if len(word):
+            by_word = index.patterns(word_line, word)
+            lines.append(by_word[0])
+            numbers.append(by_word[1])
+        line = np.concatenate(lines) if lines else np.zeros(0, np.int64)
+        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        pairs = np.unique(np.column_stack([line, number]).astype(np.int64), axis=0)
+        return _lists(np.bincount(pairs[:, 0], minlength=len(kept)), pa.array(pairs[:, 1], pa.int32()))
 
     def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)

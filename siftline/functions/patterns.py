@@ -126,6 +126,22 @@ def _boundary(pattern: str, i: int, after_word: bool, dialect: dict) -> str:
     return dialect["outside"]["b"]
 
 
+def check_patterns(spark: SparkSession, named: list[tuple[str, str]]) -> None:
+    """Raise an error that names the first (rule, pattern) whose pattern is not a regex.
+
+    Long lists are compiled in one query first, and one by one only if that fails.
+    """
+    if len(named) > GROUP:
+        rows = spark.createDataFrame(pa.table({"pattern": [rule_regex(p) for _, p in named]}))
+        try:
+            rows.where("'' RLIKE pattern").count()
+            return
+        except Exception:  # noqa: BLE001, S110 - the patterns tell which one it was
+            pass
+    for rule_id, pattern in named:
+        check_pattern(spark, rule_id, pattern)
+
+
 def check_pattern(spark: SparkSession, rule_id: str, pattern: str) -> None:
     """Raise an error that names the rule when its pattern is not a regex."""
     try:
@@ -149,11 +165,18 @@ def search_pattern(pattern: str) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+def index_words(pattern: str) -> list[str]:
+    """Words for an index of rules: each match holds at least one; empty if none are known that are long enough."""
+    words = required_words(pattern)
+    return words if words and min(map(len, words)) >= INDEXED_LENGTH else []
+
+
 def either(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
 GROUP = 200  # patterns tried as one; a larger group only takes longer to halve
+INDEXED_LENGTH = 3  # shorter words stand on too many lines to tell rules apart
 
 
 def re2_groups(patterns: list[str]) -> list[str]:
@@ -181,7 +204,7 @@ def re2_accepts(pattern: str) -> bool:
 
 def required_words(pattern: str) -> list[str]:
     """Lower-case ASCII words of which every match holds at least one; empty if unknown."""
-    if _sre_parser is None:
+    if _sre_parser is None or re.search(r"\\[aN]", pattern):  # escapes of Python, letters in ECMAScript
         return []
     try:
         with warnings.catch_warnings():

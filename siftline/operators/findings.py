@@ -39,7 +39,7 @@ def static_findings(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE
 def _joint_pass(
     corpus: DataFrame,
     regex: list[tuple[int, dict]],
-    searches: list[str],
+    searches: list[str | list[str]],
     calls: list[tuple[int, dict, str]],
     marker: str,
 ) -> DataFrame:

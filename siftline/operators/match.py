@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from siftline import catalogue as C
 from siftline.functions.finder import find_lines
 from siftline.functions.lines import not_suppressed
-from siftline.functions.patterns import check_pattern, rule_regex, search_pattern
+from siftline.functions.patterns import GROUP, check_patterns, index_words, rule_regex, search_pattern
 from siftline.functions.text import trim_ws
 from siftline.operators.lines import explode_lines
 
 REGEX_ENGINE, CALL_ENGINE, DISCOVERY_ENGINE = 0, 1, 2
 
 
-def regex_rules(rules: list[dict]) -> list[tuple[int, dict, str]]:
-    """(rule number, rule, what RE2 searches for) of the rules that have a pattern."""
+RegexRule = tuple[int, dict, str | list[str]]
+
+
+def regex_rules(rules: list[dict]) -> list[RegexRule]:
+    """(rule number, rule, what is searched for) of the rules that have a pattern.
+
+    RE2 searches for the rules of a small pack.  With more than ``GROUP`` rules those
+    that need a word are indexed by it, and RE2 searches for the others.
+    """
     chosen = [(k, r) for k, r in enumerate(rules) if r["type"] == "regex" and r.get("pattern")]
-    return [(k, r, search_pattern(r["pattern"])) for k, r in chosen]
+    indexed = len(chosen) > GROUP
+    return [(k, r, indexed and index_words(r["pattern"]) or search_pattern(r["pattern"])) for k, r in chosen]
 
 
 def scan_regex(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARKER) -> DataFrame:
@@ -31,7 +39,7 @@ def scan_regex(corpus: DataFrame, rules: list[dict], marker: str = C.IGNORE_MARK
     return scan_numbered(corpus, regex_rules(rules), marker)
 
 
-def scan_numbered(corpus: DataFrame, rules: list[tuple[int, dict, str]], marker: str) -> DataFrame:
+def scan_numbered(corpus: DataFrame, rules: list[RegexRule], marker: str) -> DataFrame:
     check_rules(corpus, rules)
     if not rules:
         return _no_findings(corpus)
@@ -40,22 +48,26 @@ def scan_numbered(corpus: DataFrame, rules: list[tuple[int, dict, str]], marker:
     return _regex_findings(tried.filter(confirmed([r for _, r, _ in rules])), rules, marker)
 
 
-def check_rules(corpus: DataFrame, rules: list[tuple[int, dict, str]]) -> None:
+def check_rules(corpus: DataFrame, rules: list[RegexRule]) -> None:
     """Raise an error that names the first rule whose pattern is not a regex."""
-    for _, rule, _ in rules:
-        check_pattern(corpus.sparkSession, rule["id"], rule["pattern"])
+    check_patterns(corpus.sparkSession, [(r["id"], r["pattern"]) for _, r, _ in rules])
 
 
-def _regex_findings(tried: DataFrame, rules: list[tuple[int, dict, str]], marker: str) -> DataFrame:
+def _regex_findings(tried: DataFrame, rules: list[RegexRule], marker: str) -> DataFrame:
     numbered = [(k, r) for k, r, _ in rules]
     return findings_of(tried, numbered, marker, F.lit(REGEX_ENGINE), F.col("rule_no"), F.col("line_no"))
 
 
 def confirmed(rules: list[dict]) -> Column:
-    """Does the rule RE2 picked, the one in ``test``, match as ECMAScript has it?
+    """Does the rule that was picked, the one in ``test``, match as ECMAScript has it?
 
-    The rules are constants of the query: each pattern is compiled once per task.
+    The rules are constants of the query.  Up to ``GROUP`` patterns are compiled once
+    per task; those of larger packs are looked up by number and compiled where they
+    are tried, so the plan does not grow with the pack.
     """
+    if len(rules) > GROUP:
+        patterns = F.from_json(F.lit(json.dumps([rule_regex(r["pattern"]) for r in rules])), "array<string>")
+        return (F.col("test") >= len(rules)) | F.rlike(F.col("text"), F.get(patterns, F.col("test")))
     cases = " ".join(f"WHEN {i} THEN {rule_matches(r)}" for i, r in enumerate(rules))
     return F.expr(f"CASE test {cases} ELSE true END")
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from siftline import catalogue as C
 from siftline.functions.globs import expand_braces, glob_regex, name_glob
-from siftline.functions.patterns import any_of, required_words, search_pattern, to_java, to_re2
-from siftline.operators.match import scan_regex
+from siftline.functions.patterns import GROUP, any_of, index_words, required_words, search_pattern, to_java, to_re2
+from siftline.operators.findings import static_findings
+from siftline.operators.lines import explode_lines
+from siftline.operators.match import rule_matches, scan_regex
 
 
 def java_matches(spark, pattern, texts):
@@ -130,3 +132,47 @@ def test_a_thousand_rules_read_the_corpus_once(spark, tmp_path):
     found = scan_regex(spark.read.parquet(place), rules)
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted((r.rule_id, r.line) for r in found.collect()) == [("LOOK", 2), ("R7", 1), ("R999", 1)]
+
+
+def low(patterns):
+    return [{"id": f"R{i}", "type": "regex", "severity": "low", "pattern": p} for i, p in enumerate(patterns)]
+
+
+def test_a_large_pack_finds_what_each_rule_finds_alone(spark):
+    from checks.planted import CUSTOM_RULES, PLANTED_LINES
+
+    few = [r["pattern"] for r in [*C.BUILTIN_RULES, *CUSTOM_RULES] if r["type"] == "regex" and r.get("pattern")]
+    few += [r"\aBCD", r"(?<=z)z", "ab", "abc", "bcd|cde", "ÄÖabc", r"x\x2Dray", r"foo[\s]bar", r"(abc|abd)e", "KEYS", "^$"]
+    patterns = few + [rf"\bw{i}\b" for i in range(GROUP)]
+    texts = ["\n".join(PLANTED_LINES), "", None, "\n", "ÄÖABC İabcde\nzz abd\nx-RAY é w7 w7 w77", "w199\r\nfoo\u3000bar", "K\u017feys keyſ KEYS", "aBCD\n\n" + "é😀 " * 5000 + "abcd\nw12"]
+    docs = spark.createDataFrame([(f"{i}.txt", t) for i, t in enumerate(texts)], "path string, content string")
+    lines = explode_lines(docs).selectExpr("path", "line_no", "line AS text")
+    alone = set()
+    tests = [F.expr(rule_matches(r)).alias(r["id"]) for r in low(patterns)]
+    for row in lines.select("path", "line_no", *tests).collect():
+        alone |= {(row.path, row.line_no, f"R{i}") for i in range(len(patterns)) if row[f"R{i}"]}
+    lines_of_marker = {(r.path, r.line_no) for r in lines.filter("lower(text) LIKE '%scan-ignore%'").collect()}
+    got = [(r.path, r.line, r.rule_id) for r in scan_regex(docs, low(patterns)).collect()]
+    assert len(got) == len(set(got))
+    assert {g for g in got if g[:2] not in lines_of_marker} == {a for a in alone if a[:2] not in lines_of_marker}
+    assert {f"R{i}" for i in range(len(few))} - {r for _, _, r in got} == {"R" + str(i) for i in range(len(few)) if f"R{i}" not in {r for _, _, r in alone}}
+
+
+def test_words_of_an_index_are_long_enough_and_read_as_ecmascript():
+    assert index_words("ab") == []
+    assert index_words(r"\abcd") == []
+    assert sorted(index_words("(?:curl|wget) http")) == [" http"]
+    assert index_words("x*") == []
+
+
+def test_twenty_thousand_rules_add_nothing_to_the_plan(corpus):
+    def plan(n):
+        found = static_findings(docs, [*low([rf"\bword{i}\b" for i in range(n)]), {"id": "C", "type": "ast", "severity": "low", "selector": "call:run"}])
+        return found, found._jdf.queryExecution().executedPlan()
+
+    docs = corpus(a_js="word7 word19999\nWORD200 word20000 run(1)", b_txt="word")
+    found, large = plan(20_000)
+    assert sorted((r.rule_id, r.line) for r in found.collect()) == [("C", 2), ("R19999", 1), ("R200", 2), ("R7", 1)]
+    assert large.toString().count("RLIKE") == plan(300)[1].toString().count("RLIKE")
+    with pytest.raises(ValueError, match="R250"):
+        scan_regex(docs, low(["ok"] * 250 + ["(abc"]))
