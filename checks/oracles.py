@@ -492,6 +492,13 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT 'W-' || word AS rule_id, path, line_no AS line FROM words JOIN rules USING (word)"
     + " UNION ALL SELECT 'TWICE', path, line_no FROM kept WHERE contains(lower(line), 'of o')",
+    "file_scanner": with_(
+        "corpus AS (SELECT 'docs/' || doc_id || '.py' AS path, text AS content FROM documents)",
+        lines("corpus", "lines"),
+        "failed AS (SELECT DISTINCT path FROM lines WHERE starts_with(line, 'Is '))",
+    )
+    + "SELECT path, 'T' AS rule_id, line_no AS line, line AS snippet, NULL AS reason FROM lines WHERE starts_with(line, 'T')"
+    + " AND path NOT IN (SELECT path FROM failed) UNION ALL SELECT path, NULL, NULL, NULL, 'a line with Is' FROM failed",
     "parsed_baselines": "SELECT doc_id, 'S' || doc_id AS signature FROM documents WHERE doc_id % 5 < 3"
     " UNION ALL SELECT doc_id, 'T' FROM documents WHERE doc_id % 5 = 0",
     "parsed_rule_files": "SELECT CAST(doc_id AS VARCHAR) AS file, 'R' || doc_id AS id, 'low' AS severity, 'x' AS pattern,"

@@ -289,3 +289,15 @@ WIDE_PACK = [
     for word in [*dict.fromkeys(a + b for a in SYLLABLES for b in SYLLABLES), *map(str, range(100, 1000))]
 ]
 WIDE_PACK.append({"id": "TWICE", "type": "regex", "severity": "low", "pattern": r"(?<=of )o"})
+
+
+def capital_scanner():
+    """Lines that start with T; gives up on texts with a line that starts with "Is "."""
+
+    def scan(path: str, content: str) -> list[dict]:
+        lines = content.split("\n")
+        if any(line.startswith("Is ") for line in lines):
+            raise ValueError("a line with Is")
+        return [{"rule_id": "T", "line": i, "snippet": line} for i, line in enumerate(lines, 1) if line.startswith("T")]
+
+    return scan

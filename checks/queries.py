@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.planted import BASELINE_TEXT, CUSTOM_RULES, RULE_FILE_TEXT, WIDE_PACK, long_corpus, planted_corpus, planted_responses
+from checks.planted import BASELINE_TEXT, CUSTOM_RULES, RULE_FILE_TEXT, WIDE_PACK, capital_scanner, long_corpus, planted_corpus, planted_responses
 from siftline import catalogue as C
 from siftline.config import ScanConfig
 from siftline.functions.redact import redact, redaction_changed
@@ -67,6 +67,7 @@ from siftline.operators.requests import (
     with_context,
 )
 from siftline.operators.reviews import all_reviews, attach_reviews, keep_live_reviews, last_review
+from siftline.operators.scanners import FileScanner, scan_files
 from siftline.plans.scan import scan
 from siftline.sources.baseline import parse_baseline, signatures
 from siftline.sources.corpus import corpus_from_table, dedupe_paths, limit_files, path_filter
@@ -404,6 +405,14 @@ def q_wide_rule_pack(s: SparkSession, d: str) -> DataFrame:
     return scan_regex(documents(s, d), WIDE_PACK).select("rule_id", "path", "line")
 
 
+def q_file_scanner(s: SparkSession, d: str) -> DataFrame:
+    """Findings of a scanner of single files, and the files it failed on."""
+    found, failed = scan_files(documents(s, d), [FileScanner("capitals", capital_scanner())])
+    found = found.select("path", "rule_id", "line", "snippet", F.lit(None).cast("string").alias("reason"))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("rule_id", "string"), ("line", "int"), ("snippet", "string"))]
+    return found.unionByName(failed.select("path", *nothing, "reason"))
+
+
 def q_parsed_baselines(s: SparkSession, d: str) -> DataFrame:
     """Baseline documents of every layout, one made of each row of the table."""
     docs = table(s, d, "documents")
@@ -469,6 +478,7 @@ def q_completed_requests(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "custom_rules": q_custom_rules,
     "wide_rule_pack": q_wide_rule_pack,
+    "file_scanner": q_file_scanner,
     "parsed_baselines": q_parsed_baselines,
     "parsed_rule_files": q_parsed_rule_files,
     "stored_responses": q_stored_responses,

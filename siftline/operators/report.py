@@ -161,17 +161,27 @@ def _now() -> Column:
     return iso_timestamp(F.current_timestamp())
 
 
+def _duration(ms: int | None) -> list[Column]:
+    return [] if ms is None else [F.lit(ms).cast("long").alias("durationMs")]
+
+
 def json_lines(
     findings: DataFrame,
     stats: DataFrame,
     reviews: DataFrame | None = None,
     review_stats: DataFrame | None = None,
     unread: DataFrame | None = None,
+    duration_ms: int | None = None,
+    review_ms: int | None = None,
 ) -> DataFrame:
-    """The JSON report; ``stats`` and ``review_stats`` hold one row, ``unread`` (path, reason) of files."""
+    """The JSON report; ``stats`` and ``review_stats`` hold one row, ``unread`` (path, reason) of files.
+
+    ``duration_ms`` and ``review_ms``, as a scan gives them, stand with the counts.
+    """
     findings = keep(findings)  # several sections read it
     names = {"files_scanned": "filesScanned", "issues_found": "issuesFound", "files_unread": "filesUnread"}
-    counts = F.to_json(F.struct(*[F.col(c).alias(name) for c, name in names.items() if c in stats.columns]))
+    fields = [F.col(c).alias(name) for c, name in names.items() if c in stats.columns]
+    counts = F.to_json(F.struct(*fields, *_duration(duration_ms)))
     head = F.concat(F.lit('{"date":"'), _now(), F.lit('","stats":'), counts)
     parts = [_fixed(stats, -3, head)]
     if unread is not None:
@@ -194,7 +204,7 @@ def json_lines(
     ]
     if review_stats is None:
         return _document([*parts, _fixed(_one(findings), 4, F.lit("]}}"))])
-    calls = F.to_json(F.struct("calls", F.col("cache_hits").alias("cacheHits"), "failures"))
+    calls = F.to_json(F.struct("calls", F.col("cache_hits").alias("cacheHits"), "failures", *_duration(review_ms)))
     tail = F.concat(F.lit('],"stats":'), calls, F.lit("}}"))
     return _document([*parts, _fixed(review_stats, 4, tail)])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from siftline.operators.requests import (
     review_requests,
 )
 from siftline.operators.reviews import all_reviews, keep_live_reviews
+from siftline.operators.scanners import FileScanner, scan_files
 from siftline.plans.materialize import keep
 from siftline.schemas import RESPONSE
 from siftline.sources.corpus import Files
@@ -43,6 +45,12 @@ class ScanResult:
     review_stats: DataFrame | None = None
     unread: DataFrame | None = None
     """(path, reason) of files that could not be read, where the scan was given :class:`Files`."""
+    scanner_errors: DataFrame | None = None
+    """(path, scanner, reason) of files a :class:`FileScanner` failed on, where the scan was given some."""
+    duration_ms: int = 0
+    """Time from the start of the scan until its findings (and replies of a reviewer) were kept."""
+    review_ms: int = 0
+    """The part of it that went into requests to the reviewer and their replies."""
 
 
 def scan(
@@ -53,22 +61,28 @@ def scan(
     responses: DataFrame | None = None,
     ask: Callable[[str, str], str] | None = None,
     store: str | None = None,
-    scanners: list[Callable[[DataFrame], DataFrame]] | None = None,
+    scanners: list[Callable[[DataFrame], DataFrame] | FileScanner] | None = None,
 ) -> ScanResult:
     """Scan a corpus, or the files of ``read_files``, whose unread ones are counted and returned.
 
-    Further ``scanners`` take the corpus and return findings of their own.
+    Further ``scanners`` take the corpus and return findings of their own, or look at
+    one file at a time (:class:`FileScanner`); those may fail on a file without harm
+    to the rest.
 
     With stored ``responses``, or with ``ask`` to get new ones, a model reviewer
     takes part: first it names further findings, then it comments on the findings
     the baseline leaves.  New replies are appended to ``store`` when it is given.
     """
+    started, review_ms = time.monotonic(), 0
     config = config or ScanConfig()
-    unread = None
+    unread = errors = None
     if isinstance(corpus, Files):
         corpus, unread = corpus.corpus, keep(corpus.unread)  # read by the counts and every report
     found = static_findings(corpus, config.choose(rules), config.marker)
-    found = all_findings(found, *[scanner(corpus) for scanner in scanners or []])
+    found = all_findings(found, *[s(corpus) for s in scanners or [] if not isinstance(s, FileScanner)])
+    if per_file := [s for s in scanners or [] if isinstance(s, FileScanner)]:
+        more, errors = scan_files(corpus, per_file)
+        found = all_findings(found, more)
     reviewed = responses is not None or ask is not None
     records, counts = [], []
 
@@ -77,7 +91,8 @@ def scan(
             corpus, config.mode, config.radius, config.marker, config.provider, config.model,
             config.redacted, config.max_files,
         )
-        answered = _answer(requests, responses, ask, config, store)
+        answered, spent = _timed(lambda: _answer(requests, responses, ask, config, store))
+        review_ms += spent
         found = all_findings(found, discovered_findings(answered))
         records.append(discovery_reviews(answered))
         counts.append(review_stats(answered, "discovery"))
@@ -87,10 +102,12 @@ def scan(
     found = keep(found)  # read by the counts, the review, the clean-up of records and every report
     if not reviewed:
         failed = gate(found, config.fail_on, config.include_discovered)
-        return ScanResult(found, scan_stats(corpus, found, unread), failed, unread=unread)
+        stats = scan_stats(corpus, found, unread)
+        return ScanResult(found, stats, failed, unread=unread, scanner_errors=errors, duration_ms=_ms_since(started))
 
     requests = review_requests(found, corpus, config.radius, config.provider, config.model, config.redacted)
-    answered = _answer(requests, responses, ask, config, store)
+    answered, spent = _timed(lambda: _answer(requests, responses, ask, config, store))
+    review_ms += spent
     records.append(review_records(answered))
     counts.append(review_stats(answered, "review"))
     return ScanResult(
@@ -100,9 +117,22 @@ def scan(
         keep_live_reviews(all_reviews(*records), found),
         sum_stats(*counts),
         unread,
+        errors,
+        _ms_since(started),
+        review_ms,
     )
 
 
+def _ms_since(start: float) -> int:
+    return int((time.monotonic() - start) * 1000)
+
+
+def _timed(step: Callable[[], DataFrame]) -> tuple[DataFrame, int]:
+    """What a step that keeps its result gives, and the milliseconds it took."""
+    start = time.monotonic()
+    return step(), _ms_since(start)
+
+
 def _answer(
     requests: DataFrame, responses: DataFrame | None, ask: Callable | None, config: ScanConfig, store: str | None
 ) -> DataFrame:

@@ -7,9 +7,10 @@ import pytest
 
 from siftline import catalogue as C
 from siftline.config import ScanConfig
-from siftline.operators.findings import order_findings
+from siftline.operators.findings import order_findings, scan_stats
 from siftline.operators.match import scan_regex
 from siftline.operators.report import json_lines, markdown_lines, sarif_lines, write_report
+from siftline.operators.scanners import FileScanner, scan_files
 from siftline.plans.scan import scan
 from siftline.sources.baseline import signatures
 from siftline.sources.corpus import read_corpus, read_files
@@ -195,3 +196,58 @@ def test_a_corpus_without_a_table_of_unread_files_fails_on_one(spark, tmp_path):
     (tmp_path / "_a.py").unlink()
     with pytest.raises(Exception, match="cannot read _a.py"):
         files.collect()
+
+
+def careful():
+    """Scanners that fail on some files; defined inside so that they travel to the tasks."""
+
+    def shouts(path, content):
+        for number, line in enumerate(content.split("\n"), 1):
+            if "!" in line:
+                yield {"rule_id": "LOUD", "severity": "high", "line": number, "snippet": line}
+            if line == "boom":
+                raise ValueError("cannot read boom")
+
+    def odd(path, content):
+        return [{"rule_id": "ODD", "line": "x"}] if path == "b.py" else [7] if path == "c.py" else None
+
+    return [FileScanner("shouts", shouts), FileScanner("odd", odd)]
+
+
+def test_a_scanner_that_fails_on_a_file_costs_that_file_only(spark):
+    rows = [("a.js", 'eval("1")!\nno\nyes!'), ("b.py", "hey!\nboom\neval(!"), ("c.py", ""), ("d.py", None), ("e.py", "!\n" * 3000)]
+    docs = spark.createDataFrame(rows, "path string, content string")
+    result = scan(docs, RULES, scanners=careful())
+    mine = [(r.path, r.line, r.k2) for r in result.findings.where("rule_id = 'LOUD'").orderBy("path", "line").collect()]
+    assert mine[:2] == [("a.js", 1, 0), ("a.js", 3, 1)]
+    assert mine[2:] == [("e.py", i, i - 1) for i in range(1, 3001)]
+    assert {(r.path, r.rule_id) for r in result.findings.where("engine < 3").collect()} >= {("a.js", "SEC-001"), ("b.py", "SEC-001")}
+    errors = {(r.path, r.scanner): r.reason for r in result.scanner_errors.collect()}
+    assert set(errors) == {("b.py", "shouts"), ("b.py", "odd"), ("c.py", "odd")}
+    assert errors["b.py", "shouts"] == "cannot read boom"
+    assert "not a finding" in errors["c.py", "odd"]
+    assert scan(docs, RULES).scanner_errors is None
+    nothing = scan_files(docs.limit(0), careful())
+    assert [part.count() for part in nothing] == [0, 0]
+
+
+def test_durations_of_a_scan_and_of_its_review(files, tmp_path):
+    result = scan(files, RULES, ask=ask)
+    assert 0 < result.review_ms <= result.duration_ms
+    rows = json_lines(result.findings, result.stats, result.reviews, result.review_stats, None, result.duration_ms, result.review_ms)
+    write_report(rows, str(tmp_path / "json"))
+    report = json.loads(text_of(tmp_path / "json"))
+    assert report["stats"]["durationMs"] == result.duration_ms
+    assert report["llm"]["stats"]["durationMs"] == result.review_ms
+    assert scan(files, RULES).review_ms == 0
+
+
+def test_counting_files_reads_no_text(spark, tmp_path):
+    place = str(tmp_path / "docs")
+    spark.createDataFrame([("a.js", "x"), ("b.js", "y")], "path string, content string").write.parquet(place)
+    docs = spark.read.parquet(place)
+    stats = scan_stats(docs, scan(docs, RULES).findings)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "ReadSchema: struct<>" in plan
+    assert stats.collect()[0].files_scanned == 2
