@@ -1,22 +1,24 @@
-"""Passages repeated across documents, by hashes of runs at minimiser positions.
+"""Passages repeated across documents, by sparse suffix arrays over minimiser positions.
 
 1. In every window of ``min_words`` words the run of ``anchor_words`` words with
    the smallest hash is the window's minimiser.  Suffixes are retained only where
    a minimiser starts, about one word in thirteen.  Equal windows have their
    minimiser at the same place, so no repeated window is missed.
-2. Retained suffixes are grouped by the 64-bit hash of their first ``anchor_words``
-   words; one whose hash occurs in another text is a hit.  Minima and maxima of the
-   texts per hash are summed up before the shuffle, also for one that very many
-   texts share.
-3. All windows that have a hit as their minimiser are grouped by hash: first as one
-   stretch, which copies share as a whole, and where no other text has that stretch,
-   window by window.  Overlapping windows that occur in another text as well are
-   joined to spans, as long as the match goes on.
-
-So suffixes are not sorted and compared with their neighbours, and matches are not
-walked left and right: grouping by hash stands for both.  It finds the same spans
-(but for collisions of hashes) without shuffling every suffix of a hot passage for a
-sort.  Figures are in the README; a sort with extension was not measured.
+2. Retained suffixes are sorted over all texts, by ranges: first by their first
+   ``anchor_words`` words, read as one letter (a 64-bit hash), then by text.  Equal
+   starts of different texts are neighbours then, so a suffix whose neighbour has the
+   same start is a hit.  A start that very many texts share lies in several ranges,
+   and where two ranges meet their edge rows, two a range, are compared once more.
+3. Hits are extended left and right, to all windows that have the hit as their
+   minimiser: first as far as they go together, as one stretch, which copies share as
+   a whole, and where no other text has that stretch, window by window.  Overlapping
+   windows that occur in another text as well are joined to spans, as long as the
+   match goes on.
+
+An extension is compared with those of all texts that share the start, by hash, not
+with the neighbours in the sort alone: of three texts the left side may agree with
+one and the right side with the other, and the neighbour of a suffix is the nearest
+on its right side only, so neighbours alone would miss windows.
 
 Words are those of the lower-cased (A-Z) text between ASCII white space.  A text
 that occurs in several rows is looked at once, and is a repeat as a whole if it
@@ -87,27 +89,62 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def retained_suffixes(texts: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """(doc_id, mark, n_words, anchors, places): the retained suffixes of each row."""
+    """(doc_id, mark, n_words, anchors): the starts of the retained suffixes of each row, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            counts, anchors, places = [], [], []
+            counts, anchors = [], []
             for text in texts_of(batch.column("text")):
                 words = word_hashes(text, memo)
                 at, hashes = minimisers(RunHashes(words), min_words, anchor_words)
-                at = np.unique(at)
                 counts.append(len(words))
-                anchors.append(hashes[at].view(np.int64))
-                places.append(at.astype(np.int32))
-            made = [pa.array(counts, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *made], names=["doc_id", "mark", "n_words", "anchors", "places"])
+                anchors.append(np.unique(hashes[np.unique(at)].view(np.int64)))
+            made = [pa.array(counts, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *made], names=["doc_id", "mark", "n_words", "anchors"])
 
-    return texts.mapInArrow(run, "doc_id long, mark binary, n_words long, anchors array<long>, places array<int>")
+    return texts.mapInArrow(run, "doc_id long, mark binary, n_words long, anchors array<long>")
+
+
+def shared_starts(suffixes: DataFrame) -> DataFrame:
+    """The rows (text_id, anchor) whose anchor another text has too; each is there once.
+
+    Sorted by ranges and compared with the rows before and after.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, anchors = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last row of the batch before
+        met, begun = False, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.concatenate([ids, batch.column("text_id").to_numpy()])
+            anchors = np.concatenate([anchors, batch.column("anchor").to_numpy()])
+            same = anchors[1:] == anchors[:-1]
+            matched = np.append(False, same) | np.append(same, False)
+            matched[0] |= met
+            edge = np.zeros(len(ids), bool)
+            edge[0] = not begun
+            if len(ids) > 1:
+                yield _rows(ids[:-1], anchors[:-1], matched[:-1], edge[:-1])
+                begun = True
+            ids, anchors, met = ids[-1:], anchors[-1:], bool(matched[-1])
+        if len(ids):
+            yield _rows(ids, anchors, np.array([met]), np.array([True]))
+
+    def _rows(ids: np.ndarray, anchors: np.ndarray, matched: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        kept = matched | edge
+        return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (ids, anchors, matched)] + [pa.array(edge[kept])], names=["text_id", "anchor", "matched", "edge"])
+
+    array = suffixes.repartitionByRange("anchor", "text_id").sortWithinPartitions("anchor", "text_id")
+    met = keep(array.mapInArrow(run, "text_id long, anchor long, matched boolean, edge boolean"))
+    edges = met.where("edge").groupBy("anchor").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low != high")
+    late = met.where("edge AND NOT matched").join(edges.select("anchor"), "anchor", "left_semi")
+    return met.where("matched").select("text_id", "anchor").unionByName(late.select("text_id", "anchor"))
 
 
 def stretches_at(hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """(text_id, start, anchor, stretch, windows): the windows whose minimiser is one of ``places``.
+    """(text_id, start, anchor, stretch, windows): the windows whose minimiser is one of ``anchors``.
 
     A row holds all windows in a row that share a minimiser, and as ``stretch`` the
     hash of the words they cover together.
@@ -116,15 +153,13 @@ def stretches_at(hits: DataFrame, min_words: int, anchor_words: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            columns = batch.column("text_id").to_pylist(), texts_of(batch.column("text")), batch.column("places")
+            columns = batch.column("text_id").to_pylist(), texts_of(batch.column("text")), batch.column("anchors")
             for text_id, text, wanted in zip(*columns, strict=True):
                 runs = RunHashes(word_hashes(text, memo))
                 at, hashes = minimisers(runs, min_words, anchor_words)
-                held = np.zeros(len(hashes), bool)
-                held[np.array(wanted.as_py(), np.int64)] = True
                 first = np.flatnonzero(np.diff(at, prepend=-1))  # windows that share a minimiser follow each other
                 last = np.append(first[1:], len(at))
-                kept = held[at[first]]
+                kept = np.isin(hashes[at[first]].view(np.int64), wanted.values.to_numpy())
                 first, last = first[kept], last[kept]
                 covered = runs.between(first, last - 1 + min_words)
                 windows = runs.of(min_words).view(np.int64)
@@ -136,16 +171,6 @@ def stretches_at(hits: DataFrame, min_words: int, anchor_words: int) -> DataFram
     return hits.mapInArrow(run, "text_id long, start int, anchor long, stretch long, windows array<long>")
 
 
-def in_several_texts(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, low, high) of the keys that occur in two texts or more, and two of these texts.
-
-    Kept, so that rows are joined to it by a plain shuffle on either side, which
-    Spark splits where a key is hot.
-    """
-    ends = rows.groupBy(*key).agg(F.min("text_id").alias("low"), F.max("text_id").alias("high"))
-    return keep(ends.where("low != high"))
-
-
 def repeated_stretches(stretches: DataFrame) -> DataFrame:
     """(text_id, first, last): runs of windows, by their first and last start, that other texts hold too.
 
@@ -209,16 +234,13 @@ def repeated_passages(
         F.first("n_words").alias("n_words"),
         F.count(F.lit(1)).alias("copies"),
         F.first("anchors").alias("anchors"),
-        F.first("places").alias("places"),
     )
     known = keep(known.withColumn("text_id", F.monotonically_increasing_id()))
-    pairs = F.explode(F.arrays_zip("anchors", "places")).alias("s")
-    suffixes = known.select("text_id", pairs).select("text_id", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
-    hits = suffixes.join(in_several_texts(suffixes, ["anchor"]).select("anchor").hint("merge"), "anchor")
-    hits = hits.groupBy("text_id").agg(F.collect_list("place").alias("places"))
+    hits = shared_starts(known.select("text_id", F.explode("anchors").alias("anchor")))
+    hits = hits.groupBy("text_id").agg(F.collect_list("anchor").alias("anchors"))
     hits = keep(hits.join(known.select("text_id", "_id", F.col("mark").alias("_mark")), "text_id"))
     same = texts["doc_id"].eqNullSafe(hits["_id"]) & (texts["mark"] == hits["_mark"])
-    stretches = stretches_at(texts.join(hits, same).select("text_id", "text", "places"), min_words, anchor_words)
+    stretches = stretches_at(texts.join(hits, same).select("text_id", "text", "anchors"), min_words, anchor_words)
     runs = repeated_stretches(keep(stretches)).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
     spans = runs.select("text_id", join_runs(F.col("runs"), min_words).alias("spans"))
     found = known.select("text_id", "mark", "n_words", "copies").join(spans, "text_id", "left")

@@ -5,12 +5,13 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm.mixing import mix_sources, source_rates
 from siftline.llm.sharding import stratified_shards
-from siftline.llm.suffixes import repeated_passages
+from siftline.llm.suffixes import repeated_passages, shared_starts
 from siftline.llm.toxicity import held_out, toxicity_scores
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard string, copy string, score string, spans string"
@@ -213,3 +214,26 @@ def test_toxicity_without_labels(labelled):
     assert {r.predicted for r in toxicity_scores(docs, labels.limit(0)).collect()} == {0}
     assert {r.predicted for r in toxicity_scores(docs, labels.where("toxic = 1")).collect()} == {1}
     assert toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_starts_of_other_texts_are_neighbours_in_the_sort(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(int(t), 7) for t in range(300)} | {(int(t), int(a)) for t, a in rng.integers(0, 900, (1500, 2))} | {(3, -(2**63)), (4, 2**63 - 1)}
+    texts = {}
+    for text, anchor in pairs:
+        texts.setdefault(anchor, set()).add(text)
+    expected = {(t, a) for t, a in pairs if len(texts[a]) > 1}
+    rows = spark.createDataFrame(sorted(pairs), "text_id long, anchor long").repartition(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for partitions, batch in ((1, 10_000), (37, 1), (37, 7), (400, 10_000)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = [(r.text_id, r.anchor) for r in shared_starts(rows).collect()]
+            assert len(got) == len(set(got))
+            assert set(got) == expected
+        assert shared_starts(rows.limit(0)).count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
