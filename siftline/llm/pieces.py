@@ -26,13 +26,14 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.shingles import texts_of
+from siftline.llm.shingles import ROWS, texts_of
 
 MARK = "▁"
 MEMO = 400_000  # chunks kept per task; changes speed, not results
@@ -214,10 +215,11 @@ def encode(text: Column, model: PieceModel) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
         for texts in batches:
-            found = [None if t is None else encoder.encode(t) for t in texts_of(texts)]
-            ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)], dtype=np.int32)
-            ids = np.frombuffer(b"".join(x or b"" for x in found), np.int32)
-            yield pa.ListArray.from_arrays(ends, pa.array(ids), mask=pa.array([x is None for x in found]))
+            encoded = (None if t is None else encoder.encode(t) for t in texts_of(texts))
+            while found := list(islice(encoded, ROWS)):  # ids leave the worker as they come
+                ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)], dtype=np.int32)
+                ids = np.frombuffer(b"".join(x or b"" for x in found), np.int32)
+                yield pa.ListArray.from_arrays(ends, pa.array(ids), mask=pa.array([x is None for x in found]))
 
     return run.asNondeterministic()(text)
 
@@ -234,7 +236,7 @@ def decode(ids: Column, model: PieceModel) -> Column:
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+        for lists in (batch.slice(start, ROWS) for batch in batches for start in range(0, len(batch), ROWS)):
             flat = lists.flatten().fill_null(-1).to_numpy()  # without the values of null lists
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
             starts, known = np.concatenate([[0], ends[:-1]]), lists.is_valid().to_pylist()

@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,23 @@ def test_round_trip(spark):
     assert docs.limit(0).select(encode(F.col("text"), m)).count() == 0
     odd = spark.createDataFrame([([13, -5, 999_999, None, 1],), (None,), ([],)], "ids array<int>")
     assert [r[0] for r in odd.select(decode(F.col("ids"), m)).collect()] == [m.stands_for[13].decode(), None, ""]
+
+
+def test_ids_and_texts_leave_the_worker_in_parts(spark, monkeypatch):
+    class Plain:
+        def __init__(self, run):
+            self.run = run
+
+        def asNondeterministic(self):
+            return self.run
+
+    texts = [None, "", "ab", "a abc é", " "] * 200
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: Plain)
+    ids = list(encode(iter([pa.array(texts), pa.array([], pa.string())]), model()))
+    assert max(map(len, ids)) <= 256 and sum(map(len, ids)) == len(texts)
+    whole = pa.concat_arrays(ids)
+    encoder = Encoder(model())
+    assert whole.to_pylist() == [None if t is None else ids_of(encoder, t) for t in texts]
+    back = list(decode(iter([whole]), model()))
+    assert max(map(len, back)) <= 256
+    assert pa.concat_arrays(back).to_pylist() == texts
