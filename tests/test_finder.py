@@ -1,5 +1,6 @@
 """Batches of texts are searched a few texts at a time."""
 
+import re
 import tracemalloc
 
 import pyarrow as pa
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import finder
 from siftline.functions.finder import find_lines, found_in
+from siftline.operators.match import regex_rules
 
 
 class Plain:
@@ -56,3 +58,26 @@ def test_words_found_all_over_a_batch_take_little_memory(here, monkeypatch):
         tracemalloc.stop()
     assert len(rows) == 1000
     assert peak < 25 << 20
+
+
+WORDS = [("the", True, True), ("the", False, True), ("the", True, False), ("the", False, False), ("e t", False, False), ["then", "\n", "e\n"], ("x", True, True)]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_words_with_boundaries(here, monkeypatch, kind, size):
+    monkeypatch.setattr(finder, "PART", size)
+    texts = ["the", "then", None, "\nbathe THE", "éthe the", "", "thethe_the the-the\n\nthe_", "x\n", "xx x", None, "e", "thé them\nx", "\n", None]
+    forms = [r"\bthe\b", r"the\b", r"\bthe", "the", "e t", "then", r"\bx\b"]
+    want = []
+    for text in texts:
+        lines = [] if text is None else text.split("\n")
+        found = [[i for i, form in enumerate(forms) if re.search(f"(?ai){form}", line)] for line in lines]
+        want.append([{"line_no": n, "line": line, "found": f} for n, (line, f) in enumerate(zip(lines, found), 1) if f])
+    assert find_lines(pa.array(texts, kind), WORDS).to_pylist() == want
+
+
+def test_words_inside_longer_ones_are_no_candidates(here):
+    rules = regex_rules([{"id": w, "type": "regex", "pattern": rf"\b{w}\b"} for w in [*map(str, range(100, 400)), "the"]])
+    rows = find_lines(pa.array(["then bathe 1234 2345_ the3\nno"]), [search for _, _, search in rules])
+    assert rows.to_pylist() == [[]]

@@ -1,5 +1,6 @@
 """Pattern translation, word lists and globs."""
 
+import random
 import re
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline import catalogue as C
 from siftline.functions.globs import expand_braces, glob_regex, name_glob
-from siftline.functions.patterns import GROUP, any_of, index_words, required_words, search_pattern, to_java, to_re2
+from siftline.functions.patterns import GROUP, any_of, index_words, literal_word, required_words, search_pattern, to_java, to_re2
 from siftline.operators.findings import static_findings
 from siftline.operators.lines import explode_lines
 from siftline.operators.match import rule_matches, scan_regex
@@ -176,3 +177,52 @@ def test_twenty_thousand_rules_add_nothing_to_the_plan(corpus):
     assert large.toString().count("RLIKE") == plan(300)[1].toString().count("RLIKE")
     with pytest.raises(ValueError, match="R250"):
         scan_regex(docs, low(["ok"] * 250 + ["(abc"]))
+
+
+def test_patterns_that_are_a_word():
+    assert literal_word(r"\bFoo_1\b") == ("foo_1", True, True)
+    assert literal_word(r"foo\b") == ("foo", False, True)
+    assert literal_word(r"a-B \. c\/d") == ("a-b . c/d", False, False)
+    others = ["fo", "foo.", "fo|x", r"foo\d", r"\bfoo-bar\b", r"\b-foo", r"foo\b\b", r"a\bcd", "foo\n", "fooé", "foo{2}", "x{2}yy", "[foo]", "^foo", "foo$", r"f\x6fo", "foo?", r"foo\\n?", ""]
+    assert [p for p in others if literal_word(p)] == []
+
+
+def test_words_a_look_around_needs():
+    assert required_words("(?<=of )o") == ["of o"]
+    assert required_words(r"x*(?=abc)\w") == ["abc"]
+    assert required_words("(?<=ab)(?:cd|ef)") == ["abcd", "abef"]
+    assert required_words("(?<=abc|de)f?") == ["abc", "de"]
+    assert required_words("(?<!abc)d(?!efg)") == ["d"]
+
+
+def test_a_pack_of_words_finds_what_each_rule_finds_alone(spark):
+    dice = random.Random(4)
+    words = ["".join(dice.choices("aB_1", k=dice.choice([2, 3, 3, 4]))) for _ in range(220)]
+    patterns = [dice.choice(["", r"\b"]) + w + dice.choice(["", r"\b"]) for w in words]
+    patterns += ["a a", "a-b", r"a\.b", r"\ba-b\b", r"(?<=ab)a", "(?=aba)a", "(?<=a )b", r"aab\n?", "aé", r"\babé", "ſab", "aaK"]
+    texts = ["".join(dice.choices("aAbB_1 -.\nésſK\r", weights=[6, 2, 6, 2, 2, 3, 6, 1, 1, 2, 1, 1, 1, 1, 1], k=200)) for _ in range(30)]
+    docs = spark.createDataFrame([(f"{i}.txt", t) for i, t in enumerate([*texts, None, ""])], "path string, content string")
+    tests = [F.expr(rule_matches(r)).alias(r["id"]) for r in low(patterns)]
+    rows = explode_lines(docs).selectExpr("path", "line_no", "line AS text").select("path", "line_no", *tests).collect()
+    alone = sorted((r.path, r.line_no, f"R{i}") for r in rows for i in range(len(patterns)) if r[f"R{i}"])
+    assert sorted((r.path, r.line, r.rule_id) for r in scan_regex(docs, low(patterns)).collect()) == alone
+    calls = [{"id": "C", "type": "ast", "severity": "low", "selector": "call:run"}]
+    assert sorted((r.path, r.line, r.rule_id) for r in static_findings(docs, [*low(patterns), *calls]).collect()) == alone
+
+
+def test_words_of_a_pack_are_not_tried_again(corpus):
+    found = scan_regex(corpus(a_js="word7 aword8 a1b"), low([*[rf"\bword{i}\b" for i in range(300)], r"a\db"]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "(?i)" not in plan.replace("(?i)a\\db", "")
+    assert sorted(r.rule_id for r in found.collect()) == ["R300", "R7"]
+
+
+@pytest.mark.parametrize("calls", [[], [{"id": "C", "type": "ast", "severity": "low", "selector": "call:run"}]])
+def test_markers_in_a_large_pack(corpus, calls):
+    docs = corpus(a_js="word1 word2 run(1)\nword1 word2 run(1) // Scan-Ignore\nword1 word2 run(1) // scan-ignore:r1\nword2 word1 // mute:R2 scan-ignored", b_js="// mute word2")
+    rules = [*low([rf"\bword{i}\b" for i in range(300)]), *calls]
+    got = sorted((r.path, r.line, r.rule_id) for r in static_findings(docs, rules).collect())
+    c = [("a.js", 1, "C")] if calls else []
+    assert got == [*c, ("a.js", 1, "R1"), ("a.js", 1, "R2"), *([("a.js", 3, "C")] if calls else []), ("a.js", 3, "R2"), ("b.js", 1, "R2")]
+    muted = sorted((r.path, r.line, r.rule_id) for r in static_findings(docs, rules, "mute").collect() if r.rule_id != "C")
+    assert muted == [("a.js", n, r) for n in (1, 2, 3) for r in ("R1", "R2")] + [("a.js", 4, "R1")]
